@@ -7,7 +7,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import regex
+from tokenizers import Regex
+from tokenizers.normalizers import Replace
 
 from gevel.llm.words import hashed_points
 
@@ -16,16 +17,16 @@ _classes: np.ndarray | None = None
 
 
 def point_classes() -> np.ndarray:
-    """The class of every code point, as the patterns `\\p{L}`, `\\p{N}` and `\\s` have it."""
+    """The class of every code point, as the tokenizers library's patterns `\\p{L}`, `\\p{N}` and `\\s` have it."""
     global _classes
     if _classes is None:
         table = np.zeros(0x110000, np.uint8)
         every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-            for m in regex.finditer(pattern, every):
-                a, b = m.span()
-                a, b = a + 0x800 * (a >= 0xD800), b + 0x800 * (b > 0xD800)
-                table[a:b] = kind
+        place = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+            # Only \ue000, a private character, may stand for itself: it is in none of the classes.
+            marked = np.concatenate([np.frombuffer(Replace(Regex(pattern), "\ue000").normalize_str(every[k : k + 4096]).encode("utf-32-le"), np.uint32) for k in range(0, len(every), 4096)])
+            table[place[(marked == 0xE000) & (place != 0xE000)]] = kind
         _classes = table
     return _classes
 

@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gevel.llm.bpe import encode_decode
 from gevel.llm.ngram_join import jaccard_groups
+from gevel.llm.packing import pack
+from gevel.llm.token_count import token_counts
+from gevel.llm.tokenizer_files import path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,5 +22,20 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens, each window holding every source in its share."""
+    return pack(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken")).drop("ids")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents under the 32k piece model."""
+    return token_counts(_table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents under the 49k word vocabulary, and of the texts decoded from them."""
+    return encode_decode(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixture_packing, op5_token_counts, op6_bpe)}
 ORACLE: dict[str, str] = {}
