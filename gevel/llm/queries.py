@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gevel.llm.bpe import encode_decode
+from gevel.llm.media import media_columns
 from gevel.llm.ngram_join import jaccard_groups
 from gevel.llm.packing import pack
+from gevel.llm.pii import find_pii
 from gevel.llm.token_count import token_counts
 from gevel.llm.tokenizer_files import path
 
@@ -37,5 +39,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixture_packing, op5_token_counts, op6_bpe)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and disguised personal data in all documents."""
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as stored media, with columns read back from them."""
+    out = media_columns(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixture_packing, op5_token_counts, op6_bpe, op9_pii, op10_media_columns)}
 ORACLE: dict[str, str] = {}
