@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gevel.llm.ann import nearest
 from gevel.llm.bpe import encode_decode
 from gevel.llm.media import media_columns
 from gevel.llm.ngram_join import jaccard_groups
@@ -29,6 +30,11 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken")).drop("ids")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest neighbours of each hundredth embedding."""
+    return nearest(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents under the 32k piece model."""
     return token_counts(_table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
@@ -50,5 +56,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixture_packing, op5_token_counts, op6_bpe, op9_pii, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixture_packing, op4_nearest_neighbours, op5_token_counts, op6_bpe, op9_pii, op10_media_columns)}
 ORACLE: dict[str, str] = {}
