@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gevel.llm import licenses
 from gevel.llm.ann import nearest
 from gevel.llm.bpe import encode_decode
 from gevel.llm.media import media_columns
@@ -30,6 +31,11 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken")).drop("ids")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences among all documents' texts and lines."""
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest neighbours of each hundredth embedding."""
     return nearest(_table(spark, sf_dir, "embeddings"), k=10, every=100)
@@ -56,5 +62,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixture_packing, op4_nearest_neighbours, op5_token_counts, op6_bpe, op9_pii, op10_media_columns)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixture_packing, op3_license_scan, op4_nearest_neighbours, op5_token_counts, op6_bpe, op9_pii, op10_media_columns)}
+ORACLE: dict[str, str] = {"op3_license_scan": licenses.oracle_sql()}
