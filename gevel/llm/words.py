@@ -59,10 +59,16 @@ def slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, i
         begin = min(end, n)
 
 
-def split_words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text: (lower-cased bytes (A-Z only), begins, ends, index of each text's first word, one more at the end)."""
+#: Bytes of words: other than blanks; ASCII letters and digits and all other bytes of UTF-8; letters alone.
+FILLED = ~np.isin(np.arange(256), [32, *range(9, 14)])
+ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+LETTERS = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+
+
+def split_words(raw: np.ndarray, starts: np.ndarray, solid_bytes: np.ndarray = FILLED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, by default `[^\\x20\\x09-\\x0D]+`, else runs of solid_bytes: (lower-cased bytes (A-Z only), begins, ends, index of each text's first word, one more at the end)."""
     low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
-    solid = ~((low == 32) | ((low >= 9) & (low <= 13)))
+    solid = solid_bytes[low]
     n = len(low)
     if not n:
         return low, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
