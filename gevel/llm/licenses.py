@@ -64,7 +64,8 @@ def known_digests(known: DataFrame, license_col: str = "license_id", text_col: s
 
 
 def default_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    pairs = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in KNOWN))
+    return spark.range(1).select(F.inline(pairs))
 
 
 def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from gevel.llm import licenses
 from gevel.llm.ann import nearest
 from gevel.llm.bpe import encode_decode
+from gevel.llm.language import languages
 from gevel.llm.media import media_columns
 from gevel.llm.ngram_join import jaccard_groups
 from gevel.llm.packing import pack
 from gevel.llm.pii import find_pii
 from gevel.llm.token_count import token_counts
 from gevel.llm.tokenizer_files import path
+from gevel.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents' texts, learned from two thirds of the documents."""
+    return languages(_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents' texts, learned from four fifths of the labels."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain and disguised personal data in all documents."""
     return find_pii(_table(spark, sf_dir, "documents"))
@@ -62,5 +74,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixture_packing, op3_license_scan, op4_nearest_neighbours, op5_token_counts, op6_bpe, op9_pii, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixture_packing, op3_license_scan, op4_nearest_neighbours, op5_token_counts, op6_bpe, op7_language, op8_toxicity, op9_pii, op10_media_columns)}
 ORACLE: dict[str, str] = {"op3_license_scan": licenses.oracle_sql()}

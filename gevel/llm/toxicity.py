@@ -1,6 +1,6 @@
 """Toxicity scores by logistic regression, learned with FTRL-proximal over hashed word n-grams.
 
-Features are the presence of words, pairs of neighbouring words, and pairs with one word between, each hashed to a place. Every place has its own learning rate; the L1 term keeps most weights at zero, so the model is a short list of places and weights that goes to every task.
+Features are the presence of words and of their stems (first letters), of pairs of neighbouring words, and of pairs with one word between, each hashed to a place. Every place has its own learning rate; the L1 term keeps most weights at zero, so the model is a short list of places and weights that goes to every task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from gevel.llm.stages import written
 from gevel.llm.words import ALNUM, hashed, mixed, slices, split_words, text_bytes
@@ -20,17 +21,25 @@ PLACES = 1 << 22
 SAMPLE, PASSES = 12_000, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 1.0
 #: What a toxic row weighs in learning, as such rows are few.
-POSITIVE = 3.0
+POSITIVE = 1.0
+#: Bytes of a word that make a stem of it, if it is longer.
+STEMS = (4, 5)
+#: The bias where there is nothing to learn from: no text is toxic then.
+NOTHING = -35.0
 #: Weights kept, at most.
 WEIGHTS_MOST = 1 << 18
 
 
 def features(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, text) of every word, pair and pair with a gap."""
+    """(place, text) of every word, stem, pair and pair with a gap."""
     low, begins, ends, first = split_words(raw, starts, ALNUM)
     words = hashed(low, begins, ends)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     places, texts = [words], [owner]
+    for size in STEMS:
+        long = ends - begins > size
+        places.append(mixed(hashed(low, begins[long], begins[long] + size) + np.uint64(size)))
+        texts.append(owner[long])
     for gap in (1, 2):
         if len(words) > gap:
             same = owner[gap:] == owner[:-gap]
@@ -82,7 +91,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = sorted({(x, y) for batch in batches for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}, key=lambda e: hash_of(e[0]))
-        place, weight, bias = fit([np.frombuffer(x, "<u4").astype(np.int64) for x, _ in examples], np.array([y for _, y in examples]))
+        if not examples:
+            place, weight, bias = np.zeros(0, np.int64), np.zeros(0), NOTHING
+        else:
+            place, weight, bias = fit([np.frombuffer(x, "<u4").astype(np.int64) for x, _ in examples], np.array([y for _, y in examples]))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(place, -1)), pa.array(np.append(weight, bias))], ["place", "weight"])
 
     hashed_rows = written(rows.mapInArrow(hash_rows, "x binary, y int"), "examples")
@@ -96,9 +108,9 @@ def hash_of(x: bytes) -> int:
     return int(mixed(np.array([len(x)], np.uint64) + np.frombuffer(x[:4] or b"\0\0\0\0", "<u4").astype(np.uint64))[0])
 
 
-def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of df and (score double, predicted int): how likely the text is toxic, 1 from 0.5 on. A null text counts as empty, whose score is that of the bias. Repeated rows stay; columns of df named score or predicted are replaced."""
-    rest = [c for c in df.columns if c not in ("score", "predicted")]
+def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of df and, by the names given, (score double, predicted int): how likely the text is toxic, 1 from 0.5 on. A null text counts as empty, whose score is that of the bias. Repeated rows stay; columns of df with these names are replaced."""
+    rest = [c for c in df.columns if c not in names]
     rows = df.select(*(F.col(f"`{c}`") for c in rest))
     at = rest.index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -117,18 +129,17 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: st
                 pairs = np.unique(owner[some] * PLACES + places[some])
                 totals[a:b] += np.bincount(pairs // PLACES, table[pairs % PLACES], b - a)
             p = 1 / (1 + np.exp(-np.clip(totals, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double, predicted int"
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(work, StructType([*rows.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] = (5, 0)) -> DataFrame:
     """(id_col, held_out, score, predicted) of each row of df.
 
-    The model is learned from labels of rows whose crc32(id as text) modulo held_out[0] is not held_out[1]; held_out tells the others. Without any labelled row every score is 0.5. A null id is held out of learning and has held_out null; an empty table gives an empty one.
+    The model is learned from labels of rows whose crc32(id as text) modulo held_out[0] is not held_out[1]; held_out tells the others. Without any labelled row every score is about 0. A null id is held out of learning and has held_out null; an empty table gives an empty one.
     """
     parts, out = held_out
     model = train(df, labels.where(fold(F.col(id_col), parts) != out), id_col, text_col, label_col)
-    scored = score(df.select(F.col(id_col).alias("id"), (fold(F.col(id_col), parts) == out).alias("held_out"), F.col(text_col).cast("string").alias("text")), model, "id")
+    scored = score(df.select(F.col(id_col).alias("id"), (fold(F.col(id_col), parts) == out).alias("held_out"), F.col(text_col).cast("string").alias("text")), model)
     return scored.select(F.col("id").alias(id_col), "held_out", "score", "predicted")
