@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from gevel.llm.stages import written
 from gevel.llm.words import ALNUM, hashed, mixed, slices, split_words, text_bytes
 
-PLACES = 1 << 22
+PLACES = 1 << 21
 #: Labelled rows that the model is fitted on, at most (about; taken by a hash of the id), and passes over them.
 SAMPLE, PASSES = 12_000, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 1.0
@@ -49,7 +49,7 @@ def features(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(places, weights, bias) after PASSES over rows of distinct places."""
+    """(places, weights, bias) after PASSES over rows of distinct places (numbers of 32 bits)."""
     z, n = np.zeros(PLACES + 1), np.zeros(PLACES + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -57,7 +57,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     for _ in range(PASSES):
         for x, y in zip(rows, labels, strict=True):
-            at = np.append(x, PLACES)
+            at = np.append(x.astype(np.int64), PLACES)
             w = weights(at)
             g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * (POSITIVE if y else 1.0)
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
@@ -94,7 +94,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         if not examples:
             place, weight, bias = np.zeros(0, np.int64), np.zeros(0), NOTHING
         else:
-            place, weight, bias = fit([np.frombuffer(x, "<u4").astype(np.int64) for x, _ in examples], np.array([y for _, y in examples]))
+            place, weight, bias = fit([np.frombuffer(x, "<u4") for x, _ in examples], np.array([y for _, y in examples]))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(place, -1)), pa.array(np.append(weight, bias))], ["place", "weight"])
 
     hashed_rows = written(rows.mapInArrow(hash_rows, "x binary, y int"), "examples")
