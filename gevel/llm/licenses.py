@@ -41,26 +41,27 @@ SENT_MOST = 50_000
 
 _COPYRIGHT = r"(^|\n)[^\n\p{L}\p{N}]*(copyright|©|\(c\))[^\n]*"
 _OTHER = r"[^\p{L}\p{N}]+"
+_OTHER_IN_LINE = r"[^\p{L}\p{N}\n]+"
 
 
-def canonical(text: Column) -> Column:
-    """The text in lower case without lines of copyright, each run of other than letters and digits as one blank, and equivalent spellings alike."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, "\n"), _OTHER, " "))
+def canonical_lines(text: Column) -> Column:
+    """The text's lines in lower case, those of copyright empty, each run of other than letters and digits as one blank, and equivalent spellings alike; ends may be blank."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, "$1"), _OTHER_IN_LINE, " ")
     alike = plain
     for word, same in SPELLINGS.items():
         alike = F.regexp_replace(alike, rf"\b{word}\b", same)
-    return F.when(plain.rlike(rf"\b({'|'.join(SPELLINGS)})\b"), alike).otherwise(plain)
+    return F.split(F.when(plain.rlike(rf"\b({'|'.join(SPELLINGS)})\b"), alike).otherwise(plain), "\n")
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form, null if that is empty."""
-    form = canonical(text)
+def digest(lines: Column) -> Column:
+    """SHA-256 of the canonical form that these lines make, null if that is empty."""
+    form = F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), " ")
     return F.when(form != "", F.sha2(form, 256))
 
 
 def known_digests(known: DataFrame, license_col: str = "license_id", text_col: str = "text") -> DataFrame:
     """(digest, license_id): one row for each distinct canonical text, with the first license id in order."""
-    return known.select(digest(F.col(text_col)).alias("digest"), F.col(license_col).alias("license_id")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return known.select(digest(canonical_lines(F.col(text_col))).alias("digest"), F.col(license_col).alias("license_id")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def default_licenses(spark: SparkSession) -> DataFrame:
@@ -76,12 +77,12 @@ def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "d
     digests = known_digests(default_licenses(df.sparkSession) if known is None else known)
     if len(digests.take(SENT_MOST + 1)) <= SENT_MOST:
         digests = F.broadcast(digests)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    whole = rows.select("id", F.lit("text").alias("unit"), F.lit(0).alias("line"), digest(F.col("text")).alias("digest")).join(digests, "digest", "left")
-    lines = rows.select("id", F.posexplode(F.split("text", "\n")).alias("at", "content")).where("content != ''")
-    lines = lines.select("id", F.lit("line").alias("unit"), (F.col("at") + 1).alias("line"), digest(F.col("content")).alias("digest")).join(digests, "digest")
-    columns = [F.col("id").alias(id_col), "unit", "line", "digest", "license_id"]
-    return whole.select(*columns).unionByName(lines.select(*columns))
+    rows = df.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col).cast("string")).alias("lines"))
+    unit = F.struct(F.lit("text").alias("unit"), F.lit(0).alias("line"), digest(F.col("lines")).alias("digest"))
+    by_line = F.transform("lines", lambda x, k: F.struct(F.lit("line").alias("unit"), (k + 1).alias("line"), digest(F.array(x)).alias("digest")))
+    units = rows.select("id", F.inline(F.concat(F.array(unit), F.coalesce(F.filter(by_line, lambda x: x["digest"].isNotNull()), F.array().cast("array<struct<unit: string, line: int, digest: string>>")))))
+    found = units.join(digests, "digest", "left").where("unit = 'text' or license_id is not null")
+    return found.select(F.col("id").alias(id_col), "unit", "line", "digest", "license_id")
 
 
 def _canonical_sql(text: str) -> str:
