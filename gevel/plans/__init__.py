@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gevel.plans import feed
+from gevel.plans import feed, properties, valuation
 
-_MODULES = (feed,)
+_MODULES = (feed, valuation, properties)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
