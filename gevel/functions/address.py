@@ -91,7 +91,7 @@ def comparable(x: Column) -> Column:
 
 def title_match(title: Column, street: Column, number: Column) -> Column:
     """How a page's title and an address agree: match, partial, mismatch, or no title."""
-    has_number = title.rlike(F.concat(F.lit("(?<![0-9])"), number.cast("string"), F.lit("(?![0-9])")))
+    has_number = F.rlike(title, F.concat(F.lit("(?<![0-9])"), number.cast("string"), F.lit("(?![0-9])")))
     has_street = (F.trim(street) != "") & F.contains(comparable(title), comparable(F.trim(street)))
     both = F.coalesce(has_number, F.lit(False)).cast("int") + F.coalesce(has_street, F.lit(False)).cast("int")
     return F.when(F.trim(F.coalesce(title, F.lit(""))) == "", "no title").when(both == 2, "match").when(both == 1, "partial").otherwise("mismatch")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gevel.plans import feed, properties, valuation
+from gevel.plans import feed, ingest, maps, properties, social, valuation
 
-_MODULES = (feed, valuation, properties)
+_MODULES = (feed, valuation, properties, maps, social, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -115,7 +115,8 @@ class Tables:
 def with_domain(body: str, *names: str) -> str:
     """SQL over the raw tables in which these tables of the domain can be named."""
     parts = [f"{n} AS ({DOMAIN[n].format(**{t: t for t in RAW})})" for n in names]
-    recursive = "RECURSIVE " if body.lstrip().startswith("RECURSIVE") else ""
-    body = body.lstrip().removeprefix("RECURSIVE").lstrip()
-    more = body.startswith("WITH ")
-    return f"WITH {recursive}" + ",\n".join(parts) + (",\n" + body[5:] if more else "\n" + body)
+    body = body.lstrip()
+    for begin, head in (("RECURSIVE ", "WITH RECURSIVE "), ("WITH ", "WITH ")):
+        if body.startswith(begin):
+            return head + ",\n".join([*parts, body.removeprefix(begin)])
+    return "WITH " + ",\n".join(parts) + "\n" + body
