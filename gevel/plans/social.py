@@ -105,9 +105,9 @@ c AS (SELECT c.*, u.username, CAST(coalesce(k.n, 0) AS INTEGER) AS likes FROM co
 s AS (SELECT *, likes * 2 + CASE WHEN created_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR THEN 10 WHEN created_at > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR THEN 5 WHEN created_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY THEN 2 ELSE 0 END AS score FROM c WHERE parent_id IS NULL),
 r AS (SELECT parent_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS ids FROM c WHERE parent_id IS NOT NULL GROUP BY parent_id) """
 _HOURLY = """RECURSIVE v AS (SELECT property_id, coalesce(CAST(user_id AS VARCHAR), session_id) AS viewer, viewed_at FROM property_views),
-kept AS (SELECT property_id, viewer, min(viewed_at) AS at FROM v WHERE viewer IS NOT NULL GROUP BY 1, 2
-UNION ALL SELECT k.property_id, k.viewer, min(v.viewed_at) FROM kept k JOIN v ON v.property_id = k.property_id AND v.viewer = k.viewer AND v.viewed_at >= k.at + INTERVAL 1 HOUR GROUP BY 1, 2)
-SELECT property_id, viewer, CAST(count(*) AS INTEGER) AS views, strftime(max(at), '%Y-%m-%dT%H:%M:%SZ') AS last FROM (SELECT * FROM kept UNION ALL SELECT * FROM v WHERE viewer IS NULL) GROUP BY 1, 2"""
+kept AS (SELECT property_id, viewer, min(viewed_at) AS seen FROM v WHERE viewer IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT k.property_id, k.viewer, min(v.viewed_at) FROM kept k JOIN v ON v.property_id = k.property_id AND v.viewer = k.viewer AND v.viewed_at >= k.seen + INTERVAL 1 HOUR GROUP BY 1, 2)
+SELECT property_id, viewer, CAST(count(*) AS INTEGER) AS views, strftime(max(seen), '%Y-%m-%dT%H:%M:%SZ') AS last FROM (SELECT * FROM kept UNION ALL SELECT * FROM v WHERE viewer IS NULL) GROUP BY 1, 2"""
 
 QUERIES = {f.__name__: f for f in (comment_threads, comments_recent, guess_list, my_guesses, like_counts, view_counts, views_hourly, profiles, guess_cooldowns, saved_activity)}
 ORACLE = {
