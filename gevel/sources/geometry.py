@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 _NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)"
 
@@ -34,7 +35,7 @@ def read_point(data: str | None) -> tuple[float, float] | None:
         return None
 
 
-@F.pandas_udf("lon double, lat double")
+@F.pandas_udf(StructType([StructField("lon", DoubleType()), StructField("lat", DoubleType())]))
 def hex_point(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """read_point() of a column, a batch at a time."""
     for part in parts:
