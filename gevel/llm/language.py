@@ -27,6 +27,8 @@ SAMPLE, LANGUAGES = 2000, 256
 LEXICON = 2000
 #: Passes over the sample, words in one step, and the step's size.
 PASSES, STEP_WORDS, RATE = 3, 20_000, 0.3
+#: Characters of texts that are gone through at once.
+AT_ONCE = 1 << 19
 UNKNOWN = "und"
 
 
@@ -302,7 +304,7 @@ def identify(df: DataFrame, model: Field, text_col: str = "text", names: tuple[s
             texts = [t or "" for t in batch.column(at).to_pylist()]
             found: list[str] = []
             scores = [np.zeros(0)]
-            for a, b in batches_of(texts):
+            for a, b in batches_of(texts, AT_ONCE):
                 languages, score = predict(shared.value, texts[a:b])
                 found += languages
                 scores.append(score)
@@ -321,7 +323,7 @@ def label_words(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: s
         model = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in batches_of(texts):
+            for a, b in batches_of(texts, AT_ONCE):
                 p, begins, ends, first = shares(model, texts[a:b])
                 n = len(begins) if model.languages else 0
                 joined = "".join(t.lower() for t in texts[a:b])

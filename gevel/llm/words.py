@@ -23,7 +23,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             out = np.full(size, base, np.uint64)
             out[0] = 1
             both.append(np.multiply.accumulate(out))
-        if size > 1 << 23:
+        if size > 1 << 21:
             return both[0], both[1]
         _powers = both[0], both[1]
     return _powers
@@ -49,7 +49,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, starts - starts[0]
 
 
-def slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about most_bytes each; a longer text has a range of its own. Bounds the memory of the arrays."""
     _, starts = text_bytes(column)
     n, begin = len(column), 0
