@@ -18,7 +18,7 @@ from gevel.llm.stages import written
 from gevel.llm.tokenizer_files import path
 
 #: The least share of a text's words that its language must have; clean texts of one language have far more.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 
 
 def _unused(columns: list[str], *names: str) -> list[str]:
