@@ -24,8 +24,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of documents whose 3-word shingles have a Jaccard similarity of at least 0.9."""
-    return jaccard_groups(_table(spark, sf_dir, "documents"), width=3, percent=90)
+    """Groups of documents whose 3-word shingles have a Jaccard similarity of at least 0.9, and how many others each links with."""
+    return jaccard_groups(_table(spark, sf_dir, "documents"), width=3, percent=90, links=True)
 
 
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

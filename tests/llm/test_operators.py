@@ -14,7 +14,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from gevel.llm import language, licenses, media, packing, pii, toxicity
+from gevel.llm import language, licenses, media, ngram_join, packing, pii, toxicity
 from gevel.llm.ann import nearest
 from gevel.llm.bpe import encode_decode
 from gevel.llm.components import components
@@ -73,6 +73,27 @@ def test_jaccard_groups(spark, docs, odd, empty, width, percent):
     assert jaccard_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_links_are_counted(spark, docs, empty, width, percent, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SIDE", 8)
+    base = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    words = [f"w{k}" for k in range(400)]
+    near = [(20_000 + k, " ".join(words[k : 300 + k // 2])) for k in range(0, 90)]
+    copies = [(30_000 + k, near[7 * k % 40][1].upper()) for k in range(30)]
+    rows = base + near + copies + [(40_000, None), (40_001, ""), (40_002, "a b"), (40_003, "A b"), (40_004, "a c")]
+    got = {r.doc_id: r.n_links for r in jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent, links=True).collect()}
+    sets = {k: plain_set(t, width) for k, t in rows}
+    alike = lambda a, b: (n := len(a & b)) and 100 * n >= percent * (len(a) + len(b) - n)
+    want = {k: sum(1 for j, y in sets.items() if j != k and alike(x, y)) for k, x in sets.items()}
+    assert got == want and max(want.values()) > 20 and len({want[k] for k, _ in near}) > 3
+    assert jaccard_groups(empty, links=True).count() == 0
+
+
+def plain_set(text: str | None, width: int) -> set[tuple[str, ...]]:
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+
 def test_null_ids_stay_alone(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.component_id)) for r in jaccard_groups(df).collect()) == [("1", "1"), ("None", "None"), ("None", "None")]
