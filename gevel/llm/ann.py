@@ -1,6 +1,6 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-A bounded sample is halved again and again at medians, so all lists are about equally long; the means of the parts are the lists' centroids. A vector goes to its nearest centroid's list, and, near a border, to some more. Centroids are found by walking a graph of them that every task holds. A query reads those lists whose centroids are not much farther than the nearest one. Vectors that are equal count once, with as many of their ids as an answer can need.
+A bounded sample is halved again and again at medians, so all lists are about equally long; the means of the parts are the lists' centroids. A vector goes to its nearest centroid's list, and, near a border, to some more. Centroids are found by walking a graph of them that every task holds. A query reads all lists whose centroids are not much farther than the nearest one: the first ones whole, and of the others what is not farther than the neighbours found so far. Vectors that are equal count once, with as many of their ids as an answer can need.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ SAMPLE, LISTS = 20_000, 4096
 LIST_SIZE, BLOCK = 256, 8192
 #: Lists that hold one vector, and how much farther than the nearest their centroids may be.
 COPIES, COPY_RATIO = 4, 1.2
-#: Lists that a query reads, at most and by the ratio of distances, and the least number of vectors in them.
+#: Lists that a query reads first, how much farther than the nearest the centroids of all that it reads may be, and the least number of vectors in them.
 PROBES, PROBE_RATIO, ENOUGH = 48, 1.6, 512
 #: Neighbours of a centroid in the graph, and the best ones kept on a walk.
 NEAR, KEPT = 16, 64
@@ -122,14 +122,19 @@ class Graph:
             out.append(np.array(chosen))
         return out
 
-    def probes(self, queries: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        """The lists that each query reads."""
-        places, far = self.walk(queries)
+    def probes(self, queries: np.ndarray, sizes: np.ndarray, later: bool = False) -> list[np.ndarray]:
+        """The lists that each query reads first, or those that it reads later: together all within PROBE_RATIO, by the distances to all centroids."""
         out = []
-        for p, d in zip(places, far, strict=True):
-            p, d = p[p >= 0], d[p >= 0]
-            before = np.concatenate([[0], np.cumsum(sizes[p])[:-1]])
-            out.append(p[(d <= PROBE_RATIO * d[0]) & (np.arange(len(p)) < PROBES) | (before < ENOUGH)])
+        norms = (self.centroids**2).sum(1)
+        for at in range(0, len(queries), 256):
+            some = queries[at : at + 256]
+            every = np.sqrt(np.maximum((some**2).sum(1)[:, None] - 2 * some @ self.centroids.T + norms, 0))
+            for d in every:
+                p = np.argsort(d, kind="stable")
+                d = d[p]
+                before = np.concatenate([[0], np.cumsum(sizes[p])[:-1]])
+                near, first = d <= PROBE_RATIO * d[0], np.arange(len(p)) < PROBES
+                out.append(p[near & ~first & (before >= ENOUGH)] if later else p[near & first | (before < ENOUGH)])
         return out
 
 
@@ -188,21 +193,20 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id"
     asked = found.where(F.col("id") % every == 0)
     queries = written(asked.groupBy("v").agg(F.min("id").alias("q")), "queries")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(later: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
                 rows, lists, block = [], [], []
-                for row, chosen in enumerate(shared.value.probes(_matrix(part.column(0)), sizes)):
+                for row, chosen in enumerate(shared.value.probes(_matrix(part.column(0)), sizes, later)):
                     for c in chosen:
                         n = int(blocks[c])
                         rows += [row] * n
                         lists += [int(c)] * n
                         block += range(n)
                 index = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(block, pa.int64()), part.column(1).take(index), part.column(0).take(index)], ["list", "block", "q", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(block, pa.int64()), *(part.column(c).take(index) for c in (1, 0, 2))], ["list", "block", "q", "v", "bound"])
 
-    probes = queries.select("v", "q").mapInArrow(probe, f"list long, block long, q long, v {value}")
     number = F.element_at(F.lit(blocks.tolist()).cast("array<long>"), (F.col("list") + 1).cast("int"))
     spread = posted.withColumn("block", F.pmod(F.xxhash64("point"), number))
 
@@ -213,22 +217,29 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id"
         counts = right["ids"].map(len).to_numpy()
         ids = np.concatenate(right["ids"].to_numpy())
         owner = np.repeat(np.arange(len(right)), counts)
-        out = []
-        for q, v in zip(left["q"], left["v"], strict=True):
+        found = []
+        for v, bound in zip(left["v"], left["bound"], strict=True):
             d = np.sqrt(((vectors - np.asarray(v, np.float64)) ** 2).sum(1))[owner]
-            if len(d) > 4 * (k + 1):
-                cut = np.partition(d, k)[k]
-                some = np.flatnonzero(d <= cut)
-            else:
-                some = np.arange(len(d))
+            cut = min(bound, np.partition(d, k)[k]) if len(d) > 4 * (k + 1) else bound
+            some = np.flatnonzero(d <= cut)
             some = some[np.lexsort((ids[some], d[some]))[: k + 1]]
-            out.append(pd.DataFrame({"q": q, "id": ids[some], "score": d[some]}))
-        return pd.concat(out)
-
-    near = probes.groupBy("list", "block").cogroup(spread.groupBy("list", "block")).applyInPandas(compare, "q long, id long, score double")
-    near = near.groupBy("q", "id").agg(F.min("score").alias("score"))
-    best = near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))).where(F.col("place") <= k + 1)
-    best = written(best.select("q", "id", "score"), "best")
+            found.append((ids[some], d[some]))
+        return pd.DataFrame({"q": np.repeat(left["q"].to_numpy(), [len(x) for x, _ in found]), "id": np.concatenate([x for x, _ in found]), "score": np.concatenate([d for _, d in found])})
+
+    def read(bounded: DataFrame, later: bool) -> DataFrame:
+        probes = bounded.select("v", "q", "bound").mapInArrow(lambda batches: probe(later, batches), f"list long, block long, q long, v {value}, bound double")
+        return probes.groupBy("list", "block").cogroup(spread.groupBy("list", "block")).applyInPandas(compare, "q long, id long, score double")
+
+    def top(near: DataFrame) -> DataFrame:
+        near = near.groupBy("q", "id").agg(F.min("score").alias("score"))
+        best = near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))).where(F.col("place") <= k + 1)
+        return written(best.select("q", "id", "score"), "best")
+
+    best = top(read(queries.withColumn("bound", F.lit(float("inf"))), False))
+    if parts > PROBES:
+        # Of the later lists, only what is not farther than the last of what is found can be in an answer.
+        bounds = best.groupBy("q").agg(F.when(F.count("*") > k, F.max("score")).otherwise(float("inf")).alias("bound"))
+        best = top(best.unionByName(read(queries.join(bounds, "q"), True)))
     named = asked.join(queries, "v").select(F.col("id").alias("query_id"), "q")
     pairs = named.join(best, "q").where("query_id != id")
     order = Window.partitionBy("query_id").orderBy("score", "id")

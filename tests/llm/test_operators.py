@@ -14,7 +14,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from gevel.llm import language, licenses, media, ngram_join, packing, pii, toxicity
+from gevel.llm import ann, language, licenses, media, ngram_join, packing, pii, toxicity
 from gevel.llm.ann import nearest
 from gevel.llm.bpe import encode_decode
 from gevel.llm.components import components
@@ -182,6 +182,22 @@ def test_nearest(spark):
     assert nearest(df.where("vec_id < 3")).count() == 2
 
 
+def test_all_near_lists_are_read(monkeypatch, spark):
+    monkeypatch.setattr(ann, "LIST_SIZE", 16)
+    monkeypatch.setattr(ann, "ENOUGH", 32)
+    points = np.random.default_rng(4).normal(size=(6000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id long, embedding array<float>")
+    got = {}
+    for x in nearest(df).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    wide, hits = points.astype(np.float64), 0
+    for q in range(0, 6000, 100):
+        d = ((wide - wide[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.95 * 600
+
+
 def test_token_counts(docs, odd, empty):
     own = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
     for df in (docs, odd):
