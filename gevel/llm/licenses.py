@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 Universal."),
 )
+#: More whole texts, one JSON object (license_id, text) a line.
+TEXTS = Path(__file__).with_name("license_texts.jsonl")
 #: Known texts that are sent to all tasks; a larger table is joined by shuffling.
 SENT_MOST = 50_000
 
@@ -65,14 +70,17 @@ def known_digests(known: DataFrame, license_col: str = "license_id", text_col: s
 
 
 def default_licenses(spark: SparkSession) -> DataFrame:
-    pairs = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in KNOWN))
+    """(license_id, text): KNOWN and the rows of TEXTS."""
+    rows = [json.loads(x) for x in TEXTS.read_text(encoding="utf-8").splitlines()]
+    known = [*KNOWN, *((r["license_id"], r["text"]) for r in rows)]
+    pairs = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in known))
     return spark.range(1).select(F.inline(pairs))
 
 
 def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, unit, line int, digest, license_id): for each row of df one row of unit 'text', line 0, with the whole text's digest and the licence known by it, if any; and one row of unit 'line' for each line (numbered from 1) that is as a whole a known text.
 
-    Texts that are null, empty or without a letter or digit have a null digest. Known texts default to KNOWN; up to SENT_MOST of them are sent to all tasks. Repeated rows stay; an empty table gives an empty one.
+    Texts that are null, empty or without a letter or digit have a null digest. Known texts default to KNOWN and those of TEXTS; up to SENT_MOST of them are sent to all tasks. Repeated rows stay; an empty table gives an empty one.
     """
     digests = known_digests(default_licenses(df.sparkSession) if known is None else known)
     if len(digests.take(SENT_MOST + 1)) <= SENT_MOST:

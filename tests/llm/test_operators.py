@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import tarfile
@@ -159,6 +160,18 @@ def test_licenses(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan
 
 
+def test_whole_license_texts(spark):
+    whole = {}
+    for r in map(json.loads, licenses.TEXTS.read_text().splitlines()):
+        whole.setdefault(r["license_id"], []).append(r["text"])
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-SA-4.0"} <= set(whole)
+    rows = [(name, "Copyright 2021 Some One\n\n" + t.upper()) for name, texts in whole.items() for t in texts]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licenses.license_scan(df).where("unit = 'text'").collect()} == {k: name for k, (name, _) in enumerate(rows)}
+    cut = df.selectExpr("doc_id", "substring(text, 1, length(text) - 40) as text")
+    assert licenses.license_scan(cut).where("unit = 'text' and license_id is not null").count() == 0
+
+
 def test_nearest(spark):
     r = np.random.default_rng(3)
     centres = r.normal(size=(30, 24)) * 3
