@@ -1,6 +1,6 @@
 """Pre-tokens of many texts at once: where they begin, one key each, and a store of what was worked out for each distinct one.
 
-Texts become code points; a table gives each code point's class, so that runs, optional leading spaces and contractions are found with array operations. A pre-token's key is a 64-bit hash of its code points and length."""
+Texts become code points; a table gives each code point's class, so that runs, optional leading spaces and contractions are found with array operations. A pre-token is looked up by a 64-bit hash and then held against the code points that are stored under it, so equal hashes do no harm."""
 
 from __future__ import annotations
 
@@ -114,21 +114,23 @@ class Store:
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self.begins = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int32)
-        self.used = 0
-
-    def _add(self, keys: list[int], words: list[str]) -> None:
+        self.places: dict[int | str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.begins, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        #: The pre-tokens themselves, and where each one begins and ends.
+        self.text, self.written = np.zeros(1 << 16, np.uint32), 0
+        self.heads, self.tails = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _add(self, keys: list[int | str], words: list[str]) -> None:
         rows = self.work(words)
-        total = self.used + sum(map(len, rows))
-        if total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * total - self.used, self.dtype)])
-        at = len(self.places)
-        if at + len(rows) > len(self.begins):
-            self.begins = np.concatenate([self.begins, np.zeros(at + 2 * len(rows), np.int64)])
-            self.sizes = np.concatenate([self.sizes, np.zeros(at + 2 * len(rows), np.int32)])
+        spelled, edges = points(words)
+        at, new = len(self.places), len(rows)
+        self.flat = roomy(self.flat, self.used + sum(map(len, rows)))
+        self.text = roomy(self.text, self.written + len(spelled))
+        self.begins, self.sizes, self.heads, self.tails = (roomy(x, at + new) for x in (self.begins, self.sizes, self.heads, self.tails))
+        self.text[self.written : self.written + len(spelled)] = spelled
+        self.heads[at : at + new], self.tails[at : at + new] = self.written + edges[:-1], self.written + edges[1:]
+        self.written += len(spelled)
         for key, row in zip(keys, rows, strict=True):
             self.places[key] = at
             self.begins[at], self.sizes[at] = self.used, len(row)
@@ -142,14 +144,31 @@ class Store:
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.places) + len(distinct) > self.most and self.places:
             self.clear()
+        word = lambda k: cp[begins[k] : ends[k]].tobytes().decode("utf-32-le", "surrogatepass")
         places = list(map(self.places.get, distinct.tolist()))
         missing = [k for k, p in enumerate(places) if p is None]
         if missing:
-            # Cut out of the text in bulk, a missing pre-token after the other.
-            at = first[missing]
-            self._add(distinct[missing].tolist(), [cp[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
+            self._add(distinct[missing].tolist(), list(map(word, first[missing].tolist())))
             places = list(map(self.places.__getitem__, distinct.tolist()))
-        return np.array(places, np.int64)[inverse]
+        found = np.array(places, np.int64)[inverse]
+        # A pre-token that is not the one under its hash is looked up by itself.
+        for k in np.flatnonzero(~self._same(cp, begins, ends, found)).tolist():
+            if (spelled := word(k)) not in self.places:
+                self._add([spelled], [spelled])
+            found[k] = self.places[spelled]
+        return found
+
+    def _same(self, cp: np.ndarray, begins: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether each pre-token is the one at its place, code point for code point."""
+        heads, sizes = self.heads[places], ends - begins
+        same = sizes == self.tails[places] - heads
+        full = np.flatnonzero(same & (sizes > 0))
+        inside = np.cumsum(sizes[full]) - sizes[full]
+        step = np.arange(int(sizes[full].sum())) - np.repeat(inside, sizes[full])
+        differ = cp[np.repeat(begins[full], sizes[full]) + step] != self.text[np.repeat(heads[full], sizes[full]) + step]
+        if differ.any():
+            same[full] &= ~np.logical_or.reduceat(differ, inside)
+        return same
 
     def rows(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All values of these places in a row, and how many each has."""
@@ -160,6 +179,11 @@ class Store:
         return self.flat[index], sizes
 
 
+def roomy(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n values at least."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(2 * n - len(x), x.dtype)])
+
+
 def batches_of(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters; a longer text has a range of its own."""
     begin, size = 0, 0

@@ -6,27 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n + 1:
-        size = max(n + 1, 1 << 20)
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            both.append(np.multiply.accumulate(out))
-        if size > 1 << 21:
-            return both[0], both[1]
-        _powers = both[0], both[1]
-    return _powers
+_BASE, _FULL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: Bytes of a word from which on it is hashed alone.
+LONG = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -83,23 +67,28 @@ def split_words(raw: np.ndarray, starts: np.ndarray, solid_bytes: np.ndarray = F
 
 
 def hashed(low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of bytes."""
-    if not len(begins):
+    """A 64-bit hash of each range of bytes: eight bytes after the other are mixed in, so that no structure of a word survives."""
+    n = len(begins)
+    if not n:
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(low))
-    total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(_BYTES[low] * up[: len(low)], out=total[1:])
-    return mixed((total[ends] - total[begins]) * down[begins])
+    sizes = ends - begins
+    eight = np.ndarray(len(low) + 1, "<u8", np.concatenate([low, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mixed(sizes.astype(np.uint64) * np.uint64(_BASE))
+    rows = np.flatnonzero((sizes > 0) & (sizes < LONG))
+    at, left = begins[rows], sizes[rows]
+    while len(rows):
+        block = eight[at] & (np.uint64(_FULL) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
+        out[rows] = mixed((out[rows] ^ block) * np.uint64(_BASE) + np.uint64(0xD6E8FEB86659FD93))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(sizes >= LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(low[begins[k] : ends[k]].tobytes())
+    return out
 
 
 def hashed_points(cp: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each range of code points."""
-    if not len(begins):
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(cp))
-    total = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * up[: len(cp)], out=total[1:])
-    return mixed((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    return hashed(np.ascontiguousarray(cp, "<u4").view(np.uint8), 4 * begins, 4 * ends)
 
 
 def shingles(words: np.ndarray, first: np.ndarray, width: int) -> list[np.ndarray]:

@@ -15,7 +15,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from gevel.llm import ann, language, licenses, media, ngram_join, packing, pii, toxicity
+from gevel.llm import ann, language, licenses, media, ngram_join, packing, pii, pretokens, toxicity
 from gevel.llm.ann import nearest
 from gevel.llm.bpe import encode_decode
 from gevel.llm.components import components
@@ -90,6 +90,56 @@ def test_links_are_counted(spark, docs, empty, width, percent, monkeypatch):
     assert jaccard_groups(empty, links=True).count() == 0
 
 
+@pytest.mark.parametrize(("width", "percent", "short", "turns"), [(3, 90, 24, 4), (3, 90, 3, 3), (5, 80, 3, 4), (5, 80, 3, 1)])
+def test_groups_just_below_the_threshold(spark, width, percent, short, turns, monkeypatch):
+    """Hundreds of texts that share most n-grams with one text, of which few link with each other, some only through changes that they share."""
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "TURNS", turns)
+    r = np.random.default_rng(width)
+    base = [f"w{k}" for k in range(150)]
+    rows, kinds = [], [base]
+    for k in range(260):
+        words = list(kinds[r.integers(len(kinds))])
+        for at in r.choice(150, r.integers(0, 12), replace=False):
+            words[at] = f"v{r.integers(3)}x{at}" if k % 4 else f"u{k}x{at}"
+        if k % 20 == 7:
+            kinds.append(words)
+        rows.append((k, " ".join(words[: 150 - k % 3])))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent).collect()}
+    want = groups(dict(rows), width, percent)
+    assert got == want and 5 < len({c for _, c in want.values()}) < 255
+
+
+THUE_MORSE = "a"
+while len(THUE_MORSE) < 1024:
+    THUE_MORSE += THUE_MORSE.translate({97: 98, 98: 97})
+TWINS = THUE_MORSE, THUE_MORSE.translate({97: 98, 98: 97})
+
+
+def test_words_of_like_structure_differ(spark):
+    """Hashes that are polynomials of the letters take these two words for one."""
+    df = spark.createDataFrame([(1, TWINS[0]), (2, TWINS[1]), (3, " ".join(TWINS)), (4, TWINS[0].upper())], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_groups(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    assert {r.doc_id: r.n_tokens for r in token_counts(df, path("piece_bpe_32k.model")).collect()} == {r.doc_id: len(pieces.encode(r.text)) for r in df.collect()}
+    words = Tokenizer.from_file(path("word_bpe_49k.json"))
+    words.no_truncation()
+    got = {r.doc_id: list(r.ids) for r in encode_decode(df, path("word_bpe_49k.json"), keep=True).collect()}
+    assert got == {r.doc_id: words.encode(r.text, add_special_tokens=False).ids for r in df.collect()}
+
+
+def test_equal_hashes_do_no_harm(monkeypatch):
+    monkeypatch.setattr(pretokens, "hashed_points", lambda cp, a, b: ((b - a) % 3).astype(np.uint64))
+    seen = []
+    store = pretokens.Store(lambda words: [seen.append(w) or np.array([len(w), ord(w[0])]) for w in words], np.int64)
+    words = ["abc", "abd", "x", "abcdef", "abc", "y", "x"]
+    for _ in range(2):
+        cp, at = pretokens.points(words)
+        values, sizes = store.rows(store.of(cp, at[:-1], at[1:]))
+        assert values.reshape(-1, 2).tolist() == [[len(w), ord(w[0])] for w in words] and set(sizes) == {2}
+    assert sorted(seen) == sorted(set(words))
+
+
 def plain_set(text: str | None, width: int) -> set[tuple[str, ...]]:
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
