@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from gevel.llm.stages import written
 
-#: Vectors that the centroids are fitted on, and centroids, at most.
-SAMPLE, LISTS = 20_000, 4096
-#: Vectors for each list, where LISTS allows it, and vectors of a list that one task compares at once.
-LIST_SIZE, BLOCK = 256, 8192
+#: Vectors that the centroids are fitted on, about: this many, or four for each list where that is more.
+SAMPLE = 20_000
+#: Vectors for each list, until there are so many lists that they and the lists' lengths grow alike, as the root of the table; vectors of a list that one task compares at once.
+LIST_SIZE, LISTS, BLOCK = 256, 4096, 8192
 #: Lists that hold one vector, and how much farther than the nearest their centroids may be.
 COPIES, COPY_RATIO = 4, 1.2
 #: Lists that a query reads first, how much farther than the nearest the centroids of all that it reads may be, and the least number of vectors in them.
@@ -138,6 +138,14 @@ class Graph:
         return out
 
 
+def lists_for(count: int) -> int:
+    """How many lists count vectors are put in: a power of two."""
+    parts = 1
+    while parts * max(LIST_SIZE, LIST_SIZE * parts // LISTS) < count:
+        parts *= 2
+    return parts
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -153,7 +161,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank int, vec_id, score): for each vector whose id is divisible by `every`, the k nearest found among all other vectors, by Euclidean distance in double precision, ties to the smaller id.
 
-    Ids must be distinct. Vectors that are null, zero, or hold null or non-finite numbers take no part, nor do those that have not the most frequent length. With fewer than k other vectors, all are returned; an empty table gives an empty one. The centroids are fitted on SAMPLE vectors; every vector is in a list.
+    Ids must be distinct. Vectors that are null, zero, or hold null or non-finite numbers take no part, nor do those that have not the most frequent length. With fewer than k other vectors, all are returned; an empty table gives an empty one. The centroids are fitted on a sample of SAMPLE vectors or four for each list, which goes to the driver (a billion vectors: 131,072 lists, 524,288 vectors); every vector is in a list.
     """
     found = written(usable(df, id_col, vector_col), "vectors")
     lengths = found.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -166,12 +174,10 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id"
     numbered = found.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
     points = written(numbered.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("point"), "v", "ids"), "points")
     count = points.count()
-    share = min(1.0, SAMPLE / count)
-    sample = points.where(F.expr(f"pmod(xxhash64(point), 1000000) < {share * 1e6}")).select("v").limit(SAMPLE).toArrow()["v"].combine_chunks()
+    parts = lists_for(count)
+    share = min(1.0, max(SAMPLE, 4 * parts) / count)
+    sample = points.where(F.expr(f"(xxhash64(point) & {(1 << 53) - 1}) <= {share * (1 << 53)!r}")).select("v").limit(2 * max(SAMPLE, 4 * parts)).toArrow()["v"].combine_chunks()
     sample = _matrix(sample)
-    parts = 1
-    while parts < LISTS and parts * LIST_SIZE < count and 2 * parts <= len(sample):
-        parts *= 2
     graph = Graph.of(halved(sample, parts))
     shared = spark.sparkContext.broadcast(graph)
 

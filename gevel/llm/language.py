@@ -15,20 +15,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gevel.llm.pretokens import LETTER, batches_of, point_classes, points
+from gevel.llm.pretokens import LETTER, NUMBER, batches_of, point_classes, points
+from gevel.llm.stages import dropped, written
 from gevel.llm.toxicity import fold
-from gevel.llm.words import hashed_points, mixed
+from gevel.llm.words import hashed_points, mixed, parts
 
 #: Places that n-grams and affixes are hashed to; the longest n-gram and the longest affix.
 PLACES, GRAM, AFFIX = 1 << 16, 4, 3
-#: Labelled rows that the model is fitted on, at most (about; taken by a hash of the id, as many for each language), and the languages it tells apart, at most: the most frequent ones.
-SAMPLE, LANGUAGES = 2000, 256
+#: Labelled rows that the model is fitted on, about (taken by a hash of the id, as many for each language, one at least); four times as many at most.
+SAMPLE = 2000
+#: Letters of the n-grams that tell whether words are of any learned language.
+KNOWN_GRAM = 3
 #: Frequent words of each language in its lexicon.
 LEXICON = 2000
 #: Passes over the sample, words in one step, and the step's size.
 PASSES, STEP_WORDS, RATE = 3, 20_000, 0.3
 #: Characters of texts that are gone through at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 18
 UNKNOWN = "und"
 
 
@@ -43,11 +46,14 @@ class Field:
     lexicon: np.ndarray
     moves: np.ndarray
     first: np.ndarray
+    #: Logarithms of how frequent n-grams are, a mean word's and text's, and how words and texts spread about them.
+    seen: np.ndarray
+    usual: tuple[float, float, float] = (0.0, 1.0, 1.0)
 
     @staticmethod
     def empty(languages: list[str]) -> Field:
         k = len(languages)
-        return Field(languages, np.zeros((PLACES, k)), np.zeros(0, np.uint64), np.zeros((0, k)), np.zeros((k, k)), np.zeros((k, k)), np.zeros(k))
+        return Field(languages, np.zeros((PLACES, k)), np.zeros(0, np.uint64), np.zeros((0, k)), np.zeros((k, k)), np.zeros((k, k)), np.zeros(k), np.zeros(PLACES, np.float32))
 
 
 def text_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,6 +120,52 @@ def emissions(model: Field, place: np.ndarray, word: np.ndarray, n: int, member:
     return out
 
 
+def known_grams(cp: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, word) of every run of KNOWN_GRAM letters of each word with a mark before and behind it."""
+    sizes = ends - begins + 2
+    marked = np.zeros(int(sizes.sum()), np.uint64)
+    heads = np.cumsum(sizes) - sizes
+    marked[_flat(heads + 1, sizes - 2)] = cp[_flat(begins, sizes - 2)].astype(np.uint64) + np.uint64(1)
+    counts = np.maximum(sizes - KNOWN_GRAM + 1, 0)
+    at = _flat(heads, counts)
+    key = np.zeros(len(at), np.uint64)
+    for k in range(KNOWN_GRAM):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + marked[at + k])
+    return (key & np.uint64(PLACES - 1)).astype(np.int64), np.repeat(np.arange(len(sizes)), counts)
+
+
+def familiar(model: Field, cp: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How frequent the n-grams of each word are in what was learned, as a mean of logarithms."""
+    place, word = known_grams(cp, begins, ends)
+    return np.bincount(word, model.seen[place], len(begins)) / np.maximum(np.bincount(word, minlength=len(begins)), 1)
+
+
+def apart(cp: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, ends, text) of each text's distinct words that no digit touches, unlike the pieces of keys and numbers."""
+    digit = np.append(point_classes()[cp] == NUMBER, False)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    some = np.flatnonzero(~digit[begins - 1] & ~digit[ends])
+    _, at = np.unique(mixed(hashed_points(cp, begins[some], ends[some]) + text[some].astype(np.uint64)), return_index=True)
+    some = np.sort(some[at])
+    return begins[some], ends[some], text[some]
+
+
+def learn_grams(model: Field, cp: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: np.ndarray) -> None:
+    """Counts the n-grams of each half of the texts; what is usual is told by the other half's counts, and in the end all count."""
+    begins, ends, text = apart(cp, begins, ends, first)
+    place, word = known_grams(cp, begins, ends)
+    says = np.zeros(len(begins))
+    for half in (0, 1, 2):
+        own = text % 2 == half
+        counts = np.bincount(place[~own[word]], minlength=PLACES)
+        model.seen = np.log((counts + 0.5) / (counts.sum() + 0.5 * PLACES)).astype(np.float32)
+        says[own] = familiar(model, cp, begins[own], ends[own])
+    n = np.bincount(text, minlength=len(first) - 1)
+    means = (np.bincount(text, says, len(first) - 1) / np.maximum(n, 1))[n >= 20]
+    if len(says):
+        model.usual = float(np.median(means if len(means) else says)), float(says.std()) + 1e-3, float(means.std() if len(means) > 1 else 0.0) + 1e-3
+
+
 def marginals(says: np.ndarray, first: np.ndarray, moves: np.ndarray, starting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(p, pairs): each word's shares of the languages, and the expected number of each move, by forward-backward.
 
@@ -179,6 +231,7 @@ def fit(texts: list[str], labels: list[int], languages: list[str], seed: int = 3
     cp, begins, ends, first = text_words(texts)
     if not len(begins):
         return model
+    learn_grams(model, cp, begins, ends, first)
     label = np.repeat(np.array(labels), np.diff(first))
     hashes = hashed_points(cp, begins, ends)
     frequent = [np.unique(hashes[label == j], return_counts=True) for j in range(k)]
@@ -239,24 +292,26 @@ def fit(texts: list[str], labels: list[int], languages: list[str], seed: int = 3
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (3, 1)) -> Field:
-    """A field fitted on about SAMPLE rows with a language whose crc32(id as text) modulo held_out[0] is not held_out[1]; those texts go to one task."""
+    """A field fitted on about SAMPLE rows, of every language one at least, whose crc32(id as text) modulo held_out[0] is not held_out[1]; those texts go to one task."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where((fold(F.col("id"), held_out[0]) != held_out[1]) & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
-    if not languages:
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.xxhash64("id")).alias("least")), "languages")
+    kinds = counts.count()
+    if not kinds:
         return Field.empty([])
-    each = max(1, SAMPLE // len(languages))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = F.when(F.col("lang") == r["lang"], F.expr(f"pmod(xxhash64(id), 1000000) < {min(1.0, each / r['count']) * 1e6}")).otherwise(chosen)
-    sample = rows.where(chosen).select("text", "lang")
+    each = max(1, SAMPLE // kinds)
+    # The row of the least hash is there of every language, so none is unknown for being rare.
+    near = F.expr(f"n <= {each} or (xxhash64(id) & {(1 << 53) - 1}) < {each} / n * {float(1 << 53)!r} or xxhash64(id) = least")
+    sample = written(rows.join(F.broadcast(counts) if kinds <= 4 * SAMPLE else counts, "lang").where(near).select("text", "lang").limit(4 * max(SAMPLE, kinds)), "sample")
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted({(t, x) for b in batches for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t}, key=lambda e: (hash_of(e[0]), e))
         model = fit([t for t, _ in found], [languages.index(x) for _, x in found], languages)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(learn, "model binary").first()["model"])
+    model = pickle.loads(sample.repartition(1).mapInArrow(learn, "model binary").first()["model"])
+    dropped(counts, sample)
+    return model
 
 
 def hash_of(text: str) -> int:
@@ -292,25 +347,34 @@ def predict(model: Field, texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [model.languages[j] if c else UNKNOWN for j, c in zip(best, n, strict=True)], np.where(n > 0, score, 0.0)
 
 
-def identify(df: DataFrame, model: Field, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """All columns of df and, by the names given, (lang_pred, score double): the language of most of the text's words and its share of them. Null texts and texts without a letter have `und` and 0. Repeated rows stay; columns of df with these names are replaced."""
+def strangeness(model: Field, texts: list[str]) -> np.ndarray:
+    """By how many spreads each text's n-grams are rarer than usual in what was learned, whatever language its words are of; few words spread more. A text's words count once each, pieces of keys and numbers not at all. 0 without a word or a model."""
+    cp, begins, ends, first = text_words(texts)
+    if not len(begins) or not model.languages:
+        return np.zeros(len(texts))
+    begins, ends, text = apart(cp, begins, ends, first)
+    n = np.bincount(text, minlength=len(texts))
+    means = np.bincount(text, familiar(model, cp, begins, ends), len(texts)) / np.maximum(n, 1)
+    middle, by_word, by_text = model.usual
+    return np.where(n > 0, (middle - means) / np.sqrt(by_text**2 + by_word**2 / np.maximum(n, 1)), 0.0)
+
+
+def identify(df: DataFrame, model: Field, text_col: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of df and, by the names given, (lang_pred, score double): the language of most of the text's words and its share of them; by a third name, also its strangeness (double). Null texts and texts without a letter have `und` and 0. Repeated rows stay; columns of df with these names are replaced."""
     rest = [c for c in df.columns if c not in names]
     rows = df.select(*(F.col(f"`{c}`") for c in rest))
     at = rest.index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, at, AT_ONCE)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            found: list[str] = []
-            scores = [np.zeros(0)]
-            for a, b in batches_of(texts, AT_ONCE):
-                languages, score = predict(shared.value, texts[a:b])
-                found += languages
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(np.concatenate(scores))], [*batch.schema.names, *names])
+            found, score = predict(shared.value, texts)
+            added = [pa.array(found, pa.string()), pa.array(score), *([pa.array(strangeness(shared.value, texts))] if names[2:] else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
-    return rows.mapInArrow(work, StructType([*rows.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
+    kinds = (StringType(), DoubleType(), DoubleType())
+    return rows.mapInArrow(work, StructType([*rows.schema.fields, *(StructField(n, k) for n, k in zip(names, kinds, strict=False))]))
 
 
 def label_words(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

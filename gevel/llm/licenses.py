@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 #: Spellings that count as equal (fixed values): each word on the left is read as the one on the right.
 SPELLINGS = {
-    "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "authorisation": "authorization",
-    "authorised": "authorized", "behaviour": "behavior", "centre": "center", "favour": "favor", "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment",
-    "labelled": "labeled", "merchantibility": "merchantability", "modelling": "modeling", "noncommercial": "non commercial", "organisation": "organization", "practise": "practice",
-    "programme": "program", "recognise": "recognize", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+    "acknowledgement": "acknowledgment", "acknowledgements": "acknowledgments", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorise": "authorize",
+    "authorised": "authorized", "behaviour": "behavior", "calibre": "caliber", "cancelled": "canceled", "capitalisations": "capitalizations", "catalogue": "catalog", "categorise": "categorize", "centre": "center",
+    "colour": "color", "customised": "customized", "defence": "defense", "emphasised": "emphasized", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "honour": "honor",
+    "initialise": "initialize", "initialised": "initialized", "instalment": "installment", "judgement": "judgment", "labelled": "labeled", "labelling": "labeling", "labour": "labor", "licence": "license",
+    "licenced": "licensed", "licences": "licenses", "licencing": "licensing", "maximise": "maximize", "merchantibility": "merchantability", "minimise": "minimize", "modelling": "modeling", "modernise": "modernize",
+    "noncommercial": "non commercial", "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "organised": "organized", "per cent": "percent", "practise": "practice",
+    "programme": "program", "realise": "realize", "recognise": "recognize", "recognised": "recognized", "signalling": "signaling", "sublicence": "sublicense", "unauthorised": "unauthorized", "utilisation": "utilization",
+    "utilise": "utilize", "whilst": "while", "wilful": "willful", "wilfull": "willful",
 }
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -44,14 +48,19 @@ TEXTS = Path(__file__).with_name("license_texts.jsonl")
 #: Known texts that are sent to all tasks; a larger table is joined by shuffling.
 SENT_MOST = 50_000
 
-_COPYRIGHT = r"(^|\n)[^\n\p{L}\p{N}]*(copyright|©|\(c\))[^\n]*"
+#: Notices of the FSF and of the Regents are part of their licences' texts, whatever line they share (fixed values); so are the gaps to fill in of appendices, which are left out.
+_OWNERS = r"copyright\s+(\(c\)|©)\s+([0-9]{4}[,\s-]+)*(free\s+software\s+foundation|the\s+regents\s+of)"
+_GAPS = r"copyright\s+(\(c\)\s+)?(\[yyyy\]\s+\[name\s+of\s+copyright\s+owner\]|<year>\s+<[a-z\s]+>|(yyyy|year|(19|20)yy)\s+<?name\s+of\s+author>?)"
+#: A line that begins as a notice: the sign, or the word or (c) with the sign or a year right behind.
+_COPYRIGHT = r"(^|\n)[^\n\p{L}\p{N}]*(©[^\n]*|(copyright|\(c\))[^\n\p{L}\p{N}]*(\(c\)[^\n\p{L}\p{N}]*)?(©|[0-9]{4})[^\n]*|copyright\s*\(c\)[^\n]*)"
 _OTHER = r"[^\p{L}\p{N}]+"
 _OTHER_IN_LINE = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """The text's lines in lower case, those of copyright empty, each run of other than letters and digits as one blank, and equivalent spellings alike; ends may be blank."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, "$1"), _OTHER_IN_LINE, " ")
+    told = F.regexp_replace(F.regexp_replace(F.lower(text), _OWNERS, "owner"), _GAPS, " ")
+    plain = F.regexp_replace(F.regexp_replace(told, _COPYRIGHT, "$1"), _OTHER_IN_LINE, " ")
     alike = plain
     for word, same in SPELLINGS.items():
         alike = F.regexp_replace(alike, rf"\b{word}\b", same)
@@ -80,7 +89,7 @@ def default_licenses(spark: SparkSession) -> DataFrame:
 def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, unit, line int, digest, license_id): for each row of df one row of unit 'text', line 0, with the whole text's digest and the licence known by it, if any; and one row of unit 'line' for each line (numbered from 1) that is as a whole a known text.
 
-    Texts that are null, empty or without a letter or digit have a null digest. Known texts default to KNOWN and those of TEXTS; up to SENT_MOST of them are sent to all tasks. Repeated rows stay; an empty table gives an empty one.
+    Texts that are null, empty or without a letter or digit have a null digest; texts of any length are digested whole. Known texts default to KNOWN and those of TEXTS; up to SENT_MOST of them are sent to all tasks. Repeated rows stay; an empty table gives an empty one.
     """
     digests = known_digests(default_licenses(df.sparkSession) if known is None else known)
     if len(digests.take(SENT_MOST + 1)) <= SENT_MOST:
@@ -94,7 +103,8 @@ def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "d
 
 
 def _canonical_sql(text: str) -> str:
-    plain = f"trim(regexp_replace(regexp_replace(lower({text}), '{_COPYRIGHT}', chr(10), 'g'), '{_OTHER}', ' ', 'g'))"
+    told = f"regexp_replace(regexp_replace(lower({text}), '{_OWNERS}', 'owner', 'g'), '{_GAPS}', ' ', 'g')"
+    plain = f"trim(regexp_replace(regexp_replace({told}, '{_COPYRIGHT}', chr(10), 'g'), '{_OTHER}', ' ', 'g'))"
     for word, same in SPELLINGS.items():
         plain = f"regexp_replace({plain}, '\\b{word}\\b', '{same}', 'g')"
     return plain

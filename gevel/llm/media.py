@@ -1,6 +1,6 @@
 """Media columns: payloads under their digests in tar shards, and columns that are read from headers alone.
 
-Each task appends the payloads of its rows to tar shards in a shared folder, each distinct one once; a row keeps the digest and the place of its payload. Payloads are grey 8-bit images (PNG), 576 samples wide. Columns of width, height and depth come from reading a range of 33 bytes; features from reading the stored bytes back.
+Each task appends the payloads of its rows to tar shards in a shared folder, each distinct one once for all its shards; a row keeps the digest and the place of its payload. Payloads are grey 8-bit images (PNG), 576 samples wide. Columns of width, height and depth come from reading a range of 33 bytes; features from reading the stored bytes back.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gevel.llm.stages import new_path, written
+from gevel.llm.words import parts
 
 WIDTH, FILL = 576, 255
 SHARD_BYTES = 256 << 20
@@ -79,7 +80,7 @@ def feature(values: bytes) -> str:
 
 
 class Shards:
-    """Tar shards of one task; each has its last name only once it is whole, so that a task that is tried again replaces them."""
+    """Tar shards of one attempt of a task. They carry its number, so attempts don't touch each other's; which ones count is what the written index says."""
 
     def __init__(self, folder: str, task: int, attempt: int) -> None:
         self.store, self.folder = pafs.FileSystem.from_uri(folder)
@@ -88,12 +89,12 @@ class Shards:
         self.places: dict[str, tuple[str, int, int]] = {}
 
     def put(self, digest: str, stored: bytes) -> tuple[str, int, int]:
-        """Shard, offset and length of a payload; the same digest is stored once in a shard."""
+        """Shard, offset and length of a payload that was not put here before."""
         if self.stream is not None and self.at > SHARD_BYTES:
             self.close()
         if self.stream is None:
-            self.name = f"part-{self.task:06d}-{self.count:04d}.tar"
-            self.stream = self.store.open_output_stream(f"{self.folder}/.{self.name}.{self.attempt}")
+            self.name = f"part-{self.task:06d}-{self.attempt}-{self.count:04d}.tar"
+            self.stream = self.store.open_output_stream(f"{self.folder}/{self.name}")
             self.at = 0
         info = tarfile.TarInfo(f"{digest}.png")
         info.size = len(stored)
@@ -107,10 +108,8 @@ class Shards:
         if self.stream is not None:
             self.stream.write(bytes(1024))
             self.stream.close()
-            self.store.move(f"{self.folder}/.{self.name}.{self.attempt}", f"{self.folder}/{self.name}")
             self.stream = None
             self.count += 1
-            self.places.clear()
 
 
 def store_texts(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +124,7 @@ def store_texts(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shards = Shards(folder, context.partitionId(), context.taskAttemptId())
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             out: list[list] = [[] for _ in names[1:]]
             for text in batch.column(1):
                 data, n = payload(text.as_py())

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gevel.llm.words import parts
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -104,10 +106,22 @@ _SPELLED = regex.compile(rf"(?i)\b(?:(?:plus|\+)[ ]?)?(?:[0-9]+[ ,.-]{{0,2}})*+(
 _SPELLED_PART = regex.compile(rf"(?i)plus[ ]?|(?:{_NAMES})\b|,[ ]?|[ ]{{2}}|-[ ]| -")
 _BRACKETS = re.compile(r"(?i)[\[({<][ ]?(?:at|@|a|dot|punkt|point|punto|\.)[ ]?[\])}>]")
 _SIGN = re.compile(rf"(?i)[ ]?{_BRACKETS.pattern[4:]}[ ]?")
-#: Signs as words or with blanks around, between what may be the parts of an address.
+#: Signs as words or with blanks around, between what may be the parts of an address. After the word at, prose may name a host, so there a dot must be disguised too.
 _AT = re.compile(r"[ ]+[aA][tT][ ]+|[ ]+@[ ]*|@[ ]+")
 _HOST = regex.compile(r"(?i)[A-Z0-9-]++(?:(?P<dot>[ ]+dot[ ]+|[ ]+\.[ ]*|\.)[A-Z0-9-]++)+")
+_SPELLED_HOST = regex.compile(r"(?i)[A-Z0-9-]++(?:\.[A-Z0-9-]++)*+(?:(?P<dot>[ ]+dot[ ]+)(?=[A-Z0-9-]*[A-Z])[A-Z0-9-]++(?:\.[A-Z0-9-]++)*+)+")
+#: Last parts of hosts after the word at (fixed values).
+_LAST = frozenset("ai app ar at au be biz br ca ch cl cn co com de dev dk edu es eu fi fr gov gr hu ie in info int io it jp kr me mil mx net nl no nz org pl pt ro ru se tr tv uk us za".split())
 _MIXED = regex.compile(r"(?i)(?<=@[A-Z0-9.-]{1,255})[ ]+dot[ ]+(?=[A-Z]{2})")
+#: References to characters, and signs as words between underscores or hyphens.
+_REFERENCE = re.compile(r"(?i)&#0*64;|&#x0*40;|&commat;|&#0*46;|&#x0*2e;|&period;")
+_JOINED = regex.compile(r"(?i)(?<=[A-Z0-9])(?P<gap>[_-])at(?P=gap)[A-Z0-9-]+?(?:(?P=gap)dot(?P=gap)[A-Z0-9]++)+")
+_JOINED_SIGN = re.compile(r"(?i)[_-](at|dot)[_-]")
+#: Four groups of up to three digits, spelled or not, with dots as words or signs between.
+_GROUP = rf"(?:(?:{_NAMES})\b[ -]?|[0-9]){{1,3}}"
+_SPELLED_IP = regex.compile(rf"(?i)\b{_GROUP}(?:[ ]*(?:dot|point|punkt|punto|\.)[ ]*{_GROUP}){{3}}")
+_IP_PART = regex.compile(rf"(?i)[ ]*(?P<dot>\b(?:dot|point|punkt|punto)\b)[ ]*|(?P<digit>{_NAMES})\b(?:[ -](?=(?:{_NAMES})\b))?")
+_DOT_WORD = re.compile(r"(?i)\b(?:dot|point|punkt|punto)\b")
 
 
 def _spelled(text: str) -> bool:
@@ -158,6 +172,14 @@ def rewritten(text: str) -> Rewritten:
     out = Rewritten(text)
     if not text.isascii() and not PLAIN.keys().isdisjoint(set(text)):
         out.change([(*m.span(), PLAIN[m[0]]) for m in _ODD.finditer(text)])
+    if "&" in out.text:
+        out.change([(*m.span(), "@" if m[0].lower().lstrip("&#x0") in ("64;", "40;", "commat;") else ".") for m in _REFERENCE.finditer(out.text)])
+    if _DOT_WORD.search(out.text):
+        edits = []
+        for m in _SPELLED_IP.finditer(out.text):
+            for p in _IP_PART.finditer(out.text, *m.span()):
+                edits.append((*p.span(), str(DIGITS[p["digit"].lower()]) if p["digit"] else "."))
+        out.change(edits)
     if _spelled(out.text):
         edits = []
         for m in _SPELLED.finditer(out.text):
@@ -167,10 +189,14 @@ def rewritten(text: str) -> Rewritten:
         out.change(edits)
     if _BRACKETS.search(out.text):
         out.change([(*m.span(), "@" if m[0].strip(" [](){}<>").lower() in ("at", "@", "a") else ".") for m in _SIGN.finditer(out.text)])
+    if "at" in (low := out.text.lower()) and "dot" in low:
+        edits = [(*p.span(), "@" if p[1].lower() == "at" else ".") for m in _JOINED.finditer(out.text) for p in _JOINED_SIGN.finditer(out.text, *m.span())]
+        out.change(edits)
     edits, free = [], 0
     for m in _AT.finditer(out.text):
-        host = _HOST.match(out.text, m.end()) if m.start() > free and out.text[m.start() - 1] in _LOCAL else None
-        if host:
+        host = (_HOST if "@" in m[0] else _SPELLED_HOST).match(out.text, m.end()) if m.start() > free and out.text[m.start() - 1] in _LOCAL else None
+        # A dot with a blank behind it and a capital after that ends a sentence.
+        if host and ("@" in m[0] or re.split(r"[. ]", host[0])[-1].lower() in _LAST) and not any(out.text[b - 1] == " " and out.text[a:b].strip() == "." and out.text[b].isupper() for a, b in host.spans("dot")):
             edits += [(*m.span(), "@"), *((*s, ".") for s in host.spans("dot"))]
             free = host.end()
     out.change(edits)
@@ -210,14 +236,14 @@ def redacted(text: str, found: dict[str, list[Span]]) -> str:
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_base) of each row.
 
-    spans lists all spans as kind:start:end in code points, end exclusive; the counts are of these, n_base of the plain ones alone, whose list base_sha256 is of. Null counts as empty, which has none; repeated rows stay; an empty table gives an empty one.
+    spans lists all spans as kind:start:end in code points, end exclusive; the counts are of these, n_base of the plain ones alone, whose list base_sha256 is of. Null counts as empty, which has none; texts of any length are gone through whole; repeated rows stay; an empty table gives an empty one.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_base"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             out: list[list] = [[] for _ in range(len(names) - 1)]
             for text in batch.column(1):
                 base, every = spans(text.as_py())
@@ -234,7 +260,7 @@ def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     at = df.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, at)):
             texts = [None if t is None else redacted(t, spans(t)[1]) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 :]], batch.schema.names)
 

@@ -67,9 +67,13 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
                     continue
                 cp = np.where(cp == BLANK, np.uint32(MARK), cp)
                 begins = cuts(cp, starts)
-                counts, _ = store.rows(store.of(cp, begins, np.append(begins[1:], len(cp))))
-                upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-                totals.append(np.diff(upto[np.searchsorted(begins, starts)]))
+                places = store.of(cp, begins, np.append(begins[1:], len(cp)))
+                # The frequencies of each text's distinct pre-tokens, and the counts joined to them.
+                owner = np.searchsorted(starts, begins, "right") - 1
+                pairs, frequency = np.unique(owner * (int(places.max()) + 1) + places, return_counts=True)
+                owner, places = np.divmod(pairs, int(places.max()) + 1)
+                counts, _ = store.rows(places)
+                totals.append(np.bincount(owner, counts * frequency, b - a).astype(np.int64))
             n = np.concatenate(totals) if totals else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -25,8 +25,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if pa.types.is_large_binary(column.type) else "")
+    if not pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
     starts = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None and starts[-1] > starts[0] else np.zeros(0, np.uint8)
@@ -43,6 +44,14 @@ def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, i
         begin = min(end, n)
 
 
+def parts(batch: pa.RecordBatch, at: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about most_bytes each in column `at`, so that what Python makes of them at once is bounded; one without rows stays as it is."""
+    if not len(batch):
+        yield batch
+    for a, b in slices(batch.column(at).cast(pa.large_binary()), most_bytes):
+        yield batch.slice(a, b - a)
+
+
 #: Bytes of words: other than blanks; ASCII letters and digits and all other bytes of UTF-8; letters alone.
 FILLED = ~np.isin(np.arange(256), [32, *range(9, 14)])
 ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])

@@ -35,6 +35,13 @@ def test_language_keeps_texts_with_letters(spark, docs):
     kept = corpus_pipeline.by_language(spark, docs, SF)
     assert kept.where("doc_id < 7000").count() == docs.where("doc_id < 7000").count()
     assert kept.where("text is null or text in ('', '12 34')").count() == 0
+    odd = [(8000, "qzx jkwv bqpt xzzk wqjv kkzq pvxw zqj " * 6), (8001, "съешь ещё этих мягких французских булок да выпей чаю"), (8002, "zażółć gęślą jaźń pchnąć w tę łódź jeża lub ośm skrzyń fig")]
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.lang: r.text for r in more.where("length(text) > 600").collect()}
+    clean = [(8003, " ".join(" ".join(t.split()[:25]) for t in texts.values()))]
+    more = more.where("doc_id not between 8000 and 8999").unionByName(spark.createDataFrame(odd + clean, "doc_id long, text string"), allowMissingColumns=True)
+    kept = corpus_pipeline.by_language(spark, more, SF)
+    assert [r.doc_id for r in kept.where("doc_id between 8000 and 8999").collect()] == [8003] and kept.count() == more.count() - 3
 
 
 def test_toxicity_keeps_clean_texts(spark, docs):
@@ -43,6 +50,20 @@ def test_toxicity_keeps_clean_texts(spark, docs):
     assert kept >= 0.97 * labels.where("toxic = 0").join(docs, "doc_id").select("doc_id").distinct().count()
 
 
+def test_toxic_texts_go(spark, docs):
+    toxic = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("toxic = 1")
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = corpus_pipeline.by_toxicity(spark, rows, "/root/testdata/sf0.01")
+    assert kept.join(toxic, "doc_id").count() <= 0.2 * rows.join(toxic, "doc_id").count() and kept.count() >= 0.8 * rows.count()
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (1, "another text with the same id that is quite different"), (2, " ".join(words)), (2, " ".join(words)), (3, ""), (3, None), (None, " ".join(words))]
+    kept = corpus_pipeline.by_nearness(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, [type(kept[0])(doc_id=k, text=t) for k, t in (rows[0], rows[1], rows[4], rows[5], rows[6])]))
+
+
 def test_one_of_each_group_stays(spark, docs):
     from test_operators import groups
 
