@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,14 +81,23 @@ def allowed_url(x: Column) -> Column:
     return x.rlike("^(?i)https://") & (site(x) != "other")
 
 
-#: Letters with marks and the letters without (fixed values).
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _marked() -> tuple[str, str]:
+    """Lower-case letters with marks, and the letters without: those that decompose into an ASCII letter and marks."""
+    both = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))]
+    some = [(c, d[0]) for c, d in both if c == c.lower() and len(d) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in some), "".join(d for _, d in some)
+
+
+MARKED, PLAIN = _marked()
+
+
+def unmarked(x: Column) -> Column:
+    """Lower case without marks, also without those that stand for themselves behind a letter."""
+    return F.regexp_replace(F.translate(F.lower(x), MARKED, PLAIN), "[\u0300-\u036f]", "")
 
 
 def comparable(x: Column) -> Column:
-    """Lower case without marks."""
-    return F.translate(F.lower(x), MARKED, PLAIN)
+    return unmarked(x)
 
 
 def title_match(title: Column, street: Column, number: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gevel.plans import feed, ingest, maps, properties, social, valuation
+from gevel.plans import feed, ingest, maps, properties, social, texts, valuation
 
-_MODULES = (feed, valuation, properties, maps, social, ingest)
+_MODULES = (feed, valuation, properties, maps, social, ingest, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
