@@ -1,29 +1,35 @@
-"""Views that count: one an hour for each property and viewer."""
+"""Folds over time: what counts only some time after the last of its kind that counted."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3600
 
 
-def hourly(views: DataFrame) -> DataFrame:
-    """(property_id, viewer, viewed_at): the first view of each property and viewer, and each later one that is an hour or more after the last that was kept.
+def spaced(rows: DataFrame, keys: Sequence[str], at: str, seconds: int) -> DataFrame:
+    """The times (keys, at) that count: the first of each key, and each later one that is so many seconds or more after the last that counted. Keys must not be null.
 
-    Unknown viewers (neither user nor session) all count. Views are cut into runs at gaps of an hour or more, where the next view always counts; only within a run are views gone through in order, so no task holds more than one run of one viewer.
+    Rows are cut into runs at gaps of that length, where the next always counts; only within a run are they gone through in order, so no task holds more than one run of one key.
     """
-    known = F.coalesce(F.col("user_id").cast("string"), F.col("session_id"))
-    rows = views.select("property_id", known.alias("viewer"), "viewed_at")
-    key = Window.partitionBy("property_id", "viewer").orderBy("viewed_at")
-    micros = F.unix_micros("viewed_at")
+    key = Window.partitionBy(*keys).orderBy(at)
+    micros = F.unix_micros(at)
     gap = micros - F.lag(micros).over(key)
-    runs = rows.where("viewer is not null").withColumn("begins", (gap.isNull() | (gap >= HOUR * 1_000_000)).cast("int"))
-    runs = runs.withColumn("run", F.sum("begins").over(key))
+    runs = rows.select(*keys, at).withColumn("_begins", (gap.isNull() | (gap >= seconds * 1_000_000)).cast("int"))
+    runs = runs.withColumn("_run", F.sum("_begins").over(key))
     kept = F.aggregate(
-        F.sort_array(F.collect_list("viewed_at")),
+        F.sort_array(F.collect_list(at)),
         F.array().cast("array<timestamp>"),
-        lambda found, x: F.when((F.size(found) == 0) | (F.unix_micros(x) - F.unix_micros(F.try_element_at(found, F.lit(-1))) >= HOUR * 1_000_000), F.concat(found, F.array(x))).otherwise(found),
+        lambda found, x: F.when((F.size(found) == 0) | (F.unix_micros(x) - F.unix_micros(F.try_element_at(found, F.lit(-1))) >= seconds * 1_000_000), F.concat(found, F.array(x))).otherwise(found),
     )
-    counted = runs.groupBy("property_id", "viewer", "run").agg(kept.alias("kept")).select("property_id", "viewer", F.explode("kept").alias("viewed_at"))
-    return counted.unionByName(rows.where("viewer is null"))
+    return runs.groupBy(*keys, "_run").agg(kept.alias("_kept")).select(*keys, F.explode("_kept").alias(at))
+
+
+def hourly(views: DataFrame) -> DataFrame:
+    """(property_id, viewer, viewed_at) of the views that count, one an hour for each property and viewer. Unknown viewers (neither user nor session) all count."""
+    known = F.coalesce(F.col("user_id").cast("string"), F.col("session_id"))
+    rows = views.select("property_id", known.alias("viewer"), "viewed_at")
+    return spaced(rows.where("viewer is not null"), ["property_id", "viewer"], "viewed_at", HOUR).unionByName(rows.where("viewer is null"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gevel.plans import feed, ingest, maps, properties, social, texts, valuation
+from gevel.plans import feed, ingest, maps, mirrors, properties, social, texts, valuation, writes
 
-_MODULES = (feed, valuation, properties, maps, social, ingest, texts)
+_MODULES = (feed, valuation, properties, maps, social, ingest, mirrors, writes, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,7 +40,7 @@ SELECT l_orderkey AS id, min(l_partkey) AS property_id, concat('https://www.fund
   CASE WHEN l_orderkey % 12 = 0 THEN 'rent' ELSE 'sale' END AS price_type,
   CAST(max(l_shipdate) + INTERVAL '{SHIFT}' DAY AS TIMESTAMP) AS created_at,
   CAST(max(l_shipdate) + INTERVAL '{SHIFT + 1}' DAY AS TIMESTAMP) AS mirror_last_changed_at
-FROM {{lineitem}} WHERE l_linenumber = 1 AND l_orderkey % 4 = 0 GROUP BY l_orderkey""",
+FROM {{lineitem}} GROUP BY l_orderkey""",
     "price_guesses": f"""
 SELECT min(l_orderkey) * 100000 + l_partkey AS id, l_partkey AS property_id, o_custkey AS user_id, CAST(floor(min(l_extendedprice)) AS BIGINT) AS guessed_price,
   CAST(min(o_orderdate) + INTERVAL '{SHIFT}' DAY AS TIMESTAMP) AS created_at,
@@ -49,8 +49,8 @@ FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey JOIN {{part}} ON p_
 WHERE o_orderkey % (1 + l_partkey % 40) = 0 GROUP BY l_partkey, o_custkey""",
     "price_history": f"""
 SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_partkey AS property_id, CAST(floor(l_extendedprice) AS BIGINT) AS price,
-  CAST(l_shipdate + INTERVAL '{SHIFT}' DAY AS DATE) AS price_date, CASE WHEN l_orderkey % 9 = 0 THEN 'sold' ELSE 'asking_price' END AS event_type
-FROM {{lineitem}} WHERE l_linestatus = 'F' AND l_orderkey % 3 = 0""",
+  CAST(l_shipdate + INTERVAL '{SHIFT}' DAY AS DATE) AS price_date, CASE WHEN l_linestatus = 'F' AND l_orderkey % 9 = 0 THEN 'sold' ELSE 'asking_price' END AS event_type
+FROM {{lineitem}}""",
     "comments": """
 SELECT conv_id * 1000 + turn AS id, (conv_id * 131 + (CASE WHEN role = 'assistant' THEN turn - 1 ELSE turn END) * 17) % 200 AS property_id,
   (conv_id * 7 + turn) % 150 AS user_id, CASE WHEN role = 'assistant' THEN conv_id * 1000 + turn - 1 END AS parent_id, text AS content,
@@ -78,7 +78,7 @@ FROM {part}
 UNION ALL
 SELECT concat('R', lpad(CAST(p_partkey * 2 + 1 AS STRING), 9, '0')), 'POINT (4.5 52.2)', '77', '1999', 'Verblijfsobject in gebruik', p_name, CAST(p_size AS STRING), 'A', '',
   concat(CAST(1000 + p_partkey * 7 % 9000 AS STRING), chr(CAST(65 + p_partkey % 26 AS INT)), chr(CAST(65 + p_partkey * 7 % 26 AS INT))), 'X'
-FROM {part} WHERE p_partkey % 3 = 0""",
+FROM {part}""",
     "incoming": """
 SELECT l_orderkey * 10 + l_linenumber AS row_id, min(l_partkey) AS near_key, concat('m', CAST(l_orderkey - l_orderkey % 4 AS STRING)) AS mirror_id,
   CASE (l_orderkey - l_orderkey % 4) % 3 WHEN 0 THEN 'funda' WHEN 1 THEN 'pararius' ELSE 'other' END AS source_name,
@@ -88,7 +88,28 @@ SELECT l_orderkey * 10 + l_linenumber AS row_id, min(l_partkey) AS near_key, con
   concat(CAST(min(p_size) AS STRING), CASE min(l_partkey) % 5 WHEN 0 THEN 'a' WHEN 1 THEN '-bis' WHEN 2 THEN '/1' ELSE '' END) AS house_number,
   CASE WHEN min(l_partkey) % 7 = 0 THEN NULL ELSE CAST(3500 + min(l_partkey) * 37 % 3700 AS DOUBLE) / 1000 + 0.0004 END AS lon,
   CASE WHEN min(l_partkey) % 7 = 0 THEN NULL ELSE CAST(50750 + min(l_partkey) * 91 % 2800 AS DOUBLE) / 1000 END AS lat
-FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_linenumber = 2 AND l_orderkey % 5 = 0 GROUP BY l_orderkey, l_linenumber""",
+FROM {lineitem} JOIN {part} ON p_partkey = l_partkey GROUP BY l_orderkey, l_linenumber""",
+    "mirror_rows": """
+SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN 'rent' WHEN p_partkey % 6 = 1 THEN NULL ELSE 'sale' END AS price_type,
+  CASE WHEN p_partkey % 13 = 2 THEN 'n/a' WHEN p_partkey % 13 = 3 THEN NULL ELSE CAST(CAST(floor(p_retailprice * 25000) AS BIGINT) + p_partkey % 100 AS STRING) END AS asking_price_cents,
+  CASE p_partkey % 6 WHEN 0 THEN 'Available' WHEN 1 THEN 'SOLD' WHEN 2 THEN 'rented' WHEN 3 THEN 'withdrawn' WHEN 4 THEN 'under offer' ELSE 'available' END AS status,
+  CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('https://img.example/', CAST(p_partkey AS STRING), '/1.jpg,https://img.example/', CAST(p_partkey AS STRING), '/2.jpg') END AS photo_urls,
+  p_name AS street, CASE p_partkey % 3 WHEN 0 THEN concat(CAST(p_size AS STRING), CASE p_partkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN '-bis' WHEN 2 THEN ' 1' ELSE '' END) ELSE CAST(p_size AS STRING) END AS house_number,
+  CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'a' WHEN p_partkey % 5 = 1 THEN 'bis' WHEN p_partkey % 5 = 2 THEN '1' ELSE '' END AS house_number_addition,
+  CASE WHEN p_partkey % 10 = 9 THEN '9999 zz' ELSE concat(CAST(1000 + p_partkey * 7 % 9000 AS STRING), ' ', lower(chr(CAST(65 + p_partkey % 26 AS INT))), chr(CAST(65 + p_partkey * 7 % 26 AS INT))) END AS postal_code, p_type AS city,
+  CASE WHEN p_partkey % 17 = 3 THEN NULL ELSE CAST(3500 + p_partkey * 37 % 3700 AS DOUBLE) / 1000 + 0.0004 END AS lon, CASE WHEN p_partkey % 17 = 3 THEN NULL ELSE CAST(50750 + p_partkey * 91 % 2800 AS DOUBLE) / 1000 + 0.0004 END AS lat
+FROM {part}""",
+    "guess_submissions": """
+SELECT event_id AS id, CASE WHEN event_id % 13 = 0 THEN -1 ELSE event_id % 7 END AS property_id, user_id % 10 AS user_id, 20000 + event_id % 97 * 1000 AS guessed_price, CAST(ts AS TIMESTAMP) AS submitted_at
+FROM {events}""",
+    "toggles": """
+SELECT event_id AS id, CASE WHEN event_type IN ('view', 'click') THEN 'like' ELSE 'save' END AS kind, CASE WHEN event_type IN ('click', 'error') OR event_id % 7 < 3 THEN 'on' ELSE 'off' END AS action,
+  event_id % 37 AS property_id, user_id % 10 AS user_id, CAST(ts AS TIMESTAMP) AS made_at
+FROM {events}""",
+    "comment_submissions": """
+SELECT conv_id * 1000 + turn + 500 AS id, CASE WHEN conv_id % 19 = 4 THEN -1 ELSE (conv_id * 131 + turn * 17) % 200 END AS property_id, (conv_id * 7 + turn) % 150 AS user_id,
+  CASE turn % 4 WHEN 0 THEN NULL WHEN 1 THEN conv_id * 1000 + turn WHEN 2 THEN conv_id * 1000 + turn - 1 ELSE conv_id * 1000 + turn + 400 END AS parent_id, text AS content
+FROM {conversations}""",
 }
 RAW = ("part", "customer", "lineitem", "orders", "conversations", "events", "pages")
 
