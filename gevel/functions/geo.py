@@ -75,6 +75,20 @@ def on_tile(lon: Column, lat: Column, box: tuple[float, float, float, float], ex
     return F.floor((lon - west) / (east - west) * extent).cast("int"), F.floor((F.lit(north) - lat) / (north - south) * extent).cast("int")
 
 
+def tile_of(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
+    """The tile that holds a place."""
+    n = 2**zoom
+    return F.floor((lon + 180) / 360 * n).cast("int"), F.floor((1 - F.asinh(F.tan(F.radians(lat))) / F.pi()) / 2 * n).cast("int")
+
+
+def on_own_tile(lon: Column, lat: Column, zoom: int, x: Column, y: Column, extent: int = 4096) -> tuple[Column, Column]:
+    """As on_tile, for tiles that columns name."""
+    n = 2**zoom
+    parallel = lambda row: F.degrees(F.atan(F.sinh(F.pi() * (1 - 2 * row / F.lit(n)))))
+    west, north, south = x / F.lit(n) * 360 - 180, parallel(y), parallel(y + 1)
+    return F.floor((lon - west) / F.lit(360 / n) * extent).cast("int"), F.floor((north - lat) / (north - south) * extent).cast("int")
+
+
 def on_tile_sql(lon: str, lat: str, box: tuple[float, float, float, float], extent: int = 4096) -> tuple[str, str]:
     west, south, east, north = box
     return (

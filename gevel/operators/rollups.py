@@ -50,3 +50,11 @@ def page(df: DataFrame, *order: Column, number: int = 1, size: int = 20) -> Data
     if number < 1 or not 1 <= size <= 100:
         raise ValueError(f"page {number} of size {size}: pages begin at 1 and hold 1 to 100 rows")
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def counted_page(df: DataFrame, *order: Column, number: int = 1, size: int = 20) -> DataFrame:
+    """One page with the place of each row on it (place), and on each row what the whole result holds: total, total_pages, and has_more behind this page. The count is a scalar subquery, so no row meets another."""
+    rows = page(df, *order, number=number, size=size)
+    total = df.select(F.count("*")).scalar()
+    rows = rows.withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("total", total)
+    return rows.withColumn("total_pages", F.ceil(F.col("total") / size).cast("int")).withColumn("has_more", F.lit(number * size) < F.col("total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gevel.functions import address
+from gevel.functions import address, texts
 from gevel.functions.scoring import iso
 from gevel.operators.merge import upserted
 from gevel.operators.rollups import first_of
@@ -54,8 +54,12 @@ def matched(t: Tables) -> DataFrame:
     )
     p = t.properties.where("postal_code is not null").groupBy(F.col("postal_code").alias("code"), F.col("house_number").alias("number"), F.coalesce("house_number_addition", F.lit("")).alias("extra")).agg(F.min("id").alias("by_address"))
     rows = rows.join(p, ["code", "number", "extra"], "left")
-    near = nearest_within(rows.where("by_address is null and code is not null"), "row_id", t.properties, "id", TOLERANCE).select("row_id", F.col("id").alias("by_position"))
-    rows = rows.join(near, "row_id", "left")
+    # Listings of one address share what is near the first of them that has a position.
+    key = F.concat_ws("|", "code", F.col("number").cast("string"), "extra")
+    rows = rows.withColumn("key", F.when(F.col("by_address").isNull() & F.col("code").isNotNull() & F.col("number").isNotNull(), key))
+    probes = rows.where("key is not null and lon is not null and lat is not null").groupBy("key").agg(F.min_by(F.struct("lon", "lat"), "row_id").alias("at")).select("key", "at.lon", "at.lat")
+    near = nearest_within(probes, "key", t.properties, "id", TOLERANCE).select("key", F.col("id").alias("by_position"))
+    rows = rows.join(near, "key", "left")
     how = F.when(F.col("code").isNull() | F.col("number").isNull(), "error").when(F.col("by_address").isNotNull(), "address").when(F.col("by_position").isNotNull(), "position").otherwise("skipped")
     return rows.withColumn("how", how).withColumn("property_id", F.coalesce("by_address", "by_position"))
 
@@ -71,7 +75,8 @@ def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = first_of(rows.where("how in ('address', 'position')"), ["source_name", "mirror_id"], F.desc("row_id"))
     table = t.listings.where("mirror_id is not null").select("source_name", "mirror_id", "property_id", "asking_price", "source_url")
     merged = upserted(table, good.select("source_name", "mirror_id", "property_id", "asking_price", "source_url"), ["source_name", "mirror_id"], ["asking_price", "source_url"]).where("outcome <> 'kept'")
-    rest = rows.where("how in ('error', 'skipped')").select(F.col("how").alias("outcome"))
+    # A row in error also counts as skipped.
+    rest = rows.where("how in ('error', 'skipped')").select(F.explode(F.when(F.col("how") == "error", F.array(F.lit("error"), F.lit("skipped"))).otherwise(F.array(F.lit("skipped")))).alias("outcome"))
     return merged.select("outcome").unionByName(rest).groupBy("outcome").agg(F.count("*").cast("int").alias("n"))
 
 
@@ -85,7 +90,7 @@ def page_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's clean URL, host, site, whether it may be listed, its titles, and whether it names street 'the' number 439."""
     t = Tables(spark, sf_dir)
     title = F.nullif(F.regexp_extract("html", r"(?is)<title>([^<]*)</title>", 1), F.lit(""))
-    return t.raw("pages").select("page_id", address.source_url(F.col("url")).alias("source_url"), address.host(F.col("url")).alias("host"), address.site(F.col("url")).alias("site"), address.allowed_url(F.col("url")).alias("allowed"), title.alias("title"), address.meta_content(F.col("html"), "og:title").alias("og_title"), address.title_match(title, F.lit("the"), F.lit(439)).alias("match"))
+    return t.raw("pages").select("page_id", address.source_url(F.col("url")).alias("source_url"), address.host(F.col("url")).alias("host"), texts.site_by_domain(F.col("url")).alias("site"), address.allowed_url(F.col("url")).alias("allowed"), title.alias("title"), address.meta_content(F.col("html"), "og:title").alias("og_title"), address.title_match(title, F.lit("the"), F.lit(439)).alias("match"))
 
 
 _CLEAN = """SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY postal_code, house_number, house_number_addition ORDER BY register_id) AS k FROM (
@@ -97,8 +102,9 @@ _URL = r"regexp_replace('https://www.funda.nl' || substr(regexp_replace(source_u
 _MATCH = rf"""WITH i AS (SELECT row_id, mirror_id, source_name, asking_price, lon, lat, {_URL} AS source_url, CASE WHEN regexp_matches({_CODE}, '^\d{{4}}[A-Z]{{2}}$') THEN {_CODE} END AS code,
 TRY_CAST(regexp_extract(house_number, '^(\d+)', 1) AS INTEGER) AS number, upper(trim(regexp_extract(trim(house_number), '^(\d+)\s*[-/]?\s*(.*)$', 2))) AS extra FROM incoming),
 a AS (SELECT i.*, (SELECT min(p.id) FROM properties p WHERE p.postal_code = i.code AND p.house_number = i.number AND coalesce(p.house_number_addition, '') = i.extra) AS by_address FROM i),
-n AS (SELECT row_id, id FROM (SELECT a.row_id, p.id, row_number() OVER (PARTITION BY a.row_id ORDER BY sqrt(pow(p.lon - a.lon, 2) + pow(p.lat - a.lat, 2)), p.id) AS k FROM a JOIN properties p ON sqrt(pow(p.lon - a.lon, 2) + pow(p.lat - a.lat, 2)) <= 0.001 WHERE a.by_address IS NULL AND a.code IS NOT NULL) WHERE k = 1),
-m AS (SELECT a.*, CASE WHEN a.code IS NULL OR a.number IS NULL THEN 'error' WHEN by_address IS NOT NULL THEN 'address' WHEN n.id IS NOT NULL THEN 'position' ELSE 'skipped' END AS how, coalesce(by_address, n.id) AS property_id FROM a LEFT JOIN n USING (row_id)) """
+b AS (SELECT code, number, extra, arg_min(lon, row_id) AS lon, arg_min(lat, row_id) AS lat FROM a WHERE by_address IS NULL AND code IS NOT NULL AND number IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL GROUP BY code, number, extra),
+n AS (SELECT code, number, extra, id FROM (SELECT b.*, p.id, row_number() OVER (PARTITION BY b.code, b.number, b.extra ORDER BY sqrt(pow(p.lon - b.lon, 2) + pow(p.lat - b.lat, 2)), p.id) AS k FROM b JOIN properties p ON sqrt(pow(p.lon - b.lon, 2) + pow(p.lat - b.lat, 2)) <= 0.001) WHERE k = 1),
+m AS (SELECT a.*, CASE WHEN a.code IS NULL OR a.number IS NULL THEN 'error' WHEN by_address IS NOT NULL THEN 'address' WHEN n.id IS NOT NULL THEN 'position' ELSE 'skipped' END AS how, coalesce(by_address, n.id) AS property_id FROM a LEFT JOIN n ON a.by_address IS NULL AND n.code = a.code AND n.number = a.number AND n.extra = a.extra) """
 _PLAIN_URL = r"regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', '')"
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1))"
 _TITLE = r"nullif(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1), '')"
@@ -115,9 +121,9 @@ ORACLE = {
     "ingest_matches": with_domain(_MATCH + "SELECT row_id, source_url, code, number, extra, how, property_id FROM m", "properties", "incoming"),
     "ingest_outcomes": with_domain(
         _MATCH + ", g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_name, mirror_id ORDER BY row_id DESC) AS k FROM m WHERE how IN ('address', 'position')) WHERE k = 1) SELECT outcome, CAST(count(*) AS INTEGER) AS n FROM ("
-        "SELECT CASE WHEN EXISTS (SELECT 1 FROM listings l WHERE l.source_name = g.source_name AND l.mirror_id = g.mirror_id) THEN 'updated' ELSE 'inserted' END AS outcome FROM g UNION ALL SELECT how FROM m WHERE how IN ('error', 'skipped')) GROUP BY outcome", "properties", "incoming", "listings"),
+        "SELECT CASE WHEN EXISTS (SELECT 1 FROM listings l WHERE l.source_name = g.source_name AND l.mirror_id = g.mirror_id) THEN 'updated' ELSE 'inserted' END AS outcome FROM g UNION ALL SELECT how FROM m WHERE how IN ('error', 'skipped') UNION ALL SELECT 'skipped' FROM m WHERE how = 'error') GROUP BY outcome", "properties", "incoming", "listings"),
     "ingest_watermark": with_domain("SELECT source_name, strftime(max(mirror_last_changed_at), '%Y-%m-%dT%H:%M:%SZ') AS watermark FROM listings WHERE mirror_id IS NOT NULL GROUP BY source_name", "listings"),
-    "page_previews": f"""SELECT page_id, {_PLAIN_URL} AS source_url, {_HOST} AS host, CASE WHEN regexp_matches({_HOST}, '(^|\\.)funda\\.nl$') THEN 'funda' WHEN regexp_matches({_HOST}, '(^|\\.)pararius\\.(nl|com)$') THEN 'pararius' ELSE 'other' END AS site,
+    "page_previews": f"""SELECT page_id, {_PLAIN_URL} AS source_url, {_HOST} AS host, CASE WHEN regexp_matches({_HOST}, '(^|\\.)funda\\.nl$') THEN 'funda' WHEN regexp_matches({_HOST}, '(^|\\.)pararius\\.nl$') THEN 'pararius' ELSE 'other' END AS site,
 regexp_matches(url, '^https://') AND regexp_matches({_HOST}, '(^|\\.)(funda\\.nl|pararius\\.(nl|com))$') AS allowed, {_TITLE} AS title, CAST(NULL AS VARCHAR) AS og_title,
 CASE WHEN trim(coalesce({_TITLE}, '')) = '' THEN 'no title' WHEN regexp_matches({_TITLE}, '(^|[^0-9])439([^0-9]|$)') AND contains(lower({_TITLE}), 'the') THEN 'match' WHEN regexp_matches({_TITLE}, '(^|[^0-9])439([^0-9]|$)') OR contains(lower({_TITLE}), 'the') THEN 'partial' ELSE 'mismatch' END AS match FROM pages""",
 }

@@ -70,19 +70,27 @@ def map_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tapped(Tables(spark, sf_dir), *PLACE, zoom=9)
 
 
+def _cluster() -> tuple[Column, ...]:
+    """What is known of the members of a grid cell."""
+    return (
+        F.count("*").cast("int").alias("point_count"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.max("has_listing").alias("has_active_children"),
+        F.sum("activity_score").cast("int").alias("total_activity"), F.max("activity_score").alias("max_activity"),
+        F.sort_array(F.collect_list(F.struct((-F.col("activity_score")).alias("order"), "id"))).alias("members"),
+    )
+
+
+def _member_ids() -> Column:
+    return F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ",")
+
+
 def clusters(t: Tables, zoom: int, x: int, y: int) -> DataFrame:
     """A tile's clusters of active properties: count, whether any is on offer, activity, ids by activity, and place on the tile."""
     box, size = geo.tile_box(zoom, x, y), geo.cell_size(zoom)
     rows = _by_listing(t, box).where(F.col("has_listing") | (F.col("activity_score") > 0))
     # Within a cell, ids are joined by an aggregation over its members: a cell of a tile is bounded by what a map shows.
-    cells = rows.groupBy(geo.snapped(F.col("lon"), size).alias("cell_x"), geo.snapped(F.col("lat"), size).alias("cell_y")).agg(
-        F.count("*").cast("int").alias("point_count"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.max("has_listing").alias("has_active_children"),
-        F.sum("activity_score").cast("int").alias("total_activity"), F.max("activity_score").alias("max_activity"),
-        F.sort_array(F.collect_list(F.struct((-F.col("activity_score")).alias("order"), "id"))).alias("members"),
-    )
+    cells = rows.groupBy(geo.snapped(F.col("lon"), size).alias("cell_x"), geo.snapped(F.col("lat"), size).alias("cell_y")).agg(*_cluster())
     at_x, at_y = geo.on_tile(F.col("lon"), F.col("lat"), box)
-    ids = F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ",")
-    return cells.select("cell_x", "cell_y", "point_count", "has_active_children", "total_activity", "max_activity", ids.alias("property_ids"), at_x.alias("tile_x"), at_y.alias("tile_y"))
+    return cells.select("cell_x", "cell_y", "point_count", "has_active_children", "total_activity", "max_activity", _member_ids().alias("property_ids"), at_x.alias("tile_x"), at_y.alias("tile_y"))
 
 
 def tile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,22 +110,44 @@ def tile_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(Tables(spark, sf_dir), ZOOM, *TILE)
 
 
-def tile_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(zoom, x, y, features, tile): vector tiles of all cells of the country at one zoom, one group for each tile."""
-    t = Tables(spark, sf_dir)
-    n = 2**ZOOM
-    x = F.floor((F.col("lon") + 180) / 360 * n).cast("int")
-    y = F.floor((1 - F.asinh(F.tan(F.radians("lat"))) / F.pi()) / 2 * n).cast("int")
-    rows = _active(t).select(x.alias("x"), y.alias("y"), "id", "lon", "lat", "has_listing", "activity_score", "woz_value")
+#: Every place there is.
+WORLD = (-180.0, -85.0, 180.0, 85.0)
+
+
+def _encoded(rows: DataFrame, zoom: int, names: dict[str, str]) -> DataFrame:
+    """(zoom, x, y, features, tile) of rows (x, y, tile_x, tile_y, and the columns of names, which become marks by their names; null ones are left out)."""
 
     def encode(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        west, south, east, north = geo.tile_box(ZOOM, int(key[0]), int(key[1]))
-        group = group.sort_values("id")
-        at = ((group["lon"] - west) / (east - west) * 4096).astype(int), ((north - group["lat"]) / (north - south) * 4096).astype(int)
-        marks = [{"id": int(i), "hasListing": bool(h), "activityScore": int(a), **({} if pd.isna(w) else {"wozValue": int(w)})} for i, h, a, w in zip(group["id"], group["has_listing"], group["activity_score"], group["woz_value"], strict=True)]
-        return pd.DataFrame({"zoom": [ZOOM], "x": [int(key[0])], "y": [int(key[1])], "features": [len(group)], "tile": [encoded("properties", list(zip(*at, strict=True)), marks)]})
+        group = group.sort_values(["tile_x", "tile_y", *names], kind="stable")
+        plain = {c: [None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in group[c]] for c in names}
+        marks = [{names[c]: plain[c][k] for c in names if plain[c][k] is not None} for k in range(len(group))]
+        marks = [{n: int(v) if isinstance(v, float) else v for n, v in m.items()} for m in marks]
+        return pd.DataFrame({"zoom": [zoom], "x": [int(key[0])], "y": [int(key[1])], "features": [len(group)], "tile": [encoded("properties", list(zip(group["tile_x"], group["tile_y"], strict=True)), marks)]})
+
+    return rows.select("x", "y", "tile_x", "tile_y", *names).groupBy("x", "y").applyInPandas(encode, "zoom int, x int, y int, features int, tile binary")
+
 
-    return rows.groupBy("x", "y").applyInPandas(encode, "zoom int, x int, y int, features int, tile binary")
+def tiles(t: Tables, zoom: int) -> DataFrame:
+    """All vector tiles of a zoom: below POINTS_FROM of clusters, which are made first, so that a tile holds as many features as it has grid cells at most; from there on of single properties."""
+    rows = _by_listing(t, WORLD)
+    x, y = geo.tile_of(F.col("lon"), F.col("lat"), zoom)
+    rows = rows.withColumn("x", x).withColumn("y", y)
+    if zoom >= POINTS_FROM:
+        at_x, at_y = geo.on_own_tile(F.col("lon"), F.col("lat"), zoom, F.col("x"), F.col("y"))
+        line = F.concat(F.col("street"), F.lit(" "), F.col("house_number").cast("string"), address.shown_addition(F.col("house_number_addition")))
+        rows = rows.withColumn("address", line).withColumn("is_ghost", ~F.col("has_listing") & (F.col("activity_score") == 0)).withColumn("tile_x", at_x).withColumn("tile_y", at_y)
+        return _encoded(rows, zoom, {"id": "id", "address": "address", "city": "city", "postal_code": "postalCode", "woz_value": "wozValue", "area": "oppervlakte", "built": "bouwjaar", "has_listing": "hasListing", "activity_score": "activityScore", "is_ghost": "is_ghost"})
+    size = geo.cell_size(zoom)
+    cells = rows.where(F.col("has_listing") | (F.col("activity_score") > 0)).groupBy("x", "y", geo.snapped(F.col("lon"), size).alias("cell_x"), geo.snapped(F.col("lat"), size).alias("cell_y")).agg(*_cluster())
+    at_x, at_y = geo.on_own_tile(F.col("lon"), F.col("lat"), zoom, F.col("x"), F.col("y"))
+    cells = cells.withColumn("property_ids", _member_ids()).withColumn("tile_x", at_x).withColumn("tile_y", at_y)
+    return _encoded(cells, zoom, {n: n for n in ("point_count", "has_active_children", "total_activity", "max_activity", "property_ids")})
+
+
+def tile_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(zoom, x, y, features, tile): vector tiles of the whole country, of clusters at a low zoom and of properties at the first zoom that shows them."""
+    t = Tables(spark, sf_dir)
+    return tiles(t, ZOOM).unionByName(tiles(t, POINTS_FROM))
 
 
 _NEED = ("properties", "listings", "comments", "price_guesses")
