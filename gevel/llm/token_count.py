@@ -1,9 +1,9 @@
-"""Token counts of texts: each distinct pre-token is counted once, and its count is joined to the pre-tokens of each text."""
+"""Token counts of texts: each distinct pre-token is counted once, and its count is joined to the frequencies of pre-tokens in each text."""
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gevel.llm.pretokens import Store, batches_of, points
+from gevel.llm.stages import written
 from gevel.llm.tokenizer_files import pieces
 
 BLANK, MARK, LINE = 32, 0x2581, 10
 
 
+#: A pre-token in more than one of so many pairs of text and pre-token is frequent; so there are fewer of them than this.
+FREQUENT = 50_000
+#: Characters of the longest pre-token that is sent to all tasks.
+SHORT = 1000
+
+
 @functools.cache
-def counter(model: str) -> Store:
+def counter(model: str) -> Callable[[list[str]], list[int]]:
     """Counts for pre-tokens of a SentencePiece model.
 
     No piece may hold a blank mark after another character, or a line feed; then no merge crosses where pre-tokens are cut.
@@ -28,13 +35,28 @@ def counter(model: str) -> Store:
         if "\n" in piece or "▁" in piece.lstrip("▁"):
             raise ValueError(f"piece {piece!r} crosses a cut")
 
-    def work(words: list[str]) -> list[np.ndarray]:
+    def counts(words: list[str]) -> list[int]:
         # The library sets a mark before each text; a line feed keeps it apart from what follows.
         asked = [w[1:] if w[0] == "▁" else f"\n{w}" for w in words]
         extra = [0 if w[0] == "▁" else 2 for w in words]
-        return [np.array([len(ids) - e if x else 1], np.int32) for x, ids, e in zip(asked, processor.encode(asked, num_threads=1), extra, strict=True)]
+        return [len(ids) - e if x else 1 for x, ids, e in zip(asked, processor.encode(asked, num_threads=1), extra, strict=True)]
+
+    return counts
+
+
+class Names(Store):
+    """A store of the pre-tokens themselves, as text by place."""
+
+    def __init__(self) -> None:
+        super().__init__(self.named, np.int32)
 
-    return Store(work, np.int32)
+    def clear(self) -> None:
+        super().clear()
+        self.names: list[str] = []
+
+    def named(self, words: list[str]) -> list[np.ndarray]:
+        self.names.extend(words)
+        return [np.zeros(0, np.int32)] * len(words)
 
 
 def cuts(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -47,34 +69,50 @@ def cuts(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def frequencies(texts: list[str], names: Names) -> tuple[pa.Array, pa.Array]:
+    """For each text its distinct pre-tokens and how often each occurs."""
+    cp, starts = points(texts)
+    cp = np.where(cp == BLANK, np.uint32(MARK), cp)
+    begins = cuts(cp, starts) if len(cp) else np.zeros(0, np.int64)
+    places = names.of(cp, begins, np.append(begins[1:], len(cp))) if len(cp) else begins
+    span = int(places.max(initial=0)) + 1
+    pairs, times = np.unique((np.searchsorted(starts, begins, "right") - 1) * span + places, return_counts=True)
+    owner, places = np.divmod(pairs, span)
+    offsets = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32))
+    distinct, which = np.unique(places, return_inverse=True)
+    words = pa.array([names.names[k] for k in distinct.tolist()], pa.string()).take(pa.array(which))
+    return pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))
+
+
 def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) of each row.
 
-    Tokens are those of the SentencePiece model without begin, end or added tokens; strings of special tokens are ordinary text. The frequencies of pre-tokens and their counts are joined within blocks of texts, so nothing is shuffled; ids are never kept. Null counts as empty, which has no tokens; repeated rows stay; an empty table gives an empty one.
+    Tokens are those of the SentencePiece model without begin, end or added tokens; strings of special tokens are ordinary text. A table holds each text's pre-tokens with their frequencies; each distinct pre-token of all texts is counted once; the counts are joined to the frequencies and summed. The frequent pre-tokens, which a fixed bound keeps few, are joined by broadcast, so none of them makes a large partition of the shuffle that joins the others. Ids are never kept. Null counts as empty, which has no tokens; texts of any length are whole; rows that repeat, or share an id, stay apart; an empty table gives an empty one; other columns of df play no part.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.monotonically_increasing_id().alias("row"), "id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     kind = rows.schema["id"].dataType.simpleString()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = counter(model)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Names()
         for batch in batches:
-            texts = [f"▁{t}" if t else "" for t in batch.column(2).to_pylist()]
-            totals = []
+            texts = [f"▁{t}" if t else "" for t in batch.column(3).to_pylist()]
             for a, b in batches_of(texts):
-                cp, starts = points(texts[a:b])
-                if not len(cp):
-                    totals.append(np.zeros(b - a, np.int64))
-                    continue
-                cp = np.where(cp == BLANK, np.uint32(MARK), cp)
-                begins = cuts(cp, starts)
-                places = store.of(cp, begins, np.append(begins[1:], len(cp)))
-                # The frequencies of each text's distinct pre-tokens, and the counts joined to them.
-                owner = np.searchsorted(starts, begins, "right") - 1
-                pairs, frequency = np.unique(owner * (int(places.max()) + 1) + places, return_counts=True)
-                owner, places = np.divmod(pairs, int(places.max()) + 1)
-                counts, _ = store.rows(places)
-                totals.append(np.bincount(owner, counts * frequency, b - a).astype(np.int64))
-            n = np.concatenate(totals) if totals else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
-
-    return rows.mapInArrow(work, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *frequencies(texts[a:b], names)], ["row", "id", "n_bytes", "words", "times"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counter(model)(batch.column(0).to_pylist()), pa.int64())], ["word", "texts", "n"])
+
+    texts = written(rows.mapInArrow(split, f"row long, id {kind}, n_bytes long, words array<string>, times array<long>"), "frequencies")
+    distinct = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
+    counts = written(distinct.mapInArrow(count, "word string, texts long, n long"), "counts")
+    pairs = counts.agg(F.sum("texts")).first()[0] or 0
+    frequent = F.broadcast(counts.where((F.col("texts") * FREQUENT > pairs) & (F.char_length("word") <= SHORT)).select("word", "n"))
+    terms = texts.select("row", F.explode(F.arrays_zip("words", "times")).alias("term")).select("row", F.col("term.words").alias("word"), F.col("term.times").alias("times"))
+    others = counts.where((F.col("texts") * FREQUENT <= pairs) | (F.char_length("word") > SHORT)).select("word", "n")
+    rest = terms.join(frequent.select("word"), "word", "left_anti").join(others, "word")
+    found = terms.join(frequent, "word").select("row", "times", "n").unionByName(rest.select("row", "times", "n"))
+    sums = found.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("n_tokens"))
+    total = F.coalesce("n_tokens", F.lit(0).cast("long"))
+    return texts.select("row", "id", "n_bytes").join(sums, "row", "left").select(F.col("id").alias(id_col), "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))

@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gevel.llm import ann, language, licenses, media, ngram_join, packing, pii, pretokens, toxicity
+from gevel.llm import ann, language, licenses, media, ngram_join, packing, pii, pretokens, token_count, toxicity
 from gevel.llm.ann import nearest
 from gevel.llm.bpe import encode_decode
 from gevel.llm.components import components
@@ -299,6 +299,17 @@ def test_token_counts(docs, odd, empty):
     assert token_counts(empty, path("piece_bpe_32k.model")).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [3, 10**9])
+def test_counts_of_frequent_and_other_words(spark, monkeypatch, frequent):
+    """Nearly all pre-tokens shuffled, or nearly all broadcast; repeated rows, null and clashing columns, a very long text, a long pre-token."""
+    monkeypatch.setattr(token_count, "FREQUENT", frequent)
+    own = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    texts = [(1, "the the cat"), (1, "the the cat"), (1, "a dog\n\n the"), (None, "the cat"), (None, None), (7, "the quick brown fox " * 60_000), (8, "x" * 3000 + " the"), (8, "  ▁ ▁the")]
+    df = spark.createDataFrame([(k, t, 5, "w") for k, t in texts], "doc_id long, text string, n_tokens int, word string").withColumn("row", F.lit(0))
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(df, path("piece_bpe_32k.model")).collect())
+    assert got == sorted((str(k), len((t or "").encode()), n := len(own.encode(t or "")), n > 4096) for k, t in texts)
+
+
 def test_bpe(docs, odd, empty):
     own = Tokenizer.from_file(path("word_bpe_49k.json"))
     own.no_truncation()
