@@ -7,20 +7,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gevel.llm.pretokens import Store, batches_of, points
-from gevel.llm.stages import written
 from gevel.llm.tokenizer_files import pieces
 
 BLANK, MARK, LINE = 32, 0x2581, 10
 
 
-#: A pre-token in more than one of so many pairs of text and pre-token is frequent; so there are fewer of them than this.
-FREQUENT = 50_000
-#: Characters of the longest pre-token that is sent to all tasks.
-SHORT = 1000
+#: Buckets of pre-tokens at least; no bucket should be more than a task can go through.
+BUCKETS = 1024
+#: A pre-token in more than one of so many texts of a block is frequent there; frequent ones are dealt over as many buckets, by block.
+SALTS = 64
+#: Pre-tokens whose counts a task keeps.
+KEPT = 1_000_000
 
 
 @functools.cache
@@ -44,11 +47,21 @@ def counter(model: str) -> Callable[[list[str]], list[int]]:
     return counts
 
 
+def cuts(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin: at each run of blanks with the word behind it, and at line feeds."""
+    begin = np.zeros(len(cp) + 1, bool)
+    begin[starts] = True
+    begin = begin[:-1]
+    mark, line = cp == MARK, cp == LINE
+    begin[1:] |= (mark[1:] & ~mark[:-1]) | (line[1:] != line[:-1])
+    return np.flatnonzero(begin)
+
+
 class Names(Store):
-    """A store of the pre-tokens themselves, as text by place."""
+    """A store of the pre-tokens themselves, by place, and a hash of each."""
 
     def __init__(self) -> None:
-        super().__init__(self.named, np.int32)
+        super().__init__(self.named, np.int64)
 
     def clear(self) -> None:
         super().clear()
@@ -56,63 +69,106 @@ class Names(Store):
 
     def named(self, words: list[str]) -> list[np.ndarray]:
         self.names.extend(words)
-        return [np.zeros(0, np.int32)] * len(words)
-
-
-def cuts(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where pre-tokens begin: at each run of blanks with the word behind it, and at line feeds."""
-    begin = np.zeros(len(cp) + 1, bool)
-    begin[starts] = True
-    begin = begin[:-1]
-    mark, line = cp == MARK, cp == LINE
-    begin[1:] |= (mark[1:] & ~mark[:-1]) | (line[1:] != line[:-1])
-    return np.flatnonzero(begin)
+        return [np.array([xxhash.xxh3_64_intdigest(w.encode()) >> 2], np.int64) for w in words]
 
 
-def frequencies(texts: list[str], names: Names) -> tuple[pa.Array, pa.Array]:
-    """For each text its distinct pre-tokens and how often each occurs."""
+def frequencies(texts: list[str], names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pre-token (its place in names) occurs in which text how often, ordered by pre-token."""
     cp, starts = points(texts)
+    if not len(cp):
+        return (np.zeros(0, np.int64),) * 3
     cp = np.where(cp == BLANK, np.uint32(MARK), cp)
-    begins = cuts(cp, starts) if len(cp) else np.zeros(0, np.int64)
-    places = names.of(cp, begins, np.append(begins[1:], len(cp))) if len(cp) else begins
-    span = int(places.max(initial=0)) + 1
-    pairs, times = np.unique((np.searchsorted(starts, begins, "right") - 1) * span + places, return_counts=True)
-    owner, places = np.divmod(pairs, span)
-    offsets = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32))
-    distinct, which = np.unique(places, return_inverse=True)
-    words = pa.array([names.names[k] for k in distinct.tolist()], pa.string()).take(pa.array(which))
-    return pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))
+    begins = cuts(cp, starts)
+    places = names.of(cp, begins, np.append(begins[1:], len(cp)))
+    pairs, times = np.unique(places * len(texts) + np.searchsorted(starts, begins, "right") - 1, return_counts=True)
+    return *np.divmod(pairs, len(texts)), times
+
+
+def lists(values: np.ndarray | pa.Array, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Lists of the values up to each of the ends."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values.astype(kind.to_pandas_dtype())))
+
+
+def dealt(texts: list[str], names: Names, block: int, buckets: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """The buckets of a block's pre-tokens, and for each its pre-tokens, in how many texts each is, in which, and how often."""
+    place, text, times = frequencies(texts, names)
+    distinct, first, size = np.unique(place, return_index=True, return_counts=True)
+    hashes, _ = names.rows(distinct)
+    salt = np.where(size * SALTS > len(texts), block % SALTS + 1, 0)
+    bucket = (hashes + salt * 0x9E3779B1) % buckets
+    order = np.argsort(bucket, kind="stable")
+    inside = np.repeat(first[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(place))
+    found, begins = np.unique(bucket[order], return_index=True)
+    ends = np.append(begins, len(order))[1:]
+    upto = np.append(0, np.cumsum(size[order]))[ends]
+    words = pa.array([names.names[k] for k in distinct[order].tolist()], pa.string())
+    return found, [lists(words, ends, pa.string()), lists(size[order], ends, pa.int32()), lists(text[inside], upto, pa.int32()), lists(times[inside], upto, pa.int32())]
 
 
 def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) of each row.
 
-    Tokens are those of the SentencePiece model without begin, end or added tokens; strings of special tokens are ordinary text. A table holds each text's pre-tokens with their frequencies; each distinct pre-token of all texts is counted once; the counts are joined to the frequencies and summed. The frequent pre-tokens, which a fixed bound keeps few, are joined by broadcast, so none of them makes a large partition of the shuffle that joins the others. Ids are never kept. Null counts as empty, which has no tokens; texts of any length are whole; rows that repeat, or share an id, stay apart; an empty table gives an empty one; other columns of df play no part.
+    Tokens are those of the SentencePiece model without begin, end or added tokens; strings of special tokens are ordinary text. Texts are taken in blocks; the frequencies of a block's pre-tokens in its texts go to the bucket of each pre-token, where each distinct one is counted once and its count joined to the frequencies; the sums come back to the block. Pre-tokens that many texts of a block hold have a bucket for each of 64 groups of blocks, so none makes a large one. Ids are never kept. Null counts as empty, which has no tokens; texts of any length are whole; rows that repeat, or share an id, stay apart; an empty table gives an empty one; other columns of df play no part.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.monotonically_increasing_id().alias("row"), "id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     kind = rows.schema["id"].dataType.simpleString()
+    buckets = max(BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
         for batch in batches:
             texts = [f"▁{t}" if t else "" for t in batch.column(3).to_pylist()]
             for a, b in batches_of(texts):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *frequencies(texts[a:b], names)], ["row", "id", "n_bytes", "words", "times"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                block = batch.column(0)[a].as_py()
+                found, columns = dealt(texts[a:b], names, block, buckets)
+                own = [lists(batch.column(k).slice(a, b - a), np.array([b - a]), None) for k in (1, 2)]
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(found), *columns, *(pa.nulls(n, x.type) for x in own)], named)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([block % buckets]), *(pa.nulls(1, x.type) for x in columns), *own], named)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            own = batch.column("ids").is_valid()
+            base, terms = batch.filter(own), batch.filter(pa.compute.invert(own))
+            if len(base):
+                none = pa.nulls(len(base), pa.list_(pa.int32())), pa.nulls(len(base), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([base.column("block"), *none, base.column("ids"), base.column("bytes")], joined)
+            if not len(terms):
+                continue
+            words = terms.column("words").flatten().to_pylist()
+            missing = list(set(words) - known.keys())
+            if len(known) + len(missing) > KEPT:
+                known.clear()
+                missing = list(set(words))
+            known.update(zip(missing, counter(model)(missing), strict=True))
+            n = np.repeat(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), terms.column("sizes").flatten().to_numpy())
+            text, times = (terms.column(c).flatten().to_numpy().astype(np.int64) for c in ("texts", "times"))
+            blocks, which = np.unique(terms.column("block").to_numpy(), return_inverse=True)
+            span = int(text.max()) + 1
+            keys, at = np.unique(np.repeat(which, terms.column("texts").value_lengths().to_numpy()) * span + text, return_inverse=True)
+            sums = np.bincount(at, n * times, len(keys))
+            ends = np.searchsorted(keys, (np.arange(len(blocks)) + 1) * span)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), lists(keys % span, ends, pa.int32()), lists(sums, ends, pa.int64()), pa.nulls(len(blocks), batch.schema.field("ids").type), pa.nulls(len(blocks), batch.schema.field("bytes").type)], joined)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of each block, the row of its own comes first.
+        ids, sizes, sums = None, None, np.zeros(0, np.int64)
+        done = lambda: pa.RecordBatch.from_arrays([ids, sizes, pa.array(sums), pa.array(sums > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counter(model)(batch.column(0).to_pylist()), pa.int64())], ["word", "texts", "n"])
-
-    texts = written(rows.mapInArrow(split, f"row long, id {kind}, n_bytes long, words array<string>, times array<long>"), "frequencies")
-    distinct = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
-    counts = written(distinct.mapInArrow(count, "word string, texts long, n long"), "counts")
-    pairs = counts.agg(F.sum("texts")).first()[0] or 0
-    frequent = F.broadcast(counts.where((F.col("texts") * FREQUENT > pairs) & (F.char_length("word") <= SHORT)).select("word", "n"))
-    terms = texts.select("row", F.explode(F.arrays_zip("words", "times")).alias("term")).select("row", F.col("term.words").alias("word"), F.col("term.times").alias("times"))
-    others = counts.where((F.col("texts") * FREQUENT <= pairs) | (F.char_length("word") > SHORT)).select("word", "n")
-    rest = terms.join(frequent.select("word"), "word", "left_anti").join(others, "word")
-    found = terms.join(frequent, "word").select("row", "times", "n").unionByName(rest.select("row", "times", "n"))
-    sums = found.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("n_tokens"))
-    total = F.coalesce("n_tokens", F.lit(0).cast("long"))
-    return texts.select("row", "id", "n_bytes").join(sums, "row", "left").select(F.col("id").alias(id_col), "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
+            for k in range(len(batch)):
+                if batch.column("ids")[k].is_valid:
+                    if ids is not None:
+                        yield done()
+                    ids, sizes = batch.column("ids")[k].values, batch.column("bytes")[k].values
+                    sums = np.zeros(len(ids), np.int64)
+                else:
+                    sums[batch.column("texts")[k].values.to_numpy()] += batch.column("sums")[k].values.to_numpy()
+        if ids is not None:
+            yield done()
+
+    named, joined = ["block", "bucket", "words", "sizes", "texts", "times", "ids", "bytes"], ["block", "texts", "sums", "ids", "bytes"]
+    own = f"ids array<{kind}>, bytes array<long>"
+    terms = rows.mapInArrow(split, f"block long, bucket long, words array<string>, sizes array<int>, texts array<int>, times array<int>, {own}").repartition("bucket").sortWithinPartitions("bucket")
+    sums = terms.mapInArrow(join, f"block long, texts array<int>, sums array<long>, {own}").repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
+    return sums.mapInArrow(total, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
