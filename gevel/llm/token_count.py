@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gevel.llm.pretokens import Store, batches_of, points
 from gevel.llm.tokenizer_files import pieces
+from gevel.llm.words import text_bytes
 
 BLANK, MARK, LINE = 32, 0x2581, 10
 
@@ -22,6 +23,8 @@ BLANK, MARK, LINE = 32, 0x2581, 10
 BUCKETS = 1024
 #: A pre-token in more than one of so many texts of a block is frequent there; frequent ones are dealt over as many buckets, by block.
 SALTS = 64
+#: Numbers of 16 bits.
+NARROW = (1 << 16) - 1
 #: Pre-tokens whose counts a task keeps.
 KEPT = 1_000_000
 
@@ -84,25 +87,45 @@ def frequencies(texts: list[str], names: Names) -> tuple[np.ndarray, np.ndarray,
     return *np.divmod(pairs, len(texts)), times
 
 
-def lists(values: np.ndarray | pa.Array, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+def lists(values: np.ndarray | pa.Array, ends: np.ndarray) -> pa.Array:
     """Lists of the values up to each of the ends."""
-    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values.astype(kind.to_pandas_dtype())))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def dealt(texts: list[str], names: Names, block: int, buckets: int) -> tuple[np.ndarray, list[pa.Array]]:
-    """The buckets of a block's pre-tokens, and for each its pre-tokens, in how many texts each is, in which, and how often."""
+def cells(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the numbers up to each of the ends."""
+    offsets = np.append(0, ends).astype(np.int64) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all cells in a row, and how many each cell has."""
+    joined = b"".join(column.to_pylist())
+    return np.frombuffer(joined, kind), pa.compute.binary_length(column).to_numpy() // np.dtype(kind).itemsize
+
+
+def kinds(wide: bool) -> tuple[type, ...]:
+    """Of the bytes of words and the numbers in `sizes`, `lengths`, `texts` and `times`; narrow ones do for most blocks."""
+    return (np.uint8, *(np.uint32,) * 4) if wide else (np.uint8, np.uint16, np.uint16, np.uint16, np.uint8)
+
+
+def dealt(texts: list[str], names: Names, block: int, buckets: int) -> tuple[np.ndarray, bool, list[pa.Array]]:
+    """The buckets of a block's pre-tokens, whether its numbers are wide, and for each bucket its pre-tokens, in how many texts each is, their bytes, in which texts, and how often."""
     place, text, times = frequencies(texts, names)
     distinct, first, size = np.unique(place, return_index=True, return_counts=True)
     hashes, _ = names.rows(distinct)
     salt = np.where(size * SALTS > len(texts), block % SALTS + 1, 0)
     bucket = (hashes + salt * 0x9E3779B1) % buckets
     order = np.argsort(bucket, kind="stable")
-    inside = np.repeat(first[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(place))
+    size = size[order]
+    inside = np.repeat(first[order] - (np.cumsum(size) - size), size) + np.arange(len(place))
     found, begins = np.unique(bucket[order], return_index=True)
-    ends = np.append(begins, len(order))[1:]
-    upto = np.append(0, np.cumsum(size[order]))[ends]
-    words = pa.array([names.names[k] for k in distinct[order].tolist()], pa.string())
-    return found, [lists(words, ends, pa.string()), lists(size[order], ends, pa.int32()), lists(text[inside], upto, pa.int32()), lists(times[inside], upto, pa.int32())]
+    ends = np.append(begins, len(order))[1:] if len(order) else begins
+    words, bounds = text_bytes(pa.array([names.names[k] for k in distinct[order].tolist()], pa.large_string()))
+    upto = np.append(0, np.cumsum(size))[ends]
+    wide = len(texts) > NARROW or int(np.diff(bounds).max(initial=0)) > NARROW or int(times.max(initial=0)) > 255
+    columns = (words, bounds[ends]), (size, ends), (np.diff(bounds), ends), (text[inside], upto), (times[inside], upto)
+    return found, wide, [cells(x.astype(kind), e) for kind, (x, e) in zip(kinds(wide), columns, strict=True)]
 
 
 def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
@@ -120,36 +143,39 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
             texts = [f"▁{t}" if t else "" for t in batch.column(3).to_pylist()]
             for a, b in batches_of(texts):
                 block = batch.column(0)[a].as_py()
-                found, columns = dealt(texts[a:b], names, block, buckets)
-                own = [lists(batch.column(k).slice(a, b - a), np.array([b - a]), None) for k in (1, 2)]
+                found, wide, columns = dealt(texts[a:b], names, block, buckets)
+                own = [lists(batch.column(k).slice(a, b - a), np.array([b - a])) for k in (1, 2)]
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(found), *columns, *(pa.nulls(n, x.type) for x in own)], named)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([block % buckets]), *(pa.nulls(1, x.type) for x in columns), *own], named)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(found), pa.array(np.full(n, wide)), *columns, *(pa.nulls(n, x.type) for x in own)], named)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([block % buckets]), pa.nulls(1, pa.bool_()), *(pa.nulls(1, x.type) for x in columns), *own], named)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            own = batch.column("ids").is_valid()
-            base, terms = batch.filter(own), batch.filter(pa.compute.invert(own))
+            base = batch.filter(batch.column("ids").is_valid())
             if len(base):
                 none = pa.nulls(len(base), pa.list_(pa.int32())), pa.nulls(len(base), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([base.column("block"), *none, base.column("ids"), base.column("bytes")], joined)
-            if not len(terms):
-                continue
-            words = terms.column("words").flatten().to_pylist()
-            missing = list(set(words) - known.keys())
-            if len(known) + len(missing) > KEPT:
-                known.clear()
-                missing = list(set(words))
-            known.update(zip(missing, counter(model)(missing), strict=True))
-            n = np.repeat(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), terms.column("sizes").flatten().to_numpy())
-            text, times = (terms.column(c).flatten().to_numpy().astype(np.int64) for c in ("texts", "times"))
-            blocks, which = np.unique(terms.column("block").to_numpy(), return_inverse=True)
-            span = int(text.max()) + 1
-            keys, at = np.unique(np.repeat(which, terms.column("texts").value_lengths().to_numpy()) * span + text, return_inverse=True)
-            sums = np.bincount(at, n * times, len(keys))
-            ends = np.searchsorted(keys, (np.arange(len(blocks)) + 1) * span)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks), lists(keys % span, ends, pa.int32()), lists(sums, ends, pa.int64()), pa.nulls(len(blocks), batch.schema.field("ids").type), pa.nulls(len(blocks), batch.schema.field("bytes").type)], joined)
+            for wide in (False, True):
+                terms = batch.filter(pa.compute.equal(batch.column("wide"), wide))
+                if len(terms):
+                    yield pa.RecordBatch.from_arrays([*summed(terms, wide, known), *(pa.nulls(len(set(terms.column("block").to_pylist())), base.schema.field(c).type) for c in ("ids", "bytes"))], joined)
+
+    def summed(terms: pa.RecordBatch, wide: bool, known: dict[str, int]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        (data, _), (sizes, _), (lengths, _), (text, held), (times, _) = (numbers(terms.column(c), kind) for c, kind in zip(("words", "sizes", "lengths", "texts", "times"), kinds(wide), strict=True))
+        bounds = np.append(0, np.cumsum(lengths, dtype=np.int64))
+        words = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).to_pylist()
+        missing = list(set(words) - known.keys())
+        if len(known) + len(missing) > KEPT:
+            known.clear()
+            missing = list(set(words))
+        known.update(zip(missing, counter(model)(missing), strict=True))
+        n = np.repeat(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), sizes)
+        blocks, which = np.unique(terms.column("block").to_numpy(), return_inverse=True)
+        span = int(text.max()) + 1
+        keys, at = np.unique(np.repeat(which, held) * span + text, return_inverse=True)
+        ends = np.searchsorted(keys, (np.arange(len(blocks)) + 1) * span)
+        return pa.array(blocks), lists((keys % span).astype(np.int32), ends), lists(np.bincount(at, n * times, len(keys)).astype(np.int64), ends)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of each block, the row of its own comes first.
@@ -167,8 +193,8 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         if ids is not None:
             yield done()
 
-    named, joined = ["block", "bucket", "words", "sizes", "texts", "times", "ids", "bytes"], ["block", "texts", "sums", "ids", "bytes"]
+    named, joined = ["block", "bucket", "wide", "words", "sizes", "lengths", "texts", "times", "ids", "bytes"], ["block", "texts", "sums", "ids", "bytes"]
     own = f"ids array<{kind}>, bytes array<long>"
-    terms = rows.mapInArrow(split, f"block long, bucket long, words array<string>, sizes array<int>, texts array<int>, times array<int>, {own}").repartition("bucket").sortWithinPartitions("bucket")
+    terms = rows.mapInArrow(split, f"block long, bucket long, wide boolean, words binary, sizes binary, lengths binary, texts binary, times binary, {own}").repartition("bucket").sortWithinPartitions("bucket")
     sums = terms.mapInArrow(join, f"block long, texts array<int>, sums array<long>, {own}").repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
     return sums.mapInArrow(total, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
