@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from gevel.llm.pretokens import Store, batches_of, points
 from gevel.llm.tokenizer_files import pieces
-from gevel.llm.words import text_bytes
+from gevel.llm.words import parts, text_bytes
 
 BLANK, MARK, LINE = 32, 0x2581, 10
 
 
 #: Buckets of pre-tokens at least; no bucket should be more than a task can go through.
-BUCKETS = 1024
+BUCKETS = 8192
+#: Characters of a block of texts at most, but for longer texts, and of what is cut at once.
+BLOCK, AT_ONCE = 16 << 20, 2 << 20
 #: A pre-token in more than one of so many texts of a block is frequent there; frequent ones are dealt over as many buckets, by block.
 SALTS = 64
 #: Numbers of 16 bits.
@@ -64,7 +66,8 @@ class Names(Store):
     """A store of the pre-tokens themselves, by place, and a hash of each."""
 
     def __init__(self) -> None:
-        super().__init__(self.named, np.int64)
+        # It is emptied between blocks only.
+        super().__init__(self.named, np.int64, most=1 << 62)
 
     def clear(self) -> None:
         super().clear()
@@ -111,7 +114,10 @@ def kinds(wide: bool) -> tuple[type, ...]:
 
 def dealt(texts: list[str], names: Names, block: int, buckets: int) -> tuple[np.ndarray, bool, list[pa.Array]]:
     """The buckets of a block's pre-tokens, whether its numbers are wide, and for each bucket its pre-tokens, in how many texts each is, their bytes, in which texts, and how often."""
-    place, text, times = frequencies(texts, names)
+    found = [(a, *frequencies(texts[a:b], names)) for a, b in batches_of(texts, AT_ONCE)]
+    place, text, times = (np.concatenate(x) for x in ([p for _, p, _, _ in found], [t + a for a, _, t, _ in found], [n for *_, n in found]))
+    sort = np.argsort(place, kind="stable")
+    place, text, times = place[sort], text[sort], times[sort]
     distinct, first, size = np.unique(place, return_index=True, return_counts=True)
     hashes, _ = names.rows(distinct)
     salt = np.where(size * SALTS > len(texts), block % SALTS + 1, 0)
@@ -141,7 +147,9 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         names = Names()
         for batch in batches:
             texts = [f"▁{t}" if t else "" for t in batch.column(3).to_pylist()]
-            for a, b in batches_of(texts):
+            for a, b in batches_of(texts, BLOCK):
+                if len(names.names) > KEPT:
+                    names.clear()
                 block = batch.column(0)[a].as_py()
                 found, wide, columns = dealt(texts[a:b], names, block, buckets)
                 own = [lists(batch.column(k).slice(a, b - a), np.array([b - a])) for k in (1, 2)]
@@ -157,8 +165,8 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
                 none = pa.nulls(len(base), pa.list_(pa.int32())), pa.nulls(len(base), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([base.column("block"), *none, base.column("ids"), base.column("bytes")], joined)
             for wide in (False, True):
-                terms = batch.filter(pa.compute.equal(batch.column("wide"), wide))
-                if len(terms):
+                chosen = batch.filter(pa.compute.equal(batch.column("wide"), wide))
+                for terms in parts(chosen, 3) if len(chosen) else ():
                     yield pa.RecordBatch.from_arrays([*summed(terms, wide, known), *(pa.nulls(len(set(terms.column("block").to_pylist())), base.schema.field(c).type) for c in ("ids", "bytes"))], joined)
 
     def summed(terms: pa.RecordBatch, wide: bool, known: dict[str, int]) -> tuple[pa.Array, pa.Array, pa.Array]:

@@ -304,6 +304,7 @@ def test_counts_of_frequent_and_other_words(spark, monkeypatch, salts):
     """No pre-token dealt by block, or all; repeated rows, null and clashing columns, a very long text, a long pre-token."""
     monkeypatch.setattr(token_count, "SALTS", salts)
     monkeypatch.setattr(token_count, "BUCKETS", 16)
+    monkeypatch.setattr(token_count, "AT_ONCE", 20)
     own = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
     texts = [(1, "the the cat"), (1, "the the cat"), (1, "a dog\n\n the"), (None, "the cat"), (None, None), (7, "the quick brown fox " * 60_000), (8, "x" * 3000 + " the"), (8, "  ▁ ▁the")]
     df = spark.createDataFrame([(k, t, 5, "w") for k, t in texts], "doc_id long, text string, n_tokens int, word string").withColumn("row", F.lit(0))
