@@ -95,16 +95,42 @@ def lists(values: np.ndarray | pa.Array, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
 
+def byte_places(held: np.ndarray, width: int) -> np.ndarray:
+    """For the numbers of cells that hold so many each, where the bytes of each go: in a cell, all lowest bytes come first, so that high ones, mostly zeros, lie together and compress."""
+    begins = np.cumsum(held) - held
+    return (np.repeat(begins * (width - 1), held) + np.arange(int(held.sum())))[:, None] + np.arange(width) * np.repeat(held, held)[:, None]
+
+
 def cells(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The bytes of the numbers up to each of the ends."""
-    offsets = np.append(0, ends).astype(np.int64) * data.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    width, offsets = data.itemsize, np.append(0, ends).astype(np.int64)
+    raw = np.ascontiguousarray(data).view(np.uint8)
+    if width > 1:
+        raw, plain = np.empty_like(raw), raw.reshape(-1, width)
+        raw[byte_places(np.diff(offsets), width)] = plain
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(raw)])
 
 
 def numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all cells in a row, and how many each cell has."""
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, kind), pa.compute.binary_length(column).to_numpy() // np.dtype(kind).itemsize
+    raw, width = np.frombuffer(b"".join(column.to_pylist()), np.uint8), np.dtype(kind).itemsize
+    held = pa.compute.binary_length(column).to_numpy().astype(np.int64) // width
+    return (raw[byte_places(held, width)].reshape(-1).view(kind) if width > 1 else raw.view(kind)), held
+
+
+def steps(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Of rising numbers in groups of so many each: the first of each group, and how much more each other one is than the one before."""
+    out = np.diff(values, prepend=0)
+    begins = (np.cumsum(held) - held)[held > 0]
+    out[begins] = values[begins]
+    return out
+
+
+def risen(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The numbers that steps() was made of."""
+    total = np.cumsum(values, dtype=np.int64)
+    before = np.append(0, total)[np.cumsum(held) - held]
+    return total - np.repeat(before, held)
 
 
 def kinds(wide: bool) -> tuple[type, ...]:
@@ -130,7 +156,7 @@ def dealt(texts: list[str], names: Names, block: int, buckets: int) -> tuple[np.
     words, bounds = text_bytes(pa.array([names.names[k] for k in distinct[order].tolist()], pa.large_string()))
     upto = np.append(0, np.cumsum(size))[ends]
     wide = len(texts) > NARROW or int(np.diff(bounds).max(initial=0)) > NARROW or int(times.max(initial=0)) > 255
-    columns = (words, bounds[ends]), (size, ends), (np.diff(bounds), ends), (text[inside], upto), (times[inside], upto)
+    columns = (words, bounds[ends]), (size, ends), (np.diff(bounds), ends), (steps(text[inside], size), upto), (times[inside], upto)
     return found, wide, [cells(x.astype(kind), e) for kind, (x, e) in zip(kinds(wide), columns, strict=True)]
 
 
@@ -162,14 +188,14 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             base = batch.filter(batch.column("ids").is_valid())
             if len(base):
-                none = pa.nulls(len(base), pa.list_(pa.int32())), pa.nulls(len(base), pa.list_(pa.int64()))
+                none = pa.nulls(len(base), pa.bool_()), *(pa.nulls(len(base), pa.binary()) for _ in range(2))
                 yield pa.RecordBatch.from_arrays([base.column("block"), *none, base.column("ids"), base.column("bytes")], joined)
             for wide in (False, True):
                 chosen = batch.filter(pa.compute.equal(batch.column("wide"), wide))
                 for terms in parts(chosen, 3) if len(chosen) else ():
-                    yield pa.RecordBatch.from_arrays([*summed(terms, wide, known), *(pa.nulls(len(set(terms.column("block").to_pylist())), base.schema.field(c).type) for c in ("ids", "bytes"))], joined)
+                    yield pa.RecordBatch.from_arrays([*(found := summed(terms, wide, known)), *(pa.nulls(len(found[0]), base.schema.field(c).type) for c in ("ids", "bytes"))], joined)
 
-    def summed(terms: pa.RecordBatch, wide: bool, known: dict[str, int]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    def summed(terms: pa.RecordBatch, wide: bool, known: dict[str, int]) -> tuple[pa.Array, ...]:
         (data, _), (sizes, _), (lengths, _), (text, held), (times, _) = (numbers(terms.column(c), kind) for c, kind in zip(("words", "sizes", "lengths", "texts", "times"), kinds(wide), strict=True))
         bounds = np.append(0, np.cumsum(lengths, dtype=np.int64))
         words = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).to_pylist()
@@ -178,12 +204,16 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
             known.clear()
             missing = list(set(words))
         known.update(zip(missing, counter(model)(missing), strict=True))
+        text = risen(text, sizes.astype(np.int64))
         n = np.repeat(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), sizes)
         blocks, which = np.unique(terms.column("block").to_numpy(), return_inverse=True)
         span = int(text.max()) + 1
         keys, at = np.unique(np.repeat(which, held) * span + text, return_inverse=True)
         ends = np.searchsorted(keys, (np.arange(len(blocks)) + 1) * span)
-        return pa.array(blocks), lists((keys % span).astype(np.int32), ends), lists(np.bincount(at, n * times, len(keys)).astype(np.int64), ends)
+        counts = np.bincount(at, n * times, len(keys)).astype(np.int64)
+        broad = max(span - 1, int(counts.max(initial=0))) > NARROW
+        texts = steps(keys % span, np.diff(ends, prepend=0))
+        return pa.array(blocks), pa.array(np.full(len(blocks), broad)), *(cells(x.astype(np.uint64 if broad else np.uint16), ends) for x in (texts, counts))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of each block, the row of its own comes first.
@@ -197,12 +227,14 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
                     ids, sizes = batch.column("ids")[k].values, batch.column("bytes")[k].values
                     sums = np.zeros(len(ids), np.int64)
                 else:
-                    sums[batch.column("texts")[k].values.to_numpy()] += batch.column("sums")[k].values.to_numpy()
+                    kind = np.uint64 if batch.column("broad")[k].as_py() else np.uint16
+                    (texts, held), (found, _) = (numbers(batch.column(c).slice(k, 1), kind) for c in ("texts", "sums"))
+                    sums[risen(texts, held)] += found.astype(np.int64)
         if ids is not None:
             yield done()
 
-    named, joined = ["block", "bucket", "wide", "words", "sizes", "lengths", "texts", "times", "ids", "bytes"], ["block", "texts", "sums", "ids", "bytes"]
+    named, joined = ["block", "bucket", "wide", "words", "sizes", "lengths", "texts", "times", "ids", "bytes"], ["block", "broad", "texts", "sums", "ids", "bytes"]
     own = f"ids array<{kind}>, bytes array<long>"
     terms = rows.mapInArrow(split, f"block long, bucket long, wide boolean, words binary, sizes binary, lengths binary, texts binary, times binary, {own}").repartition("bucket").sortWithinPartitions("bucket")
-    sums = terms.mapInArrow(join, f"block long, texts array<int>, sums array<long>, {own}").repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
+    sums = terms.mapInArrow(join, f"block long, broad boolean, texts binary, sums binary, {own}").repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
     return sums.mapInArrow(total, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
