@@ -1,6 +1,6 @@
 """Media columns: payloads under their digests in tar shards, and columns that are read from headers alone.
 
-Each task appends the payloads of its rows to tar shards in a shared folder, each distinct one once for all its shards; a row keeps the digest and the place of its payload. Payloads are grey 8-bit images (PNG), 576 samples wide. Columns of width, height and depth come from reading a range of 33 bytes; features from reading the stored bytes back.
+Each distinct payload is stored once for the whole table, in tar shards in a shared folder; a row keeps its digest and place. Texts that no other row can have go straight to the shards of the task that reads them; only those that may repeat are shuffled, to be made distinct. Payloads are grey 8-bit images (PNG), 576 samples wide. Columns of width, height and depth come from reading a range of 33 bytes; features from reading the stored bytes back.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import struct
 import tarfile
 import zlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ WIDTH, FILL = 576, 255
 SHARD_BYTES = 256 << 20
 HEADER = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-#: Payloads whose features a task remembers.
-REMEMBERED = 4096
+#: Places that texts are hashed to; what shares its place with no other row can't repeat. Their bitmap has 8 MB.
+SLOTS = 1 << 26
 
 
 def payload(text: str) -> tuple[bytes, int]:
@@ -86,10 +86,9 @@ class Shards:
         self.store, self.folder = pafs.FileSystem.from_uri(folder)
         self.store.create_dir(self.folder, recursive=True)
         self.task, self.attempt, self.count, self.stream = task, attempt, 0, None
-        self.places: dict[str, tuple[str, int, int]] = {}
 
     def put(self, digest: str, stored: bytes) -> tuple[str, int, int]:
-        """Shard, offset and length of a payload that was not put here before."""
+        """Shard, offset and length of a payload."""
         if self.stream is not None and self.at > SHARD_BYTES:
             self.close()
         if self.stream is None:
@@ -100,7 +99,7 @@ class Shards:
         info.size = len(stored)
         head = info.tobuf(tarfile.USTAR_FORMAT)
         self.stream.write(head + stored + bytes(-len(stored) % 512))
-        self.places[digest] = place = (self.name, self.at + len(head), len(stored))
+        place = (self.name, self.at + len(head), len(stored))
         self.at += len(head) + len(stored) + -len(stored) % 512
         return place
 
@@ -112,32 +111,53 @@ class Shards:
             self.count += 1
 
 
-def store_texts(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text's payload below folder (a URI that all executors reach): (id_col, n_bytes, payload_bytes, digest, shard, offset, length).
+def _may_repeat(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose texts no other row has, and those whose texts another row may have: hashes of texts that occur twice are marked in a bitmap."""
+    slot = F.pmod(F.xxhash64("text"), F.lit(SLOTS)) + 1
+    twice = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).where("n > 1")
+    marks = written(twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")), "media-marks")
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    told = rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(marks), "bucket", "left").withColumn("twice", F.col("bits").isNotNull() & (F.getbit(byte, (place % 8).cast("int")) == 1))
+    return told.where(~F.coalesce("twice", F.lit(False))).select("id", "text"), told.where("twice").select("id", "text")
 
-    digest is the payload's SHA-256; length counts the stored bytes. Null counts as empty, which is 576 bytes of filling. The result is written and reread, so payloads are stored once.
-    """
+
+def _stored(df: DataFrame, folder: str, id_col: str, text_col: str, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Stores the payloads of df's texts; then() is applied to a table with a row for each payload, and the result has a row for each row of df."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    names = ["id", "n_bytes", "payload_bytes", "digest", "shard", "offset", "length"]
+    names = ["id", "key", "n_bytes", "payload_bytes", "digest", "shard", "offset", "length"]
+    alone, shared = _may_repeat(rows)
+    key = F.sha2("text", 256)
+    distinct = shared.select("text").distinct().select(F.lit(None).cast(kind).alias("id"), key.alias("key"), "text")
+    every = alone.select("id", F.lit(None).cast("string").alias("key"), "text").unionAll(distinct)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shards = Shards(folder, context.partitionId(), context.taskAttemptId())
-        for batch in (part for whole in batches for part in parts(whole, 1)):
-            out: list[list] = [[] for _ in names[1:]]
-            for text in batch.column(1):
+        for batch in (part for whole in batches for part in parts(whole, 2)):
+            out: list[list] = [[] for _ in names[2:]]
+            for text in batch.column(2):
                 data, n = payload(text.as_py())
                 digest = hashlib.sha256(data).hexdigest()
-                place = shards.places.get(digest) or shards.put(digest, image(data))
-                for column, x in zip(out, (n, len(data), digest, *place), strict=True):
+                for column, x in zip(out, (n, len(data), digest, *shards.put(digest, image(data))), strict=True):
                     column.append(x)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names)
         shards.close()
 
-    index = rows.mapInArrow(work, f"id {kind}, n_bytes long, payload_bytes long, digest string, shard string, offset long, length long")
-    return written(index, "media-index").withColumnRenamed("id", id_col)
+    index = written(every.mapInArrow(work, f"id {kind}, key string, n_bytes long, payload_bytes long, digest string, shard string, offset long, length long"), "media-index")
+    single = then(index.where("key is null").drop("key"))
+    copies = shared.select("id", key.alias("key")).join(then(index.where("key is not null").drop("id")), "key").select(single.columns)
+    return single.unionAll(copies).withColumnRenamed("id", id_col)
+
+
+def store_texts(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores every text's payload below folder (a URI that all executors reach): (id_col, n_bytes, payload_bytes, digest, shard, offset, length).
+
+    digest is the payload's SHA-256; length counts the stored bytes. Rows of equal texts share one stored payload. Null counts as empty, which is 576 bytes of filling. Payloads are stored when this is called, not when the result is read.
+    """
+    return _stored(df, folder, id_col, text_col, lambda index: index)
 
 
 def _reader(folder: str):
@@ -179,17 +199,8 @@ def with_features(index: DataFrame, folder: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _reader(folder)
-        known: OrderedDict[tuple, tuple] = OrderedDict()
         for batch in batches:
-            found = []
-            for place in zip(*(batch.column(c).to_pylist() for c in at), strict=True):
-                if place not in known:
-                    known[place] = of(read(*place))
-                    if len(known) > REMEMBERED:
-                        known.popitem(last=False)
-                else:
-                    known.move_to_end(place)
-                found.append(known[place])
+            found = [of(read(*place)) for place in zip(*(batch.column(c).to_pylist() for c in at), strict=True)]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             added = [pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
@@ -201,8 +212,7 @@ def with_features(index: DataFrame, folder: str) -> DataFrame:
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Stores all texts as media, then (id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, digest, shard, offset, length, width, height, bits) of each row.
 
-    Without a folder, a new one in the cluster's shared folder is used. Equal texts have equal values but for their places; repeated rows stay; an empty table gives an empty one.
+    Without a folder, a new one in the cluster's shared folder is used. Equal texts have equal values and share one stored payload, whose features are read once; repeated rows stay; texts of any length are stored whole; an empty table gives an empty one; other columns of df play no part.
     """
     folder = folder or new_path(df.sparkSession, "media")
-    index = store_texts(df, folder, id_col, text_col)
-    return with_features(with_metadata(index, folder), folder)
+    return _stored(df, folder, id_col, text_col, lambda index: with_features(with_metadata(index, folder), folder))

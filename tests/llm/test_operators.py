@@ -476,3 +476,16 @@ def test_media(spark, docs, odd, empty, tmp_path):
         assert media.samples(BytesIO(stored).read()) == want
     assert got[4].media_sha256 == got[99].media_sha256 and got[4].feature == got[99].feature
     assert media.media_columns(empty).count() == 0
+
+
+def test_equal_texts_are_stored_once(spark, tmp_path):
+    """From any task: one tar member for each distinct payload, also for repeated rows, null ids, a very long text and clashing columns."""
+    texts = ["a b", "c", None, "", "long " * 300_000, "é"]
+    rows = [(k % 40 if k % 7 else None, texts[k % 6] if k % 5 else f"only {k}", "x") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("digest", F.lit(1)).repartition(16)
+    got = media.media_columns(df, folder=f"file://{tmp_path}/media").collect()
+    digest = lambda t: hashlib.sha256(media.payload(t or "")[0]).hexdigest()
+    assert sorted((str(r.doc_id), r.digest) for r in got) == sorted((str(k), digest(t)) for k, t, _ in rows)
+    members = [m.name for p in (tmp_path / "media").glob("*.tar") for m in tarfile.open(p).getmembers()]
+    assert sorted(members) == sorted(f"{d}.png" for d in {digest(t) for _, t, _ in rows})
+    assert all(r.payload_sha256 == r.digest for r in got) and len({(r.shard, r.offset) for r in got}) == len(members)
