@@ -7,20 +7,33 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Mean radius of the earth in metres (fixed value); distances are great-circle ones, within 0.5 % of the spheroid's.
-EARTH = 6371008.7714
+#: The spheroid's equatorial radius in metres and its flattening (fixed values).
+RADIUS, FLAT = 6378137.0, 1 / 298.257223563
+#: Metres of a degree of latitude at the equator, where they are fewest, rounded down.
+DEGREE = 110_500
 
 
 def metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle distance."""
-    half_lat, half_lon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
-    a = F.pow(F.sin(half_lat), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lon), F.lit(2.0))
-    return F.lit(2 * EARTH) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    """Distance on the spheroid, by the great circle between reduced latitudes and its correction of the first order in the flattening (Lambert): within a few millimetres a kilometre of a country, ten metres anywhere but near antipodes."""
+    b1, b2 = (F.atan(F.lit(1 - FLAT) * F.tan(F.radians(x))) for x in (lat1, lat2))
+    up = F.pow(F.sin((b2 - b1) / 2), F.lit(2.0))
+    a = F.least(F.lit(1.0), up + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0)))
+    arc = F.lit(2.0) * F.asin(F.sqrt(a))
+    middle = F.pow(F.sin((b1 + b2) / 2), F.lit(2.0))
+    x = (arc - F.sin(arc)) * middle * (F.lit(1.0) - up) / F.nullif(F.lit(1.0) - a, F.lit(0.0))
+    y = (arc + F.sin(arc)) * (F.lit(1.0) - middle) * up / F.nullif(a, F.lit(0.0))
+    return F.when(a == 0, F.lit(0.0)).otherwise(F.lit(RADIUS) * (arc - F.lit(FLAT / 2) * (x + y)))
 
 
 def metres_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
-    a = f"pow(sin(radians({lat2} - {lat1}) / 2), 2.0) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2.0)"
-    return f"({number(2 * EARTH)} * asin(least(1.0, sqrt({a}))))"
+    b1, b2 = (f"atan({number(1 - FLAT)} * tan(radians({x})))" for x in (lat1, lat2))
+    up = f"pow(sin(({b2} - {b1}) / 2), 2.0)"
+    a = f"least(1.0, {up} + cos({b1}) * cos({b2}) * pow(sin(radians({lon2} - {lon1}) / 2), 2.0))"
+    arc = f"(2.0 * asin(sqrt({a})))"
+    middle = f"pow(sin(({b1} + {b2}) / 2), 2.0)"
+    x = f"({arc} - sin({arc})) * {middle} * (1.0 - {up}) / nullif(1.0 - {a}, 0.0)"
+    y = f"({arc} + sin({arc})) * (1.0 - {middle}) * {up} / nullif({a}, 0.0)"
+    return f"(CASE WHEN {a} = 0 THEN 0.0 ELSE {number(RADIUS)} * ({arc} - {number(FLAT / 2)} * ({x} + {y})) END)"
 
 
 def degrees(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -30,7 +43,7 @@ def degrees(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 
 def near_box(lon: Column, lat: Column, at_lon: float, at_lat: float, radius: float) -> Column:
     """A box that holds the circle of radius metres: comparisons of plain columns, which reach the scan as filters."""
-    up = math.degrees(radius / EARTH) * 1.001
+    up = radius / DEGREE
     side = up / max(0.01, math.cos(math.radians(min(89.0, abs(at_lat) + up))))
     return lon.between(at_lon - side, at_lon + side) & lat.between(at_lat - up, at_lat + up)
 

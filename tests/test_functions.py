@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import math
 import struct
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from gevel.functions import address, geo, scoring
 from gevel.operators.merge import inserted_only, upserted
 from gevel.operators.rollups import page
 from gevel.operators.spatial import nearest_within
-from gevel.sources import mvt
+from gevel.sources import files, mvt
 from gevel.sources.geometry import hex_point, read_point, wkt_point
 
 
@@ -70,9 +74,49 @@ def test_levels(spark):
     assert [one(spark, scoring.half_up(F.lit(x)))[0] for x in (-1.5, -2.5, 2.5)] == [-1, -2, 3]
 
 
+def spheroid_metres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
+    """Vincenty's inverse formula, iterated."""
+    a, f = 6378137.0, 1 / 298.257223563
+    b = (1 - f) * a
+    u1, u2 = (math.atan((1 - f) * math.tan(math.radians(x))) for x in (lat1, lat2))
+    length = turn = math.radians(lon2 - lon1)
+    for _ in range(100):
+        side = math.hypot(math.cos(u2) * math.sin(turn), math.cos(u1) * math.sin(u2) - math.sin(u1) * math.cos(u2) * math.cos(turn))
+        if side == 0:
+            return 0.0
+        along = math.sin(u1) * math.sin(u2) + math.cos(u1) * math.cos(u2) * math.cos(turn)
+        arc = math.atan2(side, along)
+        lean = math.cos(u1) * math.cos(u2) * math.sin(turn) / side
+        flat = 1 - lean**2
+        mid = along - 2 * math.sin(u1) * math.sin(u2) / flat if flat else 0.0
+        c = f / 16 * flat * (4 + f * (4 - 3 * flat))
+        turn = length + (1 - c) * f * lean * (arc + c * side * (mid + c * along * (2 * mid**2 - 1)))
+    u = flat * (a * a - b * b) / (b * b)
+    big = 1 + u / 16384 * (4096 + u * (u * (320 - 175 * u) - 768))
+    small = u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
+    shift = small * side * (mid + small / 4 * (along * (2 * mid**2 - 1) - small / 6 * mid * (4 * side**2 - 3) * (4 * mid**2 - 3)))
+    return b * big * (arc - shift)
+
+
+def test_distances_are_those_of_the_spheroid(spark):
+    r = np.random.default_rng(8)
+    near = [(x, y, x + dx, y + dy) for x, y, dx, dy in zip(r.uniform(3.5, 7.2, 60), r.uniform(50.7, 53.5, 60), r.uniform(-0.4, 0.4, 60), r.uniform(-0.3, 0.3, 60), strict=True)]
+    far = [tuple(x) for x in np.column_stack([r.uniform(-60, 60, 40), r.uniform(-60, 60, 40), r.uniform(-60, 60, 40), r.uniform(-60, 60, 40)])]
+    same = [(5.0, 52.0, 5.0, 52.0), (5.0, 52.0, 5.0, 52.1), (5.0, 52.0, 5.1, 52.0), (0.0, 0.0, 1.0, 0.0)]
+    rows = [tuple(map(float, x)) for x in near + far + same]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = [x[0] for x in df.select(geo.metres(*(F.col(c) for c in "abcd"))).collect()]
+    by_sql = [duckdb.sql(f"SELECT {geo.metres_sql(*map(repr, x))}").fetchall()[0][0] for x in rows]
+    want = [spheroid_metres(*x) for x in rows]
+    assert np.allclose(got, by_sql, rtol=1e-9, atol=1e-6)
+    # Of distances in a country, and of any.
+    assert all(abs(g - w) <= 1e-5 * w + 1e-6 for g, w in zip(got[:60] + got[100:], want[:60] + want[100:], strict=True))
+    assert all(abs(g - w) <= 3e-5 * w for g, w in zip(got[60:100], want[60:100], strict=True))
+    inside = df.where(geo.near_box(F.col("c"), F.col("d"), 5.0, 52.0, 25_000)).count()
+    assert inside >= sum(spheroid_metres(5.0, 52.0, x[2], x[3]) <= 25_000 for x in rows) > 0
+
+
 def test_geography(spark):
-    km = one(spark, geo.metres(F.lit(4.9), F.lit(52.37), F.lit(5.12), F.lit(52.09)))[0] / 1000
-    assert 34 < km < 36
     zoom, place = 12, (5.1, 52.1)
     west, south, east, north = geo.tile_box(zoom, *geo.tile_at(zoom, *place))
     assert west <= place[0] <= east and south <= place[1] <= north
@@ -124,3 +168,25 @@ def test_page_bounds(spark):
     with pytest.raises(ValueError):
         page(spark.range(3), F.asc("id"), number=0)
     assert [r.id for r in page(spark.range(30), F.desc("id"), number=2, size=10).collect()] == list(range(19, 9, -1))
+
+
+def test_register_extracts_as_files(spark, tmp_path):
+    row = ("POINT (4.5 52.2)", "R1", "77", "1999", "in \"gebruik\", nu", "Straat\nWeg", "12", "", "1", "1234 ab", "X")
+    df = spark.createDataFrame([row, ("", *row[1:])], files.STAGING)
+    files.write_staged(df, f"{tmp_path}/register")
+    assert sorted(map(tuple, files.staged(spark, f"{tmp_path}/register").collect())) == sorted([row, ("", *row[1:])])
+
+
+def test_bodies_of_listings(spark, tmp_path):
+    good = {"sourceUrl": "https://www.funda.nl/1", "sourceName": "funda", "mirrorListingId": "m1", "askingPrice": None, "priceType": "sale", "address": {"postalCode": "1234AB", "houseNumber": 12}, "priceHistory": [{"price": 5, "priceDate": "2024-01-01", "eventType": "sold"}]}
+    bodies = {
+        "good": {"listings": [good, {**good, "status": "sold", "priceHistory": []}]}, "none": {"listings": []}, "source": {"listings": [good, {**good, "sourceName": "x"}]}, "status": {"listings": [{**good, "status": "x"}]},
+        "address": {"listings": [{k: v for k, v in good.items() if k != "address"}]}, "event": {"listings": [{**good, "priceHistory": [{"price": 5}]}]}, "other": {"x": 1},
+    }
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=1))
+    (tmp_path / "broken.json").write_text("{")
+    (tmp_path / "empty.json").write_text("")
+    rows = files.listings_of(files.read_bodies(spark, f"{tmp_path}/*.json"), "path", "body")
+    assert sorted((r.path.rsplit("/", 1)[-1], r.place, r.house_number, r.status, r.asking_price) for r in rows.collect()) == [("good.json", 0, "12", "active", None), ("good.json", 1, "12", "sold", None)]
+    assert [tuple(r) for r in files.price_history_of(rows, "mirror_id").collect()] == [("m1", 5, "2024-01-01", "sold")]

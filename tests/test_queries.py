@@ -35,8 +35,8 @@ def test_same_rows(spark, duck, name):
     assert ours == theirs
 
 
-def test_every_query_but_tiles_has_an_oracle():
-    assert set(plans.queries()) - set(plans.oracle_sql()) == {"tile_bytes"}
+def test_every_query_but_tiles_and_samples_has_an_oracle():
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"tile_bytes", "property_sample"}
 
 
 def varints(data: bytes):
@@ -109,3 +109,11 @@ def test_pages_are_in_order(spark):
         rows = plans.queries()[name](spark, SF).collect()
         assert [r.place for r in rows] == list(range(1, len(rows) + 1)) and rows
         assert all(r.total_pages >= 1 and r.total >= len(rows) for r in rows)
+
+
+def test_samples_are_rows(spark):
+    from gevel.sources.domain import Tables
+
+    streets = {r.street for r in Tables(spark, SF).properties.select("street").collect()}
+    rows = plans.queries()["property_sample"](spark, SF).collect()
+    assert len(rows) == 5 and {r.street for r in rows} <= streets
