@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gevel.llm import licenses
+from gevel.llm import lexical, licenses
 from gevel.llm.ann import nearest
 from gevel.llm.bpe import encode_decode
+from gevel.llm.html_text import html_text
 from gevel.llm.language import languages
 from gevel.llm.media import media_columns
 from gevel.llm.ngram_join import jaccard_groups
@@ -17,6 +18,7 @@ from gevel.llm.pii import find_pii
 from gevel.llm.token_count import token_counts
 from gevel.llm.tokenizer_files import path
 from gevel.llm.toxicity import toxicity
+from gevel.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,5 +76,20 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixture_packing, op3_license_scan, op4_nearest_neighbours, op5_token_counts, op6_bpe, op7_language, op8_toxicity, op9_pii, op10_media_columns)}
-ORACLE: dict[str, str] = {"op3_license_scan": licenses.oracle_sql()}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings along their 32 principal components, each with variance 1."""
+    return whiten(_table(spark, sf_dir, "embeddings"), most=32)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each item of the benchmark."""
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixture_packing, op3_license_scan, op4_nearest_neighbours, op5_token_counts, op6_bpe, op7_language, op8_toxicity, op9_pii, op10_media_columns, op11_embedding_whitening, op12_ranked_search, op13_html_text)}
+ORACLE: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op12_ranked_search": lexical.oracle_sql()}
