@@ -83,10 +83,11 @@ def centre(rows: DataFrame, width: int) -> Centre | None:
         n, most, s, q = 0, 0, np.zeros(width, object), np.zeros(width, object)
         for b in batches:
             _, x = steps(b, width)
-            for x in (x[i : i + BLOCK] for i in range(0, len(x), BLOCK)):
-                top = int(np.abs(x).max())
-                wide = x if top * top * BLOCK < 2**63 else x.astype(object)
-                n, most, s, q = n + len(x), max(most, top), s + wide.sum(0).astype(object), q + (wide * wide).sum(0).astype(object)
+            for i in range(0, len(x), BLOCK):
+                some = x[i : i + BLOCK]
+                top = int(np.abs(some).max())
+                wide = some if top * top * BLOCK < 2**63 else some.astype(object)
+                n, most, s, q = n + len(some), max(most, top), s + wide.sum(0).astype(object), q + (wide * wide).sum(0).astype(object)
         if n:
             yield pa.RecordBatch.from_pydict({"k": np.arange(width), "n": [n] * width, "most": [most] * width, "s": [str(v) for v in s], "q": [str(v) for v in q]}, pa.schema({"k": pa.int32(), "n": pa.int64(), "most": pa.int64(), "s": pa.string(), "q": pa.string()}))
 

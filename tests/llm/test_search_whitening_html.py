@@ -37,7 +37,9 @@ def by_row(df, key="vec_id"):
     return rows, rows.whitened.to_numpy().reshape(-1, rows.component.max())
 
 
-def test_whitening_equals_whole_decomposition(spark):
+@pytest.mark.parametrize("block", [8192, 7])
+def test_whitening_equals_whole_decomposition(spark, monkeypatch, block):
+    monkeypatch.setattr(whitening, "BLOCK", block)
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows, ours = by_row(queries.op11_embedding_whitening(spark, SF))
     plain, shares, deviations = plainly_whitened(np.array([r.embedding for r in table.orderBy("vec_id").collect()]))
@@ -143,6 +145,14 @@ def extractor(spark):
     return html_text.train(spark.read.parquet(f"{SF}/pages.parquet"))
 
 
+def test_sample_of_pages(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    monkeypatch.setattr(html_text, "SAMPLE", 4)
+    several = df.unionByName(df.where("page_id = 3").crossJoin(spark.range(200)).select(df.columns))
+    assert 0 < html_text.sample(several, "html").count() <= 4
+    assert html_text.sample(several, "html").distinct().count() == html_text.sample(several, "html").count()
+
+
 def test_main_text_of_pages(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = queries.op13_html_text(spark, SF).collect()
