@@ -104,10 +104,15 @@ _THREADS = f"""WITH k AS (SELECT target_id AS id, count(*) AS n FROM reactions W
 c AS (SELECT c.*, u.username, CAST(coalesce(k.n, 0) AS INTEGER) AS likes FROM comments c JOIN users u ON u.id = c.user_id LEFT JOIN k ON k.id = c.id),
 s AS (SELECT *, likes * 2 + CASE WHEN created_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR THEN 10 WHEN created_at > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR THEN 5 WHEN created_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY THEN 2 ELSE 0 END AS score FROM c WHERE parent_id IS NULL),
 r AS (SELECT parent_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS ids FROM c WHERE parent_id IS NOT NULL GROUP BY parent_id) """
-_HOURLY = """RECURSIVE v AS (SELECT property_id, coalesce(CAST(user_id AS VARCHAR), session_id) AS viewer, viewed_at FROM property_views),
-kept AS (SELECT property_id, viewer, min(viewed_at) AS seen FROM v WHERE viewer IS NOT NULL GROUP BY 1, 2
-UNION ALL SELECT k.property_id, k.viewer, min(v.viewed_at) FROM kept k JOIN v ON v.property_id = k.property_id AND v.viewer = k.viewer AND v.viewed_at >= k.seen + INTERVAL 1 HOUR GROUP BY 1, 2)
-SELECT property_id, viewer, CAST(count(*) AS INTEGER) AS views, strftime(max(seen), '%Y-%m-%dT%H:%M:%SZ') AS last FROM (SELECT * FROM kept UNION ALL SELECT * FROM v WHERE viewer IS NULL) GROUP BY 1, 2"""
+_HOURLY = """RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY property_id, user_id ORDER BY viewed_at, id) AS k FROM property_views WHERE user_id IS NOT NULL),
+uk AS (SELECT property_id, user_id, k, viewed_at AS last, true AS kept FROM u WHERE k = 1
+UNION ALL SELECT u.property_id, u.user_id, u.k, CASE WHEN u.viewed_at >= uk.last + INTERVAL 1 HOUR THEN u.viewed_at ELSE uk.last END, u.viewed_at >= uk.last + INTERVAL 1 HOUR FROM uk JOIN u ON u.property_id = uk.property_id AND u.user_id = uk.user_id AND u.k = uk.k + 1),
+held AS (SELECT u.* FROM u JOIN uk USING (property_id, user_id, k) WHERE kept),
+s AS (SELECT *, row_number() OVER (PARTITION BY property_id, session_id ORDER BY viewed_at, id) AS k FROM (SELECT id, property_id, session_id, viewed_at, true AS blocks FROM held WHERE session_id IS NOT NULL UNION ALL SELECT id, property_id, session_id, viewed_at, false FROM property_views WHERE user_id IS NULL AND session_id IS NOT NULL)),
+sk AS (SELECT property_id, session_id, k, viewed_at AS last, true AS kept FROM s WHERE k = 1
+UNION ALL SELECT s.property_id, s.session_id, s.k, CASE WHEN s.blocks OR s.viewed_at >= sk.last + INTERVAL 1 HOUR THEN s.viewed_at ELSE sk.last END, s.blocks OR s.viewed_at >= sk.last + INTERVAL 1 HOUR FROM sk JOIN s ON s.property_id = sk.property_id AND s.session_id = sk.session_id AND s.k = sk.k + 1)
+SELECT property_id, viewer, CAST(count(*) AS INTEGER) AS views, strftime(max(viewed_at), '%Y-%m-%dT%H:%M:%SZ') AS last FROM (SELECT property_id, CAST(user_id AS VARCHAR) AS viewer, viewed_at FROM held
+UNION ALL SELECT s.property_id, s.session_id, s.viewed_at FROM s JOIN sk USING (property_id, session_id, k) WHERE kept AND NOT blocks UNION ALL SELECT property_id, NULL, viewed_at FROM property_views WHERE user_id IS NULL AND session_id IS NULL) GROUP BY 1, 2"""
 
 QUERIES = {f.__name__: f for f in (comment_threads, comments_recent, guess_list, my_guesses, like_counts, view_counts, views_hourly, profiles, guess_cooldowns, saved_activity)}
 ORACLE = {

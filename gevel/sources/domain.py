@@ -58,7 +58,7 @@ SELECT conv_id * 1000 + turn AS id, (conv_id * 131 + (CASE WHEN role = 'assistan
 FROM {conversations}""",
     "property_views": """
 SELECT event_id AS id, event_id % 50 AS property_id, CASE WHEN event_id % 3 = 0 THEN user_id % 10 END AS user_id,
-  CASE WHEN event_id % 3 = 1 THEN concat('s', CAST(user_id % 10 AS STRING)) END AS session_id, CAST(ts AS TIMESTAMP) AS viewed_at
+  CASE WHEN event_id % 3 = 1 OR event_id % 6 = 0 THEN concat('s', CAST(user_id % 10 AS STRING)) END AS session_id, CAST(ts AS TIMESTAMP) AS viewed_at
 FROM {events} WHERE event_type IN ('view', 'purchase', 'signup')""",
     "reactions": """
 SELECT min(event_id) AS id, CASE WHEN event_id % 4 = 0 THEN 'comment' ELSE 'property' END AS target_type,

@@ -2,27 +2,75 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from gevel.operators.dedup import hourly
-from gevel.streaming.views import hourly_stream, upsert_stream
+from gevel.streaming.views import hourly_stream, upsert_stream, weekly_counts
 
 BEGIN = 1_700_000_000
-VIEWS = "property_id long, user_id long, session_id string, viewed_at timestamp"
+VIEWS = "id long, property_id long, user_id long, session_id string, viewed_at timestamp"
+SF = "/root/testdata/sf0.001"
 
 
-def test_hourly_stream(spark, tmp_path):
-    at = [0, 1800, 3700, 5000, 7300]
-    rows = [(1, None, "s", t) for t in at] + [(1, 7, None, 10), (1, 7, "s", 20), (2, None, "s", 30)]
-    df = spark.createDataFrame(rows, "property_id long, user_id long, session_id string, t long").select("property_id", "user_id", "session_id", F.timestamp_seconds(F.col("t") + BEGIN).alias("viewed_at"))
-    seconds = lambda d: sorted((r.property_id, r.viewer, r.t) for r in d.select("property_id", "viewer", (F.unix_seconds("viewed_at") - BEGIN).alias("t")).collect())
-    want = [(1, "7", 10), (1, "s", 0), (1, "s", 3700), (1, "s", 7300), (2, "s", 30)]
-    assert seconds(hourly(df)) == want
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = hourly_stream(spark.readStream.schema(VIEWS).parquet(f"{tmp_path}/in"))
-    query = stream.writeStream.format("memory").queryName("kept").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert seconds(spark.table("kept")) == want
+def views(spark, rows):
+    df = spark.createDataFrame(rows, "id long, property_id long, user_id long, session_id string, t long")
+    return df.select("id", "property_id", "user_id", "session_id", F.timestamp_seconds(F.col("t") + BEGIN).alias("viewed_at"))
+
+
+def plainly_counted(rows):
+    """Ids of the views that count, one view after the other."""
+    held, out = [], []
+    for ident, prop, user, session, t in sorted(rows, key=lambda r: (r[4], r[0])):
+        near = [h for h in held if h[0] == prop and t - h[3] < 3600]
+        seen = any(h[1] == user for h in near) if user is not None else session is not None and any(h[2] == session for h in near)
+        if not seen:
+            held.append((prop, user, session, t))
+            out.append(ident)
+    return sorted(out)
+
+
+def random_views(n, seed):
+    r = random.Random(seed)
+    return [(k, r.randrange(3), r.choice((None, None, 1, 2, 3)), r.choice((None, "a", "b", "c")), r.randrange(0, 40_000)) for k in range(n)]
+
+
+def test_a_users_view_holds_back_its_session(spark):
+    rows = [(1, 1, 7, "s", 0), (2, 1, None, "s", 600), (3, 1, None, "s", 3600), (4, 1, 7, "t", 3599), (5, 1, 8, "s", 3700), (6, 1, None, "s", 7290), (7, 1, None, "s", 7300), (8, 1, None, None, 1), (9, 1, None, None, 2), (10, 1, 8, "s", 3700)]
+    assert sorted(r.id for r in hourly(views(spark, rows)).collect()) == plainly_counted(rows) == [1, 3, 5, 7, 8, 9]
+
+
+def test_hourly_equals_going_through(spark):
+    rows = random_views(400, 1)
+    assert sorted(r.id for r in hourly(views(spark, rows)).collect()) == plainly_counted(rows)
+    assert hourly(views(spark, rows).where("id < 0")).count() == 0
+
+
+def streamed(spark, folder, parts, held=None):
+    """Ids of the views that count in a stream of these parts, one after the other."""
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{folder}/in{k}")
+        name = f"{folder}/in/{k}"
+        spark.read.parquet(f"{folder}/in{k}").coalesce(1).write.parquet(name)
+        source = spark.readStream.schema(VIEWS).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        hourly_stream(source, held=held).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination(180)
+    return sorted(r.id for r in spark.read.parquet(f"{folder}/out").collect())
+
+
+def test_hourly_stream_and_its_start_from_a_table(spark, tmp_path):
+    rows = [r for r in random_views(300, 2) if r[2] is not None or r[3] is not None]
+    end = [(9000 + p, 99, 1, "z", 200_000) for p in range(1)]
+    early, late = [r for r in rows if r[4] < 20_000], [r for r in rows if r[4] >= 20_000]
+    whole = plainly_counted(rows)
+    table = lambda some: views(spark, some)
+    # What comes within the lateness may come in any order.
+    mixed = sorted(early, key=lambda r: r[4] // 500 * 500 + (r[0] * 7919) % 500)
+    cut = len(mixed) // 2
+    soon = [r for r in mixed[:cut] if r[4] < mixed[cut][4] + 500]
+    assert streamed(spark, tmp_path / "whole", [table(soon), table([r for r in mixed if r not in soon]), table(late), table(end)]) == whole
+    before = hourly(table(early))
+    assert streamed(spark, tmp_path / "restart", [table(late), table(end)], held=before) == sorted(set(whole) - {r.id for r in before.collect()})
 
 
 def test_upsert_stream(spark, tmp_path):
@@ -31,3 +79,13 @@ def test_upsert_stream(spark, tmp_path):
         upsert_stream(spark.readStream.schema("k int, v string, at int").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", ["k"], ["v", "at"], "at", f"{tmp_path}/check").awaitTermination(120)
         last = spark.read.parquet(f"{tmp_path}/out/{k}")
     assert sorted((r.k, r.v) for r in last.collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_weekly_counts(spark, tmp_path):
+    df = views(spark, [(k, k % 2, None, None, 86_400 * k) for k in range(20)])
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = weekly_counts(spark.readStream.schema(VIEWS).parquet(f"{tmp_path}/in"), "property_id", "viewed_at")
+    stream.writeStream.format("memory").queryName("weeks").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    batch = weekly_counts(df, "property_id", "viewed_at")
+    assert sorted(map(tuple, spark.table("weeks").collect())) == sorted(map(tuple, batch.collect()))
+    assert {r.n for r in batch.collect()} == {1, 2, 3, 4}
