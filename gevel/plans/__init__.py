@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gevel.plans import batches, feed, ingest, maps, mirrors, pages, properties, social, texts, valuation, writes
+from gevel.plans import batches, feed, ingest, maps, mirrors, pages, properties, requests, social, texts, valuation, writes
 
-_MODULES = (feed, valuation, properties, pages, maps, social, ingest, batches, mirrors, writes, texts)
+_MODULES = (feed, valuation, properties, pages, maps, social, ingest, batches, mirrors, writes, texts, requests)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

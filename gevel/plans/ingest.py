@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +48,10 @@ def top_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.properties.groupBy("city").agg(F.count("*").cast("int").alias("properties"), F.count_if(F.col("lon").isNotNull()).cast("int").alias("placed")).orderBy(F.desc("properties"), "city").limit(10)
 
 
-def matched(t: Tables) -> DataFrame:
-    """Incoming listings with the property each is of and how that was found: by address, by position, or not at all (bad addresses are errors)."""
-    rows = t.incoming.select(
-        "row_id", "mirror_id", "source_name", address.source_url(F.col("source_url")).alias("source_url"), "asking_price",
+def matched(t: Tables, incoming: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Incoming listings with the property each is of and how that was found: by address, by position, or not at all (bad addresses are errors); and further columns of theirs."""
+    rows = (t.incoming if incoming is None else incoming).select(
+        *carry, "row_id", "mirror_id", "source_name", address.source_url(F.col("source_url")).alias("source_url"), "asking_price",
         address.postal_code(F.col("postal_code")).alias("code"), address.house_number(F.col("house_number")).alias("number"), F.coalesce(address.house_suffix(F.col("house_number")), F.lit("")).alias("extra"), "lon", "lat",
     )
     p = t.properties.where("postal_code is not null").groupBy(F.col("postal_code").alias("code"), F.col("house_number").alias("number"), F.coalesce("house_number_addition", F.lit("")).alias("extra")).agg(F.min("id").alias("by_address"))

@@ -89,6 +89,28 @@ SELECT l_orderkey * 10 + l_linenumber AS row_id, min(l_partkey) AS near_key, con
   CASE WHEN min(l_partkey) % 7 = 0 THEN NULL ELSE CAST(3500 + min(l_partkey) * 37 % 3700 AS DOUBLE) / 1000 + 0.0004 END AS lon,
   CASE WHEN min(l_partkey) % 7 = 0 THEN NULL ELSE CAST(50750 + min(l_partkey) * 91 % 2800 AS DOUBLE) / 1000 END AS lat
 FROM {lineitem} JOIN {part} ON p_partkey = l_partkey GROUP BY l_orderkey, l_linenumber""",
+    "requests": f"""
+SELECT CAST(l_linenumber AS BIGINT) * 1000000000 + l_orderkey AS row_id, min(l_partkey) AS near_key, concat('m', CAST(l_orderkey - CASE WHEN l_orderkey % 1499 = 7 THEN 1 ELSE 0 END AS STRING)) AS mirror_id,
+  CASE (l_orderkey - CASE WHEN l_orderkey % 1499 = 7 THEN 1 ELSE 0 END) % 3 WHEN 0 THEN 'funda' WHEN 1 THEN 'pararius' ELSE 'other' END AS source_name,
+  concat('HTTPS://WWW.Funda.nl/', CASE WHEN l_linenumber = 1 AND l_orderkey % 1301 = 5 THEN 'koop/' ELSE 'mirror/' END,
+    CAST(CASE WHEN l_linenumber = 1 AND l_orderkey % 1301 = 5 THEN l_orderkey + 1 WHEN l_linenumber = 2 AND l_orderkey % 1201 = 11 OR l_linenumber = 4 AND l_orderkey % 355 = 1 THEN l_orderkey - 1 ELSE l_orderkey END AS STRING),
+    CASE WHEN l_linenumber >= 3 AND l_orderkey % 5 = 0 THEN '/new' ELSE '' END, '/?utm=', CAST(l_linenumber AS STRING)) AS source_url,
+  CAST(floor(max(l_extendedprice)) AS BIGINT) AS asking_price, CASE WHEN l_orderkey % 12 = 0 THEN 'rent' ELSE 'sale' END AS price_type,
+  CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE CAST(30 + l_orderkey % 150 + l_linenumber AS INT) END AS area, CAST(1 + l_orderkey % 7 AS INT) AS rooms, CASE WHEN l_orderkey % 8 = 0 THEN NULL ELSE chr(CAST(65 + (l_orderkey + l_linenumber) % 7 AS INT)) END AS energy_label,
+  CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE concat('https://img.example/', CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '.jpg') END AS thumbnail_url, min(p_name) AS og_title,
+  CASE max(l_returnflag) WHEN 'N' THEN 'active' WHEN 'A' THEN 'sold' ELSE 'withdrawn' END AS status,
+  CAST(max(l_shipdate) + INTERVAL '{SHIFT}' DAY AS TIMESTAMP) AS first_seen_at, CAST(max(l_shipdate) + INTERVAL '{SHIFT + 2}' DAY AS TIMESTAMP) AS last_changed_at, CAST(max(l_shipdate) + INTERVAL '{SHIFT + 3}' DAY AS TIMESTAMP) AS last_seen_at,
+  CASE WHEN min(l_partkey) % 61 = 0 THEN 'bad' ELSE lower(concat(CAST(1000 + min(l_partkey) * 7 % 9000 AS STRING), ' ', chr(CAST(65 + min(l_partkey) % 26 AS INT)), chr(CAST(65 + min(l_partkey) * 7 % 26 AS INT)))) END AS postal_code,
+  concat(CAST(min(p_size) AS STRING), CASE min(l_partkey) % 5 WHEN 0 THEN 'a' WHEN 1 THEN '-bis' WHEN 2 THEN '/1' ELSE '' END) AS house_number,
+  CASE WHEN min(l_partkey) % 7 = 0 THEN NULL ELSE CAST(3500 + min(l_partkey) * 37 % 3700 AS DOUBLE) / 1000 + 0.0004 END AS lon,
+  CASE WHEN min(l_partkey) % 7 = 0 THEN NULL ELSE CAST(50750 + min(l_partkey) * 91 % 2800 AS DOUBLE) / 1000 END AS lat
+FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey GROUP BY l_orderkey, l_linenumber""",
+    "held_listings": f"""
+SELECT min(l_partkey) AS property_id, concat('https://www.funda.nl/koop/', CAST(l_orderkey AS STRING)) AS source_url, CASE l_orderkey % 3 WHEN 0 THEN 'funda' WHEN 1 THEN 'pararius' ELSE 'other' END AS source_name,
+  CASE WHEN l_orderkey % 20 = 0 THEN NULL WHEN l_orderkey % 3 = 0 THEN concat('old', CAST(l_orderkey AS STRING)) ELSE concat('m', CAST(l_orderkey AS STRING)) END AS mirror_id, CAST(floor(min(l_extendedprice)) AS BIGINT) AS asking_price,
+  CASE WHEN l_orderkey % 12 = 0 THEN 'rent' ELSE 'sale' END AS price_type, CAST(NULL AS INT) AS area, CAST(NULL AS INT) AS rooms, CAST(NULL AS STRING) AS energy_label, CAST(NULL AS STRING) AS thumbnail_url, CAST('as it was' AS STRING) AS og_title, 'active' AS status,
+  CAST(min(l_shipdate) + INTERVAL '{SHIFT}' DAY AS TIMESTAMP) AS first_seen_at, CAST(min(l_shipdate) + INTERVAL '{SHIFT}' DAY AS TIMESTAMP) AS last_changed_at, CAST(min(l_shipdate) + INTERVAL '{SHIFT}' DAY AS TIMESTAMP) AS last_seen_at
+FROM {{lineitem}} GROUP BY l_orderkey""",
     "mirror_rows": """
 SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN 'rent' WHEN p_partkey % 6 = 1 THEN NULL ELSE 'sale' END AS price_type,
   CASE WHEN p_partkey % 13 = 2 THEN 'n/a' WHEN p_partkey % 13 = 3 THEN NULL ELSE CAST(CAST(floor(p_retailprice * 25000) AS BIGINT) + p_partkey % 100 AS STRING) END AS asking_price_cents,
