@@ -10,6 +10,10 @@ from gevel.sources.domain import Tables, with_domain
 from gevel.sources.geometry import wkt_point
 
 
+#: What the sample is drawn by.
+SEED = 7
+
+
 def bodies(t: Tables) -> DataFrame:
     """(batch, body): the incoming listings of ten row numbers each as one request's body."""
     number, far = F.col("row_id") % 3 == 0, F.col("row_id") % 4 == 0
@@ -42,9 +46,9 @@ def register_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def property_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five properties at random."""
+    """Five properties at random, by a seed: those of the least digests of seed and id."""
     t = Tables(spark, sf_dir)
-    return t.properties.orderBy(F.rand()).limit(5).select("street", "house_number", F.coalesce("house_number_addition", F.lit("")).alias("house_number_addition"), F.coalesce("postal_code", F.lit("N/A")).alias("postal_code"), "city")
+    return t.properties.orderBy(F.md5(F.concat(F.lit(f"{SEED}-"), F.col("id").cast("string")))).limit(5).select("id", "street", "house_number", F.coalesce("house_number_addition", F.lit("")).alias("house_number_addition"), F.coalesce("postal_code", F.lit("N/A")).alias("postal_code"), "city")
 
 
 _GOOD = "SELECT *, CAST(floor(row_id / 10) AS BIGINT) AS batch FROM incoming WHERE source_name <> 'other'"
@@ -56,6 +60,7 @@ ORACLE = {
         f"postal_code, house_number, CASE WHEN row_id % 3 = 0 THEN '\"A\"' || chr(10) END AS house_number_addition, lon, lat FROM ({_GOOD})", "incoming"),
     "batch_price_history": with_domain(
         f"SELECT batch, mirror_id, asking_price AS price, '2024-02-01' AS price_date, 'asking' AS event_type FROM ({_GOOD}) WHERE row_id % 3 = 0 UNION ALL SELECT batch, mirror_id, asking_price + 500, '2024-01-01', 'listed' FROM ({_GOOD}) WHERE row_id % 3 = 0", "incoming"),
+    "property_sample": with_domain(f"SELECT id, street, house_number, coalesce(house_number_addition, '') AS house_number_addition, coalesce(postal_code, 'N/A') AS postal_code, city FROM properties ORDER BY md5('{SEED}-' || id) LIMIT 5", "properties"),
     "register_places": with_domain(
         r"SELECT identification, TRY_CAST(regexp_extract(geom, '\(\s*(\S+)\s', 1) AS DOUBLE) AS lon, TRY_CAST(regexp_extract(geom, '\s(\S+)\s*\)', 1) AS DOUBLE) AS lat FROM register_rows", "register_rows"),
 }

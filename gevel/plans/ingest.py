@@ -13,6 +13,7 @@ from gevel.operators.merge import upserted
 from gevel.operators.rollups import first_of
 from gevel.operators.spatial import nearest_within
 from gevel.sources.domain import Tables, with_domain
+from gevel.sources.geometry import wkt_point
 
 #: How far a listing's position may be from its property's, in degrees.
 TOLERANCE = 0.001
@@ -25,7 +26,7 @@ def register(t: Tables) -> DataFrame:
     rows = s.where("postal_code is not null and postal_code <> '' and house_number <> ''").select(
         F.col("identification").alias("register_id"), "street", F.col("house_number").try_cast("int").alias("house_number"), extra.alias("house_number_addition"),
         F.upper(F.replace("postal_code", F.lit(" "), F.lit(""))).alias("postal_code"), "city", F.col("area").try_cast("int").alias("area"), F.col("built").try_cast("int").alias("built"),
-        F.when(F.ilike("status", F.lit("%ingetrokken%")), "demolished").when(F.ilike("status", F.lit("%buiten gebruik%")), "inactive").otherwise("active").alias("status"),
+        F.when(F.ilike("status", F.lit("%ingetrokken%")), "demolished").when(F.ilike("status", F.lit("%buiten gebruik%")), "inactive").otherwise("active").alias("status"), *(c.alias(n) for c, n in zip(wkt_point(F.col("geom")), ("lon", "lat"), strict=True)),
     )
     return first_of(rows, ["postal_code", "house_number", "house_number_addition"], F.asc("register_id"))
 
@@ -35,12 +36,12 @@ def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Properties after the register is merged by address: id, street, year, area and status are overwritten; city and tax value stay."""
+    """Properties after the register is merged by address: id, street, place, year, area and status are overwritten; city and tax value stay."""
     t = Tables(spark, sf_dir)
     keys = ["postal_code", "house_number", "house_number_addition"]
     table = first_of(t.properties.where("postal_code is not null").withColumn("house_number_addition", F.coalesce("house_number_addition", F.lit(""))), keys, F.asc("id"))
-    columns = [*keys, "register_id", "street", "built", "area", "status", "city", "woz_value"]
-    return upserted(table.select(*columns), register(t), keys, ["register_id", "street", "built", "area", "status"])
+    columns = [*keys, "register_id", "street", "lon", "lat", "built", "area", "status", "city", "woz_value"]
+    return upserted(table.select(*columns), register(t), keys, ["register_id", "street", "lon", "lat", "built", "area", "status"])
 
 
 def top_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +96,10 @@ def page_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.raw("pages").select("page_id", address.source_url(F.col("url")).alias("source_url"), address.host(F.col("url")).alias("host"), texts.site_by_domain(F.col("url")).alias("site"), address.allowed_url(F.col("url")).alias("allowed"), title.alias("title"), address.meta_content(F.col("html"), "og:title").alias("og_title"), address.title_match(title, F.lit("the"), F.lit(439)).alias("match"))
 
 
-_CLEAN = """SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY postal_code, house_number, house_number_addition ORDER BY register_id) AS k FROM (
+_CLEAN = r"""SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY postal_code, house_number, house_number_addition ORDER BY register_id) AS k FROM (
 SELECT identification AS register_id, street, TRY_CAST(house_number AS INTEGER) AS house_number, coalesce(upper(nullif(concat_ws('-', nullif(letter, ''), nullif(suffix, '')), '')), '') AS house_number_addition, upper(replace(postal_code, ' ', '')) AS postal_code, city,
-TRY_CAST(area AS INTEGER) AS area, TRY_CAST(built AS INTEGER) AS built, CASE WHEN status ILIKE '%ingetrokken%' THEN 'demolished' WHEN status ILIKE '%buiten gebruik%' THEN 'inactive' ELSE 'active' END AS status
+TRY_CAST(area AS INTEGER) AS area, TRY_CAST(built AS INTEGER) AS built, CASE WHEN status ILIKE '%ingetrokken%' THEN 'demolished' WHEN status ILIKE '%buiten gebruik%' THEN 'inactive' ELSE 'active' END AS status,
+TRY_CAST(regexp_extract(geom, '\(\s*(\S+)\s', 1) AS DOUBLE) AS lon, TRY_CAST(regexp_extract(geom, '\s(\S+)\s*\)', 1) AS DOUBLE) AS lat
 FROM register_rows WHERE postal_code <> '' AND house_number <> '')) WHERE k = 1"""
 _CODE = r"upper(regexp_replace(postal_code, '\s+', '', 'g'))"
 _URL = r"regexp_replace('https://www.funda.nl' || substr(regexp_replace(source_url, '[?#].*$', ''), 21), '/+$', '')"
@@ -117,7 +119,7 @@ ORACLE = {
     "register_rows": with_domain(_CLEAN, "register_rows"),
     "register_upsert": with_domain(
         f"WITH r AS ({_CLEAN}), p AS ({_KEYED}) SELECT coalesce(r.postal_code, p.postal_code) AS postal_code, coalesce(r.house_number, p.house_number) AS house_number, coalesce(r.house_number_addition, p.house_number_addition) AS house_number_addition, "
-        "coalesce(r.register_id, p.register_id) AS register_id, coalesce(r.street, p.street) AS street, coalesce(r.built, p.built) AS built, coalesce(r.area, p.area) AS area, coalesce(r.status, p.status) AS status, CASE WHEN p.id IS NULL THEN r.city ELSE p.city END AS city, p.woz_value, "
+        "coalesce(r.register_id, p.register_id) AS register_id, coalesce(r.street, p.street) AS street, CASE WHEN r.register_id IS NULL THEN p.lon ELSE r.lon END AS lon, CASE WHEN r.register_id IS NULL THEN p.lat ELSE r.lat END AS lat, coalesce(r.built, p.built) AS built, coalesce(r.area, p.area) AS area, coalesce(r.status, p.status) AS status, CASE WHEN p.id IS NULL THEN r.city ELSE p.city END AS city, p.woz_value, "
         "CASE WHEN p.id IS NULL THEN 'inserted' WHEN r.register_id IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM p FULL JOIN r ON r.postal_code = p.postal_code AND r.house_number = p.house_number AND r.house_number_addition = p.house_number_addition", "properties", "register_rows"),
     "top_cities": with_domain("SELECT city, CAST(count(*) AS INTEGER) AS properties, CAST(count(lon) AS INTEGER) AS placed FROM properties GROUP BY city ORDER BY properties DESC, city LIMIT 10", "properties"),
     "ingest_matches": with_domain(_MATCH + "SELECT row_id, source_url, code, number, extra, how, property_id FROM m", "properties", "incoming"),

@@ -56,13 +56,13 @@ def comment_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guess_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A property's first page of guesses, newest first, with its fair value and how sure that is."""
+    """A property's first page of guesses, oldest first, with their users' ranks, its fair value and how sure that is."""
     t = Tables(spark, sf_dir)
-    users = t.users.select(F.col("id").alias("user_id"), shown_name().alias("name"))
+    users = t.users.select(F.col("id").alias("user_id"), shown_name().alias("name"), scoring.rank(F.greatest(F.lit(0), "karma")).alias("rank"))
     rows = t.price_guesses.where(F.col("property_id") == PROPERTY).join(users, "user_id")
-    some = counted_page(rows, F.desc("created_at"), F.asc("id"), size=5)
+    some = counted_page(rows, F.asc("created_at"), F.asc("id"), size=5)
     fair = values(t).select("property_id", "fmv", "confidence")
-    return some.join(fair, "property_id", "left").select("place", "id", "name", "guessed_price", "is_meme_guess", iso(F.col("created_at")).alias("created_at"), "fmv", "confidence", *_META).orderBy("place")
+    return some.join(fair, "property_id", "left").select("place", "id", "name", "rank", "guessed_price", "is_meme_guess", iso(F.col("created_at")).alias("created_at"), "fmv", "confidence", *_META).orderBy("place")
 
 
 def _page_sql(body: str, order: str, columns: str, number: int, size: int) -> str:
@@ -84,5 +84,5 @@ ORACLE = {
     "saved_page": with_domain(f"WITH l AS ({LATEST_SQL}) " + _page_sql(f"SELECT s.id AS save_id, s.property_id, p.street, p.city, l.asking_price, s.created_at FROM saved_properties s JOIN properties p ON p.id = s.property_id LEFT JOIN l ON l.property_id = p.id WHERE s.user_id = {USER}", "created_at DESC, save_id", f"save_id, property_id, street, city, asking_price, {_ISO} AS saved_at", 1, 3), "properties", "listings", "saved_properties"),
     "comment_page": with_domain(_COMMENTS, "comments", "users", "reactions"),
     "comment_replies": with_domain(f"WITH t AS ({_COMMENTS}) SELECT t.place AS parent_place, c.parent_id, c.id, {_NAME} AS name, CAST({_LIKES} AS INTEGER) AS likes, c.content, strftime(c.created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM comments c JOIN t ON t.id = c.parent_id JOIN users u ON u.id = c.user_id", "comments", "users", "reactions"),
-    "guess_page": with_domain(_page_sql(f"SELECT g.*, {_NAME} AS name, f.fmv, f.confidence FROM price_guesses g JOIN users u ON u.id = g.user_id LEFT JOIN ({VALUES_SQL}) f ON f.property_id = g.property_id WHERE g.property_id = {PROPERTY}", "created_at DESC, id", f"id, name, guessed_price, is_meme_guess, {_ISO} AS created_at, fmv, confidence", 1, 5), "properties", "users", "listings", "price_guesses"),
+    "guess_page": with_domain(_page_sql(f"SELECT g.*, {_NAME} AS name, {scoring.RANK_SQL.format(k='u.karma')} AS rank, f.fmv, f.confidence FROM price_guesses g JOIN users u ON u.id = g.user_id LEFT JOIN ({VALUES_SQL}) f ON f.property_id = g.property_id WHERE g.property_id = {PROPERTY}", "created_at, id", f"id, name, rank, guessed_price, is_meme_guess, {_ISO} AS created_at, fmv, confidence", 1, 5), "properties", "users", "listings", "price_guesses"),
 }

@@ -50,9 +50,9 @@ def _list_rows(t: Tables, p: DataFrame) -> DataFrame:
 
 
 def property_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of a city's properties by tax value."""
+    """The second page of a city's properties of some tax values, in the order of the list."""
     t = Tables(spark, sf_dir)
-    return _list_rows(t, page(listed(t, city="PROMO", least=20_000, most=60_000), F.asc("created_at"), F.asc("id"), number=2, size=10))
+    return _list_rows(t, page(listed(t, city="PROMO", least=20_000, most=60_000), F.asc("created_at"), F.asc("id"), number=2, size=10)).orderBy("created_at", "id")
 
 
 def property_box(spark: SparkSession, sf_dir: str) -> DataFrame:

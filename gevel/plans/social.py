@@ -93,10 +93,12 @@ def guess_cooldowns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saved_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days since each save, and how fresh it is: under 7 days hot, under 30 warm, else cold."""
+    """Days since each save, and how fresh it is: under 7 days hot, under 30 warm, else cold; a property with an active listing is warm at least."""
     t = Tables(spark, sf_dir)
     days = F.floor((F.unix_micros(now()) - F.unix_micros("created_at")) / 86_400_000_000).cast("int")
-    return t.saved_properties.select("id", "user_id", "property_id", days.alias("days"), F.when(days < 7, "hot").when(days < 30, "warm").otherwise("cold").alias("level"))
+    listed = t.listings.where("status = 'active'").select("property_id", F.lit(True).alias("listed")).distinct()
+    rows = t.saved_properties.join(listed, "property_id", "left").withColumn("has_listing", F.col("listed").isNotNull())
+    return rows.select("id", "user_id", "property_id", days.alias("days"), "has_listing", F.when(days < 7, "hot").when((days < 30) | F.col("has_listing"), "warm").otherwise("cold").alias("level"))
 
 
 _NAME = "CASE WHEN coalesce(display_name, '') = '' THEN username ELSE display_name END"
@@ -128,5 +130,5 @@ ORACLE = {
     "views_hourly": with_domain(_HOURLY, "property_views"),
     "profiles": with_domain(f"SELECT u.id, {_NAME} AS name, karma, {scoring.RANK_SQL.format(k='karma')} AS rank, " + ", ".join(f"CAST((SELECT count(*) FROM {table} x WHERE x.user_id = u.id) AS INTEGER) AS {name}" for name, table in (("guesses", "price_guesses"), ("comments", "comments"), ("saves", "saved_properties"), ("likes", "reactions"))) + " FROM users u", "users", "price_guesses", "comments", "saved_properties", "reactions"),
     "guess_cooldowns": with_domain(f"SELECT id, user_id, property_id, strftime(created_at + INTERVAL 5 DAY, '%Y-%m-%dT%H:%M:%SZ') AS until, created_at + INTERVAL 5 DAY > TIMESTAMP '{AS_OF}' AS cooling FROM price_guesses", "price_guesses"),
-    "saved_activity": with_domain(f"WITH d AS (SELECT *, CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 86400000000) AS INTEGER) AS days FROM saved_properties) SELECT id, user_id, property_id, days, CASE WHEN days < 7 THEN 'hot' WHEN days < 30 THEN 'warm' ELSE 'cold' END AS level FROM d", "saved_properties"),
+    "saved_activity": with_domain(f"WITH d AS (SELECT *, CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 86400000000) AS INTEGER) AS days, EXISTS (SELECT 1 FROM listings l WHERE l.property_id = s.property_id AND l.status = 'active') AS has_listing FROM saved_properties s), v AS (SELECT *, CASE WHEN days < 7 THEN 'hot' WHEN days < 30 THEN 'warm' ELSE 'cold' END AS by_days FROM d) SELECT id, user_id, property_id, days, has_listing, CASE WHEN has_listing AND by_days = 'cold' THEN 'warm' ELSE by_days END AS level FROM v", "saved_properties", "listings"),
 }

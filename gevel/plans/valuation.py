@@ -70,11 +70,12 @@ def user_karma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, property_id, others, aligned, percent, category): of a guess, how many others of its property are within a tenth of it.
+    """(id, property_id, others, aligned, percent, category, message): of a guess, how many others of its property are within a tenth of it, how far it is from the crowd's estimate (aligned to 5 %, close to 15 %, else different), and what that is told as. Without an estimate there is neither.
 
     Guesses of a property meet by price: each guess counts a range of the sorted prices, so no pairs are made.
     """
-    g = Tables(spark, sf_dir).price_guesses.select("id", "property_id", "guessed_price")
+    t = Tables(spark, sf_dir)
+    g = t.price_guesses.select("id", "property_id", "guessed_price")
     price = F.col("guessed_price") * 10
     # Prices within a tenth of a guess lie between 9 and 11 tenths of it: counts up to both ends give those between.
     marks = g.select("id", "property_id", price.alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("one"))
@@ -87,7 +88,14 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sizes = g.groupBy("property_id").agg((F.count("*") - 1).cast("int").alias("others"))
     rows = counts.join(sizes, "property_id").where("others > 0")
-    return rows.select("id", "property_id", "others", "aligned", half_up(F.col("aligned") / F.col("others") * 100).cast("int").alias("percent"))
+    rows = rows.join(g.select("id", "guessed_price"), "id").join(values(t).select("property_id", "crowd_estimate"), "property_id", "left")
+    percent = half_up(F.col("aligned") / F.col("others") * 100).cast("int")
+    off = (F.col("guessed_price") - F.col("crowd_estimate")) / F.nullif("crowd_estimate", F.lit(0)) * 100
+    rows = rows.withColumn("percent", percent).withColumn("off", off)
+    category = F.when(F.abs("off") <= 5, "aligned").when(F.abs("off") <= 15, "close").when(F.col("off").isNotNull(), "different")
+    far = F.concat(F.lit("Your guess is "), half_up(F.abs("off")).cast("string"), F.when(F.col("off") > 0, "% above").otherwise("% below"), F.lit(" the crowd estimate"))
+    said = F.when(F.abs("off") <= 5, F.concat(F.lit("You agree with "), F.col("percent").cast("string"), F.lit("% of top predictors"))).when(F.abs("off") <= 15, "Your guess is close to the crowd consensus").otherwise(far)
+    return rows.select("id", "property_id", "others", "aligned", "percent", category.alias("category"), said.alias("message"))
 
 
 VALUES_SQL = f"""WITH l AS ({LATEST_SQL}),
@@ -119,5 +127,8 @@ QUERIES = {f.__name__: f for f in (fair_values, user_karma, consensus)}
 ORACLE = {
     "fair_values": with_domain(VALUES_SQL, "properties", "users", "listings", "price_guesses"),
     "user_karma": with_domain(_KARMA, "price_guesses", "price_history"),
-    "consensus": with_domain(_CONSENSUS, "price_guesses"),
+    "consensus": with_domain(
+        f"WITH c AS ({_CONSENSUS}), d AS (SELECT c.*, CAST(g.guessed_price - v.crowd_estimate AS DOUBLE) / nullif(v.crowd_estimate, 0) * 100 AS off FROM c JOIN price_guesses g USING (id) LEFT JOIN ({VALUES_SQL}) v ON v.property_id = c.property_id) "
+        "SELECT id, property_id, others, aligned, percent, CASE WHEN off IS NULL THEN NULL WHEN abs(off) <= 5 THEN 'aligned' WHEN abs(off) <= 15 THEN 'close' ELSE 'different' END AS category, CASE WHEN off IS NULL THEN NULL WHEN abs(off) <= 5 THEN 'You agree with ' || percent || '% of top predictors' "
+        "WHEN abs(off) <= 15 THEN 'Your guess is close to the crowd consensus' ELSE 'Your guess is ' || CAST(floor(abs(off) + 0.5) AS BIGINT) || '% ' || CASE WHEN off > 0 THEN 'above' ELSE 'below' END || ' the crowd estimate' END AS message FROM d", "properties", "users", "listings", "price_guesses"),
 }

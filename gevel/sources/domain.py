@@ -42,11 +42,11 @@ SELECT l_orderkey AS id, min(l_partkey) AS property_id, concat('https://www.fund
   CAST(max(l_shipdate) + INTERVAL '{SHIFT + 1}' DAY AS TIMESTAMP) AS mirror_last_changed_at
 FROM {{lineitem}} GROUP BY l_orderkey""",
     "price_guesses": f"""
-SELECT min(l_orderkey) * 100000 + l_partkey AS id, l_partkey AS property_id, o_custkey AS user_id, CAST(floor(min(l_extendedprice)) AS BIGINT) AS guessed_price,
+SELECT min(l_orderkey) * 100000 + p_partkey AS id, p_partkey AS property_id, o_custkey AS user_id, CAST(floor(min(l_extendedprice)) AS BIGINT) AS guessed_price,
   CAST(min(o_orderdate) + INTERVAL '{SHIFT}' DAY AS TIMESTAMP) AS created_at,
   CASE WHEN min(l_extendedprice) < 0.2 * 25 * min(p_retailprice) OR min(l_extendedprice) > 5.0 * 25 * min(p_retailprice) THEN true ELSE false END AS is_meme_guess
-FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey JOIN {{part}} ON p_partkey = l_partkey
-WHERE o_orderkey % (1 + l_partkey % 40) = 0 GROUP BY l_partkey, o_custkey""",
+FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey JOIN {{part}} ON p_partkey = l_partkey - l_partkey % 40 + o_orderkey % (1 + l_partkey % 40)
+GROUP BY p_partkey, o_custkey""",
     "price_history": f"""
 SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_partkey AS property_id, CAST(floor(l_extendedprice) AS BIGINT) AS price,
   CAST(l_shipdate + INTERVAL '{SHIFT}' DAY AS DATE) AS price_date, CASE WHEN l_linestatus = 'F' AND l_orderkey % 9 = 0 THEN 'sold' ELSE 'asking_price' END AS event_type
@@ -68,7 +68,7 @@ FROM {events} WHERE event_type = 'click' GROUP BY 2, 3, 4""",
 SELECT min(event_id) AS id, event_id % 100 AS property_id, user_id, CAST(min(ts) AS TIMESTAMP) AS created_at
 FROM {events} WHERE event_type = 'purchase' GROUP BY 2, 3""",
     "register_rows": """
-SELECT concat('R', lpad(CAST(p_partkey * 2 AS STRING), 9, '0')) AS identification, concat('POINT (', CAST(3.5 AS STRING), ' 52.1)') AS geom,
+SELECT concat('R', lpad(CAST(p_partkey * 2 AS STRING), 9, '0')) AS identification, concat('POINT (', CAST(3 + p_partkey % 4 AS STRING), '.', lpad(CAST(p_partkey * 37 % 1000 AS STRING), 3, '0'), ' 5', CAST(1 + p_partkey % 3 AS STRING), '.', lpad(CAST(p_partkey * 91 % 1000 AS STRING), 3, '0'), ')') AS geom,
   CAST(40 + p_partkey % 90 AS STRING) AS area, CAST(1950 + p_partkey % 70 AS STRING) AS built,
   CASE p_partkey % 4 WHEN 0 THEN 'Verblijfsobject in gebruik' WHEN 1 THEN 'Verblijfsobject ingetrokken' WHEN 2 THEN 'Verblijfsobject buiten gebruik' ELSE 'Pand gesloopt' END AS status,
   p_name AS street, CAST(p_size AS STRING) AS house_number, CASE p_partkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'bis' ELSE '' END AS letter, CASE p_partkey % 5 WHEN 2 THEN '1' ELSE '' END AS suffix,
@@ -76,7 +76,7 @@ SELECT concat('R', lpad(CAST(p_partkey * 2 AS STRING), 9, '0')) AS identificatio
   lower(p_type) AS city
 FROM {part}
 UNION ALL
-SELECT concat('R', lpad(CAST(p_partkey * 2 + 1 AS STRING), 9, '0')), 'POINT (4.5 52.2)', '77', '1999', 'Verblijfsobject in gebruik', p_name, CAST(p_size AS STRING), 'A', '',
+SELECT concat('R', lpad(CAST(p_partkey * 2 + 1 AS STRING), 9, '0')), CASE WHEN p_partkey % 41 = 0 THEN '' ELSE concat('POINT(4.', CAST(100 + p_partkey % 900 AS STRING), ' 52.2)') END, '77', '1999', 'Verblijfsobject in gebruik', p_name, CAST(p_size AS STRING), 'A', '',
   concat(CAST(1000 + p_partkey * 7 % 9000 AS STRING), chr(CAST(65 + p_partkey % 26 AS INT)), chr(CAST(65 + p_partkey * 7 % 26 AS INT))), 'X'
 FROM {part}""",
     "incoming": """
@@ -111,6 +111,18 @@ SELECT min(l_partkey) AS property_id, concat('https://www.funda.nl/koop/', CAST(
   CASE WHEN l_orderkey % 12 = 0 THEN 'rent' ELSE 'sale' END AS price_type, CAST(NULL AS INT) AS area, CAST(NULL AS INT) AS rooms, CAST(NULL AS STRING) AS energy_label, CAST(NULL AS STRING) AS thumbnail_url, CAST('as it was' AS STRING) AS og_title, 'active' AS status,
   CAST(min(l_shipdate) + INTERVAL '{SHIFT}' DAY AS TIMESTAMP) AS first_seen_at, CAST(min(l_shipdate) + INTERVAL '{SHIFT}' DAY AS TIMESTAMP) AS last_changed_at, CAST(min(l_shipdate) + INTERVAL '{SHIFT}' DAY AS TIMESTAMP) AS last_seen_at
 FROM {{lineitem}} GROUP BY l_orderkey""",
+    "accounts": """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('g', CAST(c_custkey AS STRING)) END AS google_id, concat('u', CAST(c_custkey AS STRING), '@example.com') AS email, c_name AS username
+FROM {customer}""",
+    "logins": """
+SELECT event_id AS id, CASE event_id % 4 WHEN 3 THEN concat('new', CAST(event_id AS STRING)) ELSE concat('g', CAST(user_id % 200 AS STRING)) END AS google_id,
+  concat('u', CAST(CASE event_id % 5 WHEN 0 THEN user_id % 200 WHEN 1 THEN (user_id + 1) % 200 WHEN 2 THEN user_id * 7 % 400 ELSE user_id % 200 END AS STRING), CASE event_id % 5 WHEN 4 THEN '@example.org' ELSE '@example.com' END) AS email
+FROM {events}""",
+    "address_searches": """
+SELECT event_id AS id, CASE event_id % 8
+    WHEN 0 THEN concat('postcode:', postal_code, ', huisnummer:', CAST(house_number AS STRING)) WHEN 1 THEN upper(concat(street, ' ', CAST(house_number AS STRING))) WHEN 2 THEN concat('Find ', street, ' ', CAST(house_number AS STRING), ' ', postal_code, ' ', city, ', please')
+    WHEN 3 THEN substr(concat(street, CAST(house_number AS STRING), postal_code), 3, 9) WHEN 4 THEN concat(postal_code, ' ', city) WHEN 5 THEN substr(city, 1, 2) WHEN 6 THEN concat('nowhere ', CAST(event_id % 50 AS STRING)) ELSE concat('postcode:', postal_code, ', huisnummer:9999') END AS search
+FROM {events} JOIN (SELECT p_partkey AS key, p_name AS street, CAST(p_size AS INT) AS house_number, p_type AS city, concat(CAST(1000 + p_partkey * 7 % 9000 AS STRING), chr(CAST(65 + p_partkey % 26 AS INT)), chr(CAST(65 + p_partkey * 7 % 26 AS INT))) AS postal_code FROM {part}) AS places ON key = event_id % 190""",
     "mirror_rows": """
 SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN 'rent' WHEN p_partkey % 6 = 1 THEN NULL ELSE 'sale' END AS price_type,
   CASE WHEN p_partkey % 13 = 2 THEN 'n/a' WHEN p_partkey % 13 = 3 THEN NULL ELSE CAST(CAST(floor(p_retailprice * 25000) AS BIGINT) + p_partkey % 100 AS STRING) END AS asking_price_cents,
