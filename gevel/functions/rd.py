@@ -6,6 +6,7 @@ The shift between the two ellipsoids has the signs that the map's aerial images
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,58 +30,81 @@ _FIT = math.tan(_CENTRE / 2 + math.pi / 4) / (math.tan(math.radians(LAT_0) / 2 +
 #: Turns after which latitudes no longer change.
 TURNS = 6
 
-_half = lambda x: F.tan(x / 2 + math.pi / 4)
-_ratio = lambda s, power: F.pow((1 - _E * s) / (1 + _E * s), F.lit(power))
 
 
-def _in_space(df: DataFrame, lon: Column, lat: Column, figure: tuple[float, float]) -> DataFrame:
-    """Columns _x, _y, _z of places on an ellipsoid (radians)."""
+def _half(x: Column) -> Column:
+    return F.tan(x / 2 + math.pi / 4)
+
+
+def _ratio(s: Column, power: float) -> Column:
+    return F.pow((1 - _E * s) / (1 + _E * s), F.lit(power))
+
+
+def _then(value: Column, step: Callable[[Column], Column]) -> Column:
+    """step of a value, which is computed once however often step names it, also where a filter is pushed below it."""
+    return F.transform(F.array(value), step)[0]
+
+
+def _named(**parts: Column) -> Column:
+    return F.struct(*(c.alias(n) for n, c in parts.items()))
+
+
+def _in_space(p: Column, figure: tuple[float, float]) -> Column:
+    """x, y, z of a place (lon, lat in radians) on an ellipsoid."""
     a, f = figure
     e2 = f * (2 - f)
-    df = df.withColumn("_s", F.sin(lat)).withColumn("_n", a / F.sqrt(1 - e2 * F.col("_s") * F.col("_s")))
-    return df.withColumn("_x", F.col("_n") * F.cos(lat) * F.cos(lon)).withColumn("_y", F.col("_n") * F.cos(lat) * F.sin(lon)).withColumn("_z", F.col("_n") * (1 - e2) * F.col("_s"))
+    with_n = _then(p, lambda p: _named(lon=p["lon"], lat=p["lat"], n=a / F.sqrt(1 - e2 * F.sin(p["lat"]) * F.sin(p["lat"]))))
+    return _then(with_n, lambda p: _named(x=p["n"] * F.cos(p["lat"]) * F.cos(p["lon"]), y=p["n"] * F.cos(p["lat"]) * F.sin(p["lon"]), z=p["n"] * (1 - e2) * F.sin(p["lat"])))
 
 
-def _on_figure(df: DataFrame, figure: tuple[float, float]) -> DataFrame:
-    """Columns _lon and _lat (radians) of _x, _y, _z."""
+def _on_figure(q: Column, figure: tuple[float, float]) -> Column:
+    """lon and lat (radians) of x, y, z."""
     a, f = figure
     e2 = f * (2 - f)
-    df = df.withColumn("_p", F.hypot("_x", "_y")).withColumn("_lon", F.atan2("_y", "_x")).withColumn("_lat", F.atan2(F.col("_z"), F.col("_p") * (1 - e2)))
+    v = _then(q, lambda q: _named(lon=F.atan2(q["y"], q["x"]), p=F.hypot(q["x"], q["y"]), z=q["z"], lat=F.atan2(q["z"], F.hypot(q["x"], q["y"]) * (1 - e2))))
     for _ in range(TURNS):
-        df = df.withColumn("_s", F.sin("_lat")).withColumn("_lat", F.atan2(F.col("_z") + e2 * a / F.sqrt(1 - e2 * F.col("_s") * F.col("_s")) * F.col("_s"), F.col("_p")))
-    return df
+        v = _then(v, lambda v: _named(lon=v["lon"], p=v["p"], z=v["z"], s=F.sin(v["lat"])))
+        v = _then(v, lambda v: _named(lon=v["lon"], p=v["p"], z=v["z"], lat=F.atan2(v["z"] + e2 * a / F.sqrt(1 - e2 * v["s"] * v["s"]) * v["s"], v["p"])))
+    return v
 
 
-def with_rd(df: DataFrame, lon: str = "lon", lat: str = "lat", x: str = "rd_x", y: str = "rd_y") -> DataFrame:
-    """df with the grid's metres of places in degrees; null where a place is null."""
-    rows = _in_space(df, F.radians(lon), F.radians(lat), WGS84)
+def to_rd(lon: Column, lat: Column) -> Column:
+    """A structure of the grid's x and y in metres, of a place in degrees; both null where the place is null."""
     (dx, dy, dz), (rx, ry, rz) = SHIFT, _TURN
-    for c, d in (("_x", dx), ("_y", dy), ("_z", dz)):
-        rows = rows.withColumn(c, (F.col(c) - d) / _GROWTH)
-    back = {"_x": F.col("_x") + rz * F.col("_y") - ry * F.col("_z"), "_y": -rz * F.col("_x") + F.col("_y") + rx * F.col("_z"), "_z": ry * F.col("_x") - rx * F.col("_y") + F.col("_z")}
-    rows = _on_figure(rows.withColumns(back), BESSEL)
-    rows = rows.withColumn("_b", 2 * F.atan(_FIT * F.pow(_half(F.col("_lat")), F.lit(_STRETCH)) * _ratio(F.sin("_lat"), _STRETCH * _E / 2)) - math.pi / 2).withColumn("_l", _STRETCH * (F.col("_lon") - math.radians(LON_0)))
+    v = _in_space(_named(lon=F.radians(lon), lat=F.radians(lat)), WGS84)
+    v = _then(v, lambda q: _named(x=(q["x"] - dx) / _GROWTH, y=(q["y"] - dy) / _GROWTH, z=(q["z"] - dz) / _GROWTH))
+    v = _then(v, lambda q: _named(x=q["x"] + rz * q["y"] - ry * q["z"], y=-rz * q["x"] + q["y"] + rx * q["z"], z=ry * q["x"] - rx * q["y"] + q["z"]))
+    v = _on_figure(v, BESSEL)
+    v = _then(v, lambda p: _named(b=2 * F.atan(_FIT * F.pow(_half(p["lat"]), F.lit(_STRETCH)) * _ratio(F.sin(p["lat"]), _STRETCH * _E / 2)) - math.pi / 2, l=_STRETCH * (p["lon"] - math.radians(LON_0))))
     s0, c0 = math.sin(_CENTRE), math.cos(_CENTRE)
-    rows = rows.withColumn("_k", _A * SCALE * 2 * _RADIUS / (1 + s0 * F.sin("_b") + c0 * F.cos("_b") * F.cos("_l")))
-    rows = rows.withColumns({x: F.col("_k") * F.cos("_b") * F.sin("_l") + X_0, y: F.col("_k") * (c0 * F.sin("_b") - s0 * F.cos("_b") * F.cos("_l")) + Y_0})
-    return rows.select(*df.columns, x, y)
+    v = _then(v, lambda p: _named(b=p["b"], l=p["l"], k=_A * SCALE * 2 * _RADIUS / (1 + s0 * F.sin(p["b"]) + c0 * F.cos(p["b"]) * F.cos(p["l"]))))
+    return _then(v, lambda p: _named(x=p["k"] * F.cos(p["b"]) * F.sin(p["l"]) + X_0, y=p["k"] * (c0 * F.sin(p["b"]) - s0 * F.cos(p["b"]) * F.cos(p["l"])) + Y_0))
 
 
-def from_rd(df: DataFrame, x: str = "rd_x", y: str = "rd_y", lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """df with degrees of places in the grid's metres; null where a place is null."""
+def to_degrees(x: Column, y: Column) -> Column:
+    """A structure of lon and lat in degrees, of a place in the grid's metres; both null where the place is null."""
     s0, c0 = math.sin(_CENTRE), math.cos(_CENTRE)
-    rows = df.withColumn("_u", (F.col(x) - X_0) / (_A * SCALE)).withColumn("_v", (F.col(y) - Y_0) / (_A * SCALE)).withColumn("_r", F.hypot("_u", "_v"))
-    rows = rows.withColumn("_c", 2 * F.atan2(F.col("_r"), F.lit(2 * _RADIUS)))
-    # Over the distance, which is 0 at the centre: there the sine is 0 too.
-    rows = rows.withColumn("_q", F.when(F.col("_r") == 0, 0.0).otherwise(F.sin("_c") / F.col("_r")))
-    rows = rows.withColumn("_b", F.asin(F.cos("_c") * s0 + F.col("_v") * F.col("_q") * c0)).withColumn("_l", F.atan2(F.col("_u") * F.col("_q"), c0 * F.cos("_c") - F.col("_v") * s0 * F.col("_q")))
-    rows = rows.withColumn("_w", F.pow(_half(F.col("_b")) / _FIT, F.lit(1 / _STRETCH))).withColumn("_o", F.col("_l") / _STRETCH + math.radians(LON_0)).withColumn("_a", F.col("_b"))
+    v = _then(_named(u=(x - X_0) / (_A * SCALE), v=(y - Y_0) / (_A * SCALE)), lambda p: _named(u=p["u"], v=p["v"], r=F.hypot(p["u"], p["v"])))
+    v = _then(v, lambda p: _named(u=p["u"], v=p["v"], r=p["r"], c=2 * F.atan2(p["r"], F.lit(2 * _RADIUS))))
+    # The sine over the distance, which is 0 at the centre: there the sine is 0 too.
+    v = _then(v, lambda p: _named(u=p["u"], v=p["v"], c=F.cos(p["c"]), q=F.when(p["r"] == 0, 0.0).otherwise(F.sin(p["c"]) / p["r"])))
+    v = _then(v, lambda p: _named(b=F.asin(p["c"] * s0 + p["v"] * p["q"] * c0), l=F.atan2(p["u"] * p["q"], c0 * p["c"] - p["v"] * s0 * p["q"])))
+    v = _then(v, lambda p: _named(lon=p["l"] / _STRETCH + math.radians(LON_0), w=F.pow(_half(p["b"]) / _FIT, F.lit(1 / _STRETCH)), lat=p["b"]))
     for _ in range(TURNS):
-        rows = rows.withColumn("_a", 2 * F.atan(F.col("_w") * _ratio(F.sin("_a"), -_E / 2)) - math.pi / 2)
-    rows = _in_space(rows, F.col("_o"), F.col("_a"), BESSEL)
+        v = _then(v, lambda p: _named(lon=p["lon"], w=p["w"], lat=2 * F.atan(p["w"] * _ratio(F.sin(p["lat"]), -_E / 2)) - math.pi / 2))
+    v = _in_space(v, BESSEL)
     (dx, dy, dz), (rx, ry, rz) = SHIFT, _TURN
-    there = {
-        "_x": _GROWTH * (F.col("_x") - rz * F.col("_y") + ry * F.col("_z")) + dx, "_y": _GROWTH * (rz * F.col("_x") + F.col("_y") - rx * F.col("_z")) + dy, "_z": _GROWTH * (-ry * F.col("_x") + rx * F.col("_y") + F.col("_z")) + dz,
-    }
-    rows = _on_figure(rows.withColumns(there), WGS84)
-    return rows.withColumns({lon: F.degrees("_lon"), lat: F.degrees("_lat")}).select(*[c for c in df.columns if c not in (lon, lat)], lon, lat)
+    v = _then(v, lambda q: _named(x=_GROWTH * (q["x"] - rz * q["y"] + ry * q["z"]) + dx, y=_GROWTH * (rz * q["x"] + q["y"] - rx * q["z"]) + dy, z=_GROWTH * (-ry * q["x"] + rx * q["y"] + q["z"]) + dz))
+    return _then(_on_figure(v, WGS84), lambda p: _named(lon=F.degrees(p["lon"]), lat=F.degrees(p["lat"])))
+
+
+def with_rd(df: DataFrame, lon: str = "lon", lat: str = "lat", x: str = "rd_x", y: str = "rd_y") -> DataFrame:
+    """df with the grid's metres of places in degrees; null where a place is null."""
+    found = to_rd(F.col(lon), F.col(lat))
+    return df.select("*", found.alias("_rd")).select(*df.columns, F.col("_rd.x").alias(x), F.col("_rd.y").alias(y))
+
+
+def from_rd(df: DataFrame, x: str = "rd_x", y: str = "rd_y", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """df with degrees of places in the grid's metres; null where a place is null."""
+    found = to_degrees(F.col(x), F.col(y))
+    return df.select("*", found.alias("_at")).select(*df.columns, F.col("_at.lon").alias(lon), F.col("_at.lat").alias(lat))

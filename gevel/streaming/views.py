@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from gevel.operators.dedup import HOUR
-from gevel.operators.merge import upserted
 from gevel.operators.rollups import first_of
+from gevel.sources.dealt import upsert_dealt
 
 
 #: The state store that timers and expiry need, and how often views that the watermark has passed are judged, in milliseconds.
@@ -85,13 +85,10 @@ def weekly_counts(events: DataFrame, key: str, ts: str, slide: str = "1 day", la
     return events.withWatermark(ts, lateness).groupBy(F.window(ts, "7 days", slide).alias("week"), key).agg(F.count("*").alias("n")).select(key, F.col("week.end").alias("until"), "n")
 
 
-def upsert_stream(batches: DataFrame, path: str, keys: list[str], overwrite: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a Parquet table of the latest row for each key, one version for each batch below path; a batch that is tried again writes the same version. The rows of a batch are taken by `order`, the last of a key counts."""
+def upsert_stream(batches: DataFrame, path: str, keys: list[str], overwrite: list[str], order: str, parts: int, checkpoint: str) -> StreamingQuery:
+    """Keeps a dealt table (see gevel.sources.dealt) of the latest row for each key: each batch rewrites only the parts that its keys are in. A batch that is tried again changes nothing more. The rows of a batch are taken by `order`, the last of a key counts. The table must be there."""
 
-    def write(df: DataFrame, version: int) -> None:
-        rows = first_of(df, keys, F.desc(order))
-        if version:
-            rows = upserted(df.sparkSession.read.parquet(f"{path}/{version - 1}"), rows, keys, overwrite).drop("outcome")
-        rows.write.mode("overwrite").parquet(f"{path}/{version}")
+    def write(df: DataFrame, number: int) -> None:
+        upsert_dealt(first_of(df, keys, F.desc(order)), path, keys, overwrite, parts, f"{number}")
 
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from gevel.operators.dedup import hourly
+from gevel.sources.dealt import create_dealt, read_dealt, upsert_dealt
 from gevel.streaming.views import hourly_stream, upsert_stream, weekly_counts
 
 BEGIN = 1_700_000_000
 VIEWS = "id long, property_id long, user_id long, session_id string, viewed_at timestamp"
-SF = "/root/testdata/sf0.001"
 
 
 def views(spark, rows):
@@ -73,12 +74,36 @@ def test_hourly_stream_and_its_start_from_a_table(spark, tmp_path):
     assert streamed(spark, tmp_path / "restart", [table(late), table(end)], held=before) == sorted(set(whole) - {r.id for r in before.collect()})
 
 
+def files(path):
+    return {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet") if "_batches" not in str(p)}
+
+
 def test_upsert_stream(spark, tmp_path):
-    for k, rows in enumerate(([(1, "a", 1), (2, "b", 1)], [(2, "c", 3), (2, "B", 2), (3, "d", 1)])):
+    create_dealt(spark.createDataFrame([(9, "z", 0)], "k int, v string, at int"), f"{tmp_path}/out", ["k"], 8)
+    for rows in ([(1, "a", 1), (2, "b", 1)], [(2, "c", 3), (2, "B", 2), (3, "d", 1)]):
         spark.createDataFrame(rows, "k int, v string, at int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        upsert_stream(spark.readStream.schema("k int, v string, at int").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", ["k"], ["v", "at"], "at", f"{tmp_path}/check").awaitTermination(120)
-        last = spark.read.parquet(f"{tmp_path}/out/{k}")
-    assert sorted((r.k, r.v) for r in last.collect()) == [(1, "a"), (2, "c"), (3, "d")]
+        upsert_stream(spark.readStream.schema("k int, v string, at int").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", ["k"], ["v", "at"], "at", 8, f"{tmp_path}/check").awaitTermination(120)
+    assert sorted((r.k, r.v) for r in read_dealt(spark, f"{tmp_path}/out").collect()) == [(1, "a"), (2, "c"), (3, "d"), (9, "z")]
+
+
+def test_upserts_touch_only_their_parts(spark, tmp_path):
+    path, parts = f"{tmp_path}/t", 50
+    create_dealt(spark.range(20_000).selectExpr("id AS k", "id * 2 AS v", "'geo' AS place"), path, ["k"], parts)
+    before = files(path)
+    rows = spark.createDataFrame([(7, -1), (8, -2), (90_000, -3)], "k long, v long")
+    upsert_dealt(rows, path, ["k"], ["v"], parts, "one")
+    after = files(path)
+    assert len(set(before) - set(after)) <= 3 and len(set(before) & set(after)) >= parts - 3
+    assert sum(p.stat().st_size for p in set(after) - set(before)) < 0.2 * sum(p.stat().st_size for p in after)
+    got = {r.k: (r.v, r.place) for r in read_dealt(spark, path).collect()}
+    assert len(got) == 20_001 and got[7] == (-1, "geo") and got[8] == (-2, "geo") and got[90_000] == (-3, None) and got[9] == (18, "geo")
+    # A batch that is marked changes nothing, though other batches have come since.
+    upsert_dealt(spark.createDataFrame([(7, -10)], "k long, v long"), path, ["k"], ["v"], parts, "two")
+    held = files(path)
+    upsert_dealt(rows, path, ["k"], ["v"], parts, "one")
+    assert files(path) == held and read_dealt(spark, path).where("k = 7").first().v == -10
+    upsert_dealt(rows.where("k < 0"), path, ["k"], ["v"], parts, "none")
+    assert files(path) == held
 
 
 def test_weekly_counts(spark, tmp_path):
