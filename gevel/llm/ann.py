@@ -122,19 +122,38 @@ class Graph:
             out.append(np.array(chosen))
         return out
 
+    def around(self, query: np.ndarray, known: np.ndarray, far: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """From what a walk knows, the centroids within ratio times the nearest's distance, and those beside them, nearest first: the graph is followed from each of them until none that is so near is new."""
+        seen = np.zeros(len(self.centroids), bool)
+        seen[known] = True
+        places, distances, front = [known], [far], known
+        best = far.min()
+        while len(front):
+            new = np.unique(self.links[front])
+            new = new[~seen[new]]
+            seen[new] = True
+            d = np.sqrt(((self.centroids[new] - query) ** 2).sum(1))
+            best = min(best, d.min(initial=np.inf))
+            places.append(new)
+            distances.append(d)
+            front = new[d <= ratio * best]
+        p, d = np.concatenate(places), np.concatenate(distances)
+        order = np.lexsort((p, d))
+        return p[order], d[order]
+
     def probes(self, queries: np.ndarray, sizes: np.ndarray, later: bool = False) -> list[np.ndarray]:
-        """The lists that each query reads first, or those that it reads later: together all within PROBE_RATIO, by the distances to all centroids."""
+        """The lists that each query reads first, or those that it reads later: together all within PROBE_RATIO that the graph leads to, and as many as hold ENOUGH vectors."""
         out = []
-        norms = (self.centroids**2).sum(1)
-        for at in range(0, len(queries), 256):
-            some = queries[at : at + 256]
-            every = np.sqrt(np.maximum((some**2).sum(1)[:, None] - 2 * some @ self.centroids.T + norms, 0))
-            for d in every:
-                p = np.argsort(d, kind="stable")
-                d = d[p]
-                before = np.concatenate([[0], np.cumsum(sizes[p])[:-1]])
-                near, first = d <= PROBE_RATIO * d[0], np.arange(len(p)) < PROBES
-                out.append(p[near & ~first & (before >= ENOUGH)] if later else p[near & first | (before < ENOUGH)])
+        walked = self.walk(queries)
+        for query, known, far in zip(queries, *walked, strict=True):
+            p, d = self.around(query, known[known >= 0], far[known >= 0], PROBE_RATIO)
+            if sizes[p].sum() < ENOUGH:
+                every = np.sqrt(((self.centroids - query) ** 2).sum(1))
+                p = np.argsort(every, kind="stable")
+                d = every[p]
+            before = np.concatenate([[0], np.cumsum(sizes[p])[:-1]])
+            near, first = d <= PROBE_RATIO * d[0], np.arange(len(p)) < PROBES
+            out.append(p[near & ~first & (before >= ENOUGH)] if later else p[near & first | (before < ENOUGH)])
         return out
 
 

@@ -17,8 +17,8 @@ from gevel.llm.stages import written
 from gevel.llm.tokenizer_files import byte_level
 from gevel.llm.words import parts
 
-#: Buckets of a queue, so that a source with most of the rows is no single group.
-BUCKETS = 256
+#: Buckets of a queue, so that a source with most of the rows is no single group: as many as so many rows of all sources need, and these at least.
+BUCKET_ROWS, BUCKETS = 1 << 16, 256
 #: Groups of windows whose totals are added up at the end, at most.
 BLOCKS = 4096
 
@@ -46,8 +46,10 @@ def tokenized(df: DataFrame, id_col: str, text_col: str, source_col: str, ranks:
 
 def placed(sizes: DataFrame, window: int, shares: Mapping[str, float] | None) -> DataFrame:
     """(row, start, size, window_id, at): where in the packed stream which tokens of each row of sizes (row, queue, n) begin; a row has as many parts as windows that it reaches into."""
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    keyed = sizes.withColumn("bucket", F.expr(f"pmod(xxhash64(row), {BUCKETS})"))
+    if shares and min(shares.values()) <= 0:
+        raise ValueError("shares must be above 0: each token has a place")
+    total, rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    keyed = sizes.withColumn("bucket", F.expr(f"pmod(xxhash64(row), {max(BUCKETS, -(-rows // BUCKET_ROWS))})"))
     inside = F.sum("n").over(Window.partitionBy("queue", "bucket").orderBy("row"))
     queued = keyed.withColumn("upto", inside)
     buckets = keyed.groupBy("queue", "bucket").agg(F.sum("n").alias("tokens"))
@@ -59,8 +61,12 @@ def placed(sizes: DataFrame, window: int, shares: Mapping[str, float] | None) ->
     else:
         quantum = F.col("all") / F.lit(max(total, 1)) * window
     spans = queued.join(buckets, ["queue", "bucket"]).select("row", "queue", quantum.alias("quantum"), (F.col("ahead") + F.col("upto")).alias("upto"), "n")
-    spans = spans.withColumn("window_id", F.explode(F.expr("sequence(greatest(0L, cast(floor((upto - n) / quantum) as long) - 1), cast(floor(upto / quantum) as long) + 1)")))
-    spans = spans.withColumn("first", F.expr("greatest(upto - n, cast(floor(window_id * quantum) as long))")).withColumn("size", F.expr("least(upto, cast(floor((window_id + 1) * quantum) as long)) - first"))
+    # A queue with less than a token for each window is served token by token, so a row has at most as many parts as tokens or windows.
+    windows = "sequence(greatest(0L, cast(floor((upto - n) / quantum) as long) - 1), cast(floor(upto / quantum) as long) + 1)"
+    many = F.expr(f"transform({windows}, w -> struct(w as window_id, greatest(upto - n, cast(floor(w * quantum) as long)) as first, least(upto, cast(floor((w + 1) * quantum) as long)) as end))")
+    few = F.expr("transform(sequence(upto - n, upto - 1), t -> struct(cast(ceil((t + 1) / quantum) as long) - 1 as window_id, t as first, t + 1 as end))")
+    spans = spans.withColumn("part", F.explode(F.when(F.col("quantum") >= 1, many).otherwise(few)))
+    spans = spans.select("row", "queue", "quantum", "upto", "n", "part.window_id", "part.first", (F.col("part.end") - F.col("part.first")).alias("size"))
     # Queues take turns within a window: what stands as far into its queue's part of it is side by side.
     served = spans.where("size > 0").select("row", "queue", "window_id", F.expr("first - (upto - n)").alias("start"), "size", F.expr("(first + size) / quantum").alias("turn"))
     within = F.sum("size").over(Window.partitionBy("window_id").orderBy("turn", "queue", "row", "start")) - F.col("size")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -214,7 +215,9 @@ def spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     every = {}
     for kind, find in FINDERS.items():
         found = [s for x in find(new.text) if (s := new.source(x))]
-        found = [s for s in found if not any(s[0] < b and a < s[1] for a, b in base[kind])]
+        # Base spans are in order and apart: of those that begin before a span ends, only the last can reach into it.
+        begins = [a for a, _ in base[kind]]
+        found = [s for s in found if not (k := bisect_left(begins, s[1])) or base[kind][k - 1][1] <= s[0]]
         every[kind] = sorted({*base[kind], *found})
     return base, every
 
