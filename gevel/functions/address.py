@@ -109,7 +109,14 @@ def title_match(title: Column, street: Column, number: Column) -> Column:
 
 
 def meta_content(html: Column, name: str) -> Column:
-    """The content of a page's meta property, attributes in either order; null if there is none."""
-    first = F.regexp_extract(html, rf"(?is)<meta[^>]+(?:property|name)=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
-    second = F.regexp_extract(html, rf"(?is)<meta[^>]+content=[\"']([^\"']*)[\"'][^>]*(?:property|name)=[\"']{name}[\"']", 1)
-    return F.nullif(F.coalesce(F.nullif(first, F.lit("")), second), F.lit(""))
+    """The content of a page's meta property, attributes in either order, empty if that is empty; null if there is none."""
+    named, content = rf"(?:property|name)=[\"']{name}[\"']", r"content=[\"']([^\"']*)[\"']"
+    out = F.lit(None).cast("string")
+    for pattern in (rf"(?is)<meta[^>]*{content}[^>]*{named}", rf"(?is)<meta[^>]*{named}[^>]*{content}"):
+        out = F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1)).otherwise(out)
+    return out
+
+
+def title_warning(found: Column) -> Column:
+    """What is said about a title_match; nothing for a match."""
+    return F.when(found == "no title", "Could not extract title from URL").when(found == "partial", "This listing may be for a different address").when(found == "mismatch", "This listing appears to be for a different address")

@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table below spark.checkpoint.dir, read again: it is computed once, and outlives executors. Where that setting is unset a temporary folder serves, but only if driver and tasks are one process."""
-    spark = df.sparkSession
+def files_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir. Where that setting is unset a temporary folder serves, but only if driver and tasks are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gevel-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/gevel-{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/gevel-{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in a new path, read again: it is computed once, and outlives executors."""
+    spark = df.sparkSession
+    path = files_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gevel.operators.kept import files_path
 from gevel.sources import files
 from gevel.sources.domain import Tables, with_domain
 from gevel.sources.geometry import wkt_point
@@ -34,6 +35,14 @@ def batch_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("batch", F.col("place").cast("int").alias("place"), "source_url", "source_name", "mirror_id", "asking_price", "price_type", "status", "postal_code", "house_number", "house_number_addition", "lon", "lat")
 
 
+def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings by way of files: bodies written as lines of text, read again."""
+    path = files_path(spark, "bodies")
+    bodies(Tables(spark, sf_dir)).select("body").write.text(path)
+    rows = files.listings_of(spark.read.text(path).withColumn("one", F.lit(1)), "one", "value")
+    return rows.select("source_url", "mirror_id", "asking_price", "status", "house_number", "house_number_addition", F.coalesce(F.size("price_history"), F.lit(0)).cast("int").alias("events"))
+
+
 def batch_price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files.listings_of(bodies(Tables(spark, sf_dir)), "batch", "body")
     return files.price_history_of(rows, "batch", "mirror_id")
@@ -53,11 +62,12 @@ def property_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GOOD = "SELECT *, CAST(floor(row_id / 10) AS BIGINT) AS batch FROM incoming WHERE source_name <> 'other'"
 
-QUERIES = {f.__name__: f for f in (batch_listings, batch_price_history, register_places, property_sample)}
+QUERIES = {f.__name__: f for f in (batch_listings, batch_files, batch_price_history, register_places, property_sample)}
 ORACLE = {
     "batch_listings": with_domain(
         f"SELECT batch, CAST(row_number() OVER (PARTITION BY batch ORDER BY row_id) - 1 AS INTEGER) AS place, source_url, source_name, mirror_id, asking_price, CASE WHEN row_id % 4 = 0 THEN 'rent' ELSE 'sale' END AS price_type, CASE WHEN row_id % 4 = 0 THEN 'rented' ELSE 'active' END AS status, "
         f"postal_code, house_number, CASE WHEN row_id % 3 = 0 THEN '\"A\"' || chr(10) END AS house_number_addition, lon, lat FROM ({_GOOD})", "incoming"),
+    "batch_files": with_domain(f"SELECT source_url, mirror_id, asking_price, CASE WHEN row_id % 4 = 0 THEN 'rented' ELSE 'active' END AS status, house_number, CASE WHEN row_id % 3 = 0 THEN '\"A\"' || chr(10) END AS house_number_addition, CASE WHEN row_id % 3 = 0 THEN 2 ELSE 0 END AS events FROM ({_GOOD})", "incoming"),
     "batch_price_history": with_domain(
         f"SELECT batch, mirror_id, asking_price AS price, '2024-02-01' AS price_date, 'asking' AS event_type FROM ({_GOOD}) WHERE row_id % 3 = 0 UNION ALL SELECT batch, mirror_id, asking_price + 500, '2024-01-01', 'listed' FROM ({_GOOD}) WHERE row_id % 3 = 0", "incoming"),
     "property_sample": with_domain(f"SELECT id, street, house_number, coalesce(house_number_addition, '') AS house_number_addition, coalesce(postal_code, 'N/A') AS postal_code, city FROM properties ORDER BY md5('{SEED}-' || id) LIMIT 5", "properties"),

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from gevel.functions import address, texts
 from gevel.functions.scoring import iso
+from gevel.operators.kept import files_path
 from gevel.operators.merge import upserted
 from gevel.operators.rollups import first_of
 from gevel.operators.spatial import nearest_within
+from gevel.sources import files
 from gevel.sources.domain import Tables, with_domain
 from gevel.sources.geometry import wkt_point
 
@@ -19,9 +21,9 @@ from gevel.sources.geometry import wkt_point
 TOLERANCE = 0.001
 
 
-def register(t: Tables) -> DataFrame:
+def register(t: Tables, staged: DataFrame | None = None) -> DataFrame:
     """Staged register rows made clean: one for each address, that of the lowest identification."""
-    s = t.register_rows
+    s = t.register_rows if staged is None else staged
     extra = F.coalesce(F.nullif(F.upper(F.concat_ws("-", F.nullif("letter", F.lit("")), F.nullif("suffix", F.lit("")))), F.lit("")), F.lit(""))
     rows = s.where("postal_code is not null and postal_code <> '' and house_number <> ''").select(
         F.col("identification").alias("register_id"), "street", F.col("house_number").try_cast("int").alias("house_number"), extra.alias("house_number_addition"),
@@ -44,6 +46,14 @@ def register_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserted(table.select(*columns), register(t), keys, ["register_id", "street", "lon", "lat", "built", "area", "status"])
 
 
+def register_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register by way of its files: written as extracts, read as text, made clean."""
+    t = Tables(spark, sf_dir)
+    path = files_path(spark, "register")
+    files.write_staged(t.register_rows, path)
+    return register(t, files.staged(spark, path))
+
+
 def top_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     return t.properties.groupBy("city").agg(F.count("*").cast("int").alias("properties"), F.count_if(F.col("lon").isNotNull()).cast("int").alias("placed")).orderBy(F.desc("properties"), "city").limit(10)
@@ -96,6 +106,16 @@ def page_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.raw("pages").select("page_id", address.source_url(F.col("url")).alias("source_url"), address.host(F.col("url")).alias("host"), texts.site_by_domain(F.col("url")).alias("site"), address.allowed_url(F.col("url")).alias("allowed"), title.alias("title"), address.meta_content(F.col("html"), "og:title").alias("og_title"), address.title_match(title, F.lit("the"), F.lit(439)).alias("match"))
 
 
+def og_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a submitted page shows of itself (title, image, description; nothing if its URL may not be fetched), whether its title is of the property that it is submitted for, and what is said if not."""
+    t = Tables(spark, sf_dir)
+    p = t.properties.select(F.col("id").alias("property_id"), "street", "house_number")
+    rows = t.preview_pages.join(p, "property_id").withColumn("allowed", address.allowed_url(F.col("url")))
+    shown = {c: F.when(F.col("allowed"), address.meta_content(F.col("html"), f"og:{c.removeprefix('og_')}")) for c in ("og_title", "og_image", "og_description")}
+    rows = rows.withColumns(shown).withColumn("found", address.title_match(F.col("og_title"), F.col("street"), F.col("house_number")))
+    return rows.select("page_id", "property_id", address.source_url(F.col("url")).alias("source_url"), *shown, (F.col("found") == "match").alias("match"), address.title_warning(F.col("found")).alias("warning"))
+
+
 _CLEAN = r"""SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY postal_code, house_number, house_number_addition ORDER BY register_id) AS k FROM (
 SELECT identification AS register_id, street, TRY_CAST(house_number AS INTEGER) AS house_number, coalesce(upper(nullif(concat_ws('-', nullif(letter, ''), nullif(suffix, '')), '')), '') AS house_number_addition, upper(replace(postal_code, ' ', '')) AS postal_code, city,
 TRY_CAST(area AS INTEGER) AS area, TRY_CAST(built AS INTEGER) AS built, CASE WHEN status ILIKE '%ingetrokken%' THEN 'demolished' WHEN status ILIKE '%buiten gebruik%' THEN 'inactive' ELSE 'active' END AS status,
@@ -114,9 +134,24 @@ _HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1))"
 _TITLE = r"nullif(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1), '')"
 _KEYED = "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY postal_code, house_number, house_number_addition ORDER BY id) AS k FROM (SELECT * REPLACE (coalesce(house_number_addition, '') AS house_number_addition) FROM properties WHERE postal_code IS NOT NULL)) WHERE k = 1"
 
-QUERIES = {f.__name__: f for f in (register_rows, register_upsert, top_cities, ingest_matches, ingest_outcomes, ingest_watermark, page_previews)}
+QUERIES = {f.__name__: f for f in (register_rows, register_csv, register_upsert, og_previews, top_cities, ingest_matches, ingest_outcomes, ingest_watermark, page_previews)}
+_FETCHED = r"regexp_matches(lower(url), '^https://([a-z0-9-]+\.)*(funda\.nl|pararius\.(nl|com))/')"
+
+
+def _meta(name: str) -> str:
+    named, content = f"(?:property|name)=[\"'']og:{name}[\"'']", "content=[\"'']([^\"'']*)[\"'']"
+    first, second = (f"(?is)<meta[^>]*{a}[^>]*{b}" for a, b in ((named, content), (content, named)))
+    return f"CASE WHEN NOT {_FETCHED} THEN NULL WHEN regexp_matches(html, '{first}') THEN regexp_extract(html, '{first}', 1) WHEN regexp_matches(html, '{second}') THEN regexp_extract(html, '{second}', 1) END AS og_{name}"
+
+
 ORACLE = {
     "register_rows": with_domain(_CLEAN, "register_rows"),
+    "register_csv": with_domain(_CLEAN, "register_rows"),
+    "og_previews": with_domain(
+        f"WITH o AS (SELECT v.*, p.street, p.house_number, {_meta('title')}, {_meta('image')}, {_meta('description')} FROM preview_pages v JOIN properties p ON p.id = v.property_id), "
+        "m AS (SELECT *, contains(lower(og_title), lower(street)) AS has_street, regexp_matches(og_title, '(^|[^0-9])' || house_number || '([^0-9]|$)') AS has_number FROM o) "
+        "SELECT page_id, property_id, rtrim(lower(split_part(url, '/koop', 1)) || '/koop' || split_part(split_part(url, '/koop', 2), '?', 1), '/') AS source_url, og_title, og_image, og_description, coalesce(has_street AND has_number, false) AS match, "
+        "CASE WHEN coalesce(trim(og_title), '') = '' THEN 'Could not extract title from URL' WHEN has_street AND has_number THEN NULL WHEN has_street OR has_number THEN 'This listing may be for a different address' ELSE 'This listing appears to be for a different address' END AS warning FROM m", "preview_pages", "properties"),
     "register_upsert": with_domain(
         f"WITH r AS ({_CLEAN}), p AS ({_KEYED}) SELECT coalesce(r.postal_code, p.postal_code) AS postal_code, coalesce(r.house_number, p.house_number) AS house_number, coalesce(r.house_number_addition, p.house_number_addition) AS house_number_addition, "
         "coalesce(r.register_id, p.register_id) AS register_id, coalesce(r.street, p.street) AS street, CASE WHEN r.register_id IS NULL THEN p.lon ELSE r.lon END AS lon, CASE WHEN r.register_id IS NULL THEN p.lat ELSE r.lat END AS lat, coalesce(r.built, p.built) AS built, coalesce(r.area, p.area) AS area, coalesce(r.status, p.status) AS status, CASE WHEN p.id IS NULL THEN r.city ELSE p.city END AS city, p.woz_value, "

@@ -123,6 +123,14 @@ SELECT event_id AS id, CASE event_id % 8
     WHEN 0 THEN concat('postcode:', postal_code, ', huisnummer:', CAST(house_number AS STRING)) WHEN 1 THEN upper(concat(street, ' ', CAST(house_number AS STRING))) WHEN 2 THEN concat('Find ', street, ' ', CAST(house_number AS STRING), ' ', postal_code, ' ', city, ', please')
     WHEN 3 THEN substr(concat(street, CAST(house_number AS STRING), postal_code), 3, 9) WHEN 4 THEN concat(postal_code, ' ', city) WHEN 5 THEN substr(city, 1, 2) WHEN 6 THEN concat('nowhere ', CAST(event_id % 50 AS STRING)) ELSE concat('postcode:', postal_code, ', huisnummer:9999') END AS search
 FROM {events} JOIN (SELECT p_partkey AS key, p_name AS street, CAST(p_size AS INT) AS house_number, p_type AS city, concat(CAST(1000 + p_partkey * 7 % 9000 AS STRING), chr(CAST(65 + p_partkey % 26 AS INT)), chr(CAST(65 + p_partkey * 7 % 26 AS INT))) AS postal_code FROM {part}) AS places ON key = event_id % 190""",
+    "preview_pages": """
+SELECT page_id, property_id, concat(CASE WHEN page_id % 9 = 8 THEN 'http' ELSE 'https' END, '://www.', CASE page_id % 5 WHEN 0 THEN 'funda.nl' WHEN 1 THEN 'pararius.com' WHEN 2 THEN 'pararius.nl' WHEN 3 THEN 'Funda.nl' ELSE 'example.com' END, '/koop/', CAST(page_id AS STRING), '/?ref=1') AS url,
+  replace(html, '</title>', concat('</title>', CASE page_id % 7
+    WHEN 0 THEN concat('<meta property="og:title" content="Te koop: ', street, ' ', CAST(house_number AS STRING), '"/><meta property="og:image" content="https://img.example/', CAST(page_id AS STRING), '.jpg">')
+    WHEN 1 THEN concat('<META content=', chr(39), upper(street), ' huis', chr(39), ' data-x=1 name=', chr(39), 'og:title', chr(39), '><meta name="og:description" content="So, a house">')
+    WHEN 2 THEN concat('<meta name="og:title" content="Huis nummer ', CAST(house_number AS STRING), '">') WHEN 3 THEN '<meta property="og:title" content="Something else 99999">'
+    WHEN 4 THEN '<meta property="og:title" content=""><meta property="og:image" content="">' WHEN 5 THEN concat('<meta property="og:title" content="', street, ' 9', CAST(house_number AS STRING), '9">') ELSE '<meta name="description" content="none of these">' END)) AS html
+FROM {pages} JOIN (SELECT p_partkey AS property_id, p_name AS street, CAST(p_size AS INT) AS house_number FROM {part}) AS places ON property_id = page_id % 190""",
     "mirror_rows": """
 SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN 'rent' WHEN p_partkey % 6 = 1 THEN NULL ELSE 'sale' END AS price_type,
   CASE WHEN p_partkey % 13 = 2 THEN 'n/a' WHEN p_partkey % 13 = 3 THEN NULL ELSE CAST(CAST(floor(p_retailprice * 25000) AS BIGINT) + p_partkey % 100 AS STRING) END AS asking_price_cents,

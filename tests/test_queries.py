@@ -36,7 +36,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_but_tiles_and_samples_has_an_oracle():
-    assert set(plans.queries()) - set(plans.oracle_sql()) == {"tile_bytes", "property_sample"}
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"tile_bytes", "property_grid"}
 
 
 def varints(data: bytes):
