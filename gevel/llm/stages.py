@@ -42,11 +42,6 @@ def written(df: DataFrame, name: str, rows_at_once: int | None = None) -> DataFr
     return out
 
 
-def small_batches(spark: SparkSession, size: str = "16m") -> None:
-    """From now on the session's tasks hand rows to Python in batches of at most this size, which an executor holds outside its heap, twice for each task."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def dropped(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for df in tables:
