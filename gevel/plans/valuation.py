@@ -98,9 +98,16 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "property_id", "others", "aligned", "percent", category.alias("category"), said.alias("message"))
 
 
+def _share(s: float) -> str:
+    """What lies at a share of the sorted prices p, between two of them in proportion."""
+    at = f"(CAST('{s}' AS DOUBLE) * (n - 1))"
+    low, high = (f"p[CAST({f}({at}) AS BIGINT) + 1]" for f in ("floor", "ceil"))
+    return f"CASE WHEN floor({at}) = ceil({at}) THEN {low} ELSE {low} * (ceil({at}) - {at}) + {high} * ({at} - floor({at})) END"
+
+
 VALUES_SQL = f"""WITH l AS ({LATEST_SQL}),
 g AS (SELECT pg.property_id, pg.guessed_price AS price, CAST(greatest(1, u.karma) AS BIGINT) AS weight FROM price_guesses pg JOIN users u ON u.id = pg.user_id WHERE NOT pg.is_meme_guess),
-a AS (SELECT property_id, count(*) AS n, sum(price * weight) / sum(weight) AS mean, stddev_pop(price) AS sd, quantile_cont(price, [0.1, 0.25, 0.5, 0.75, 0.9]) AS p, min(price) AS min_price, max(price) AS max_price FROM g GROUP BY property_id),
+a AS (SELECT property_id, count(*) AS n, sum(price * weight) / sum(weight) AS mean, stddev_pop(price) AS sd, list(price ORDER BY price) AS p, min(price) AS min_price, max(price) AS max_price FROM g GROUP BY property_id),
 k AS (SELECT g.property_id, CAST(sum(price * weight) AS DOUBLE) / CAST(sum(weight) AS DOUBLE) AS mean FROM g JOIN a USING (property_id) WHERE n < 3 OR sd = 0 OR abs(price - a.mean) <= 2 * sd GROUP BY g.property_id),
 x AS (SELECT pr.id AS property_id, pr.woz_value, l.asking_price, a.*  EXCLUDE (property_id), CAST(floor(coalesce(k.mean, a.mean) + 0.5) AS BIGINT) AS crowd,
   CASE WHEN a.n IS NULL THEN 'none' WHEN a.n < 3 THEN 'low' WHEN a.n < 10 THEN 'medium' ELSE 'high' END AS confidence
@@ -110,7 +117,7 @@ y AS (SELECT *, nullif(CASE WHEN confidence = 'none' THEN coalesce(woz_value, 0)
   WHEN confidence = 'medium' THEN CAST(floor(woz_value * CAST(0.3 AS DOUBLE) + crowd * CAST(0.7 AS DOUBLE) + 0.5) AS BIGINT) ELSE crowd END, 0) AS fmv FROM x)
 SELECT property_id, CAST(coalesce(n, 0) AS INTEGER) AS guess_count, confidence, crowd AS crowd_estimate, CAST(fmv AS BIGINT) AS fmv, woz_value, asking_price,
 CASE WHEN fmv > 0 AND asking_price > 0 THEN floor((fmv - asking_price) / asking_price * 10000 + 0.5) / CAST(100 AS DOUBLE) END AS divergence,
-{", ".join(f"CAST(floor(p[{k + 1}] + 0.5) AS BIGINT) AS p{int(s * 100)}" for k, s in enumerate(SHARES))}, min_price, max_price FROM y"""
+{", ".join(f"CAST(floor({_share(s)} + 0.5) AS BIGINT) AS p{int(s * 100)}" for s in SHARES)}, min_price, max_price FROM y"""
 _KARMA = f"""WITH s AS (SELECT g.user_id, row_number() OVER (PARTITION BY g.user_id ORDER BY g.created_at, g.id, h.id) - 1 AS i, h.price > 0 AS valid,
   CASE WHEN h.price > 0 THEN CAST(abs(g.guessed_price - h.price) AS DOUBLE) / h.price ELSE 1.0 END AS dev
   FROM price_guesses g JOIN price_history h ON h.property_id = g.property_id AND h.event_type = 'sold' WHERE NOT g.is_meme_guess),
