@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gevel.llm.pretokens import LETTER, NUMBER, batches_of, point_classes, points
-from gevel.llm.stages import dropped, written
+from gevel.llm.stages import dropped, frugal, written
 from gevel.llm.toxicity import fold
 from gevel.llm.words import hashed_points, mixed, parts
 
@@ -309,7 +309,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         model = fit([t for t, _ in found], [languages.index(x) for _, x in found], languages)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    model = pickle.loads(sample.repartition(1).mapInArrow(learn, "model binary").first()["model"])
+    model = pickle.loads(sample.repartition(1).mapInArrow(frugal(learn), "model binary").first()["model"])
     dropped(counts, sample)
     return model
 
@@ -374,7 +374,7 @@ def identify(df: DataFrame, model: Field, text_col: str = "text", names: tuple[s
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
     kinds = (StringType(), DoubleType(), DoubleType())
-    return rows.mapInArrow(work, StructType([*rows.schema.fields, *(StructField(n, k) for n, k in zip(names, kinds, strict=False))]))
+    return rows.mapInArrow(frugal(work), StructType([*rows.schema.fields, *(StructField(n, k) for n, k in zip(names, kinds, strict=False))]))
 
 
 def label_words(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -402,7 +402,7 @@ def label_words(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: s
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "position", "word", "lang", "score"])
 
-    return rows.mapInArrow(work, f"id {kind}, position long, word string, lang string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(work), f"id {kind}, position long, word string, lang string, score double").withColumnRenamed("id", id_col)
 
 
 def languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (3, 1)) -> DataFrame:

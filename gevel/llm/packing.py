@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gevel.llm.stages import written
+from gevel.llm.stages import frugal, written
 from gevel.llm.tokenizer_files import byte_level
 from gevel.llm.words import parts
 
@@ -41,7 +41,7 @@ def tokenized(df: DataFrame, id_col: str, text_col: str, source_col: str, ranks:
                 ids.append(np.concatenate([np.array(found, dtype), last]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["id", "queue", "n", "ids"])
 
-    return rows.mapInArrow(work, f"id {kind}, queue string, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(frugal(work), f"id {kind}, queue string, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def placed(sizes: DataFrame, window: int, shares: Mapping[str, float] | None) -> DataFrame:
@@ -113,5 +113,5 @@ def pack(
             arrays = [batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(x, pa.int64()) for x in rows[:7]), pa.array(rows[7], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_id", "ids"])
 
-    out = both.mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_id long, ids binary")
+    out = both.mapInArrow(frugal(cut), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_id long, ids binary")
     return out.withColumnRenamed("id", id_col)

@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gevel.llm.stages import frugal
 from gevel.llm.words import parts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -255,7 +256,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n, x in zip(names[1:], out, strict=True))], names)
 
-    return rows.mapInArrow(work, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_base long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(work), f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_base long").withColumnRenamed("id", id_col)
 
 
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -267,4 +268,4 @@ def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [None if t is None else redacted(t, spans(t)[1]) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 :]], batch.schema.names)
 
-    return df.mapInArrow(work, df.schema)
+    return df.mapInArrow(frugal(work), df.schema)

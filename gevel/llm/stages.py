@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of the batches that tasks hand to Python while a table is written; an executor holds them outside its heap, about twice for each task.
+BYTES_AT_ONCE = "16m"
+
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -27,21 +33,43 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, rows_at_once: int | None = None) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again, which cuts the lineage and survives lost executors. rows_at_once bounds the rows that Python gets at a time, for wide rows."""
+    """Writes df as a Parquet table in the shared folder and reads it again, which cuts the lineage and survives lost executors. rows_at_once bounds the rows that Python gets at a time, for wide rows; BYTES_AT_ONCE their bytes."""
     spark = df.sparkSession
-    path, setting = new_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
+    path = new_path(spark, name)
+    settings = {"spark.sql.execution.arrow.maxBytesPerBatch": BYTES_AT_ONCE}
     if rows_at_once:
-        spark.conf.set(setting, str(rows_at_once))
+        settings["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(rows_at_once)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
 
 
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def frugal(work: Work) -> Work:
+    """The same work for mapInArrow, which at a task's end gives the memory that it took back to the system: workers outlive their tasks, and would keep the most that any of them took."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for df in tables:

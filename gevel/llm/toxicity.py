@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from gevel.llm.stages import written
+from gevel.llm.stages import frugal, written
 from gevel.llm.words import ALNUM, hashed, mixed, parts, slices, split_words, text_bytes
 
 PLACES = 1 << 21
@@ -94,8 +94,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             place, weight, bias = fit([np.frombuffer(x, "<u4") for x, _ in examples], np.array([y for _, y in examples]))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(place, -1)), pa.array(np.append(weight, bias))], ["place", "weight"])
 
-    hashed_rows = written(rows.mapInArrow(hash_rows, "x binary, y int"), "examples")
-    model = hashed_rows.repartition(1).mapInArrow(learn, "place long, weight double").toArrow()
+    hashed_rows = written(rows.mapInArrow(frugal(hash_rows), "x binary, y int"), "examples")
+    model = hashed_rows.repartition(1).mapInArrow(frugal(learn), "place long, weight double").toArrow()
     place, weight = model["place"].to_numpy(), model["weight"].to_numpy()
     return place[place >= 0], weight[place >= 0], float(weight[place < 0].sum())
 
@@ -128,7 +128,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col:
             p = 1 / (1 + np.exp(-np.clip(totals, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, *names])
 
-    return rows.mapInArrow(work, StructType([*rows.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
+    return rows.mapInArrow(frugal(work), StructType([*rows.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] = (5, 0)) -> DataFrame:
