@@ -118,7 +118,7 @@ y AS (SELECT *, nullif(CASE WHEN confidence = 'none' THEN coalesce(woz_value, 0)
 SELECT property_id, CAST(coalesce(n, 0) AS INTEGER) AS guess_count, confidence, crowd AS crowd_estimate, CAST(fmv AS BIGINT) AS fmv, woz_value, asking_price,
 CASE WHEN fmv > 0 AND asking_price > 0 THEN floor((fmv - asking_price) / asking_price * 10000 + 0.5) / CAST(100 AS DOUBLE) END AS divergence,
 {", ".join(f"CAST(floor({_share(s)} + 0.5) AS BIGINT) AS p{int(s * 100)}" for s in SHARES)}, min_price, max_price FROM y"""
-_KARMA = f"""WITH s AS (SELECT g.user_id, row_number() OVER (PARTITION BY g.user_id ORDER BY g.created_at, g.id, h.id) - 1 AS i, h.price > 0 AS valid,
+KARMA_SQL = f"""WITH s AS (SELECT g.user_id, row_number() OVER (PARTITION BY g.user_id ORDER BY g.created_at, g.id, h.id) - 1 AS i, h.price > 0 AS valid,
   CASE WHEN h.price > 0 THEN CAST(abs(g.guessed_price - h.price) AS DOUBLE) / h.price ELSE 1.0 END AS dev
   FROM price_guesses g JOIN price_history h ON h.property_id = g.property_id AND h.event_type = 'sold' WHERE NOT g.is_meme_guess),
 q AS (SELECT *, CASE WHEN NOT valid THEN 0 WHEN dev <= 0.05 THEN 10 WHEN dev <= 0.10 THEN 5 WHEN dev <= 0.20 THEN 2 WHEN dev <= 0.50 THEN 0 ELSE -3 END * CASE WHEN i < 5 THEN 0.5 ELSE 1.0 END AS points,
@@ -133,7 +133,7 @@ FROM price_guesses a JOIN price_guesses b ON a.property_id = b.property_id AND a
 QUERIES = {f.__name__: f for f in (fair_values, user_karma, consensus)}
 ORACLE = {
     "fair_values": with_domain(VALUES_SQL, "properties", "users", "listings", "price_guesses"),
-    "user_karma": with_domain(_KARMA, "price_guesses", "price_history"),
+    "user_karma": with_domain(KARMA_SQL, "price_guesses", "price_history"),
     "consensus": with_domain(
         f"WITH c AS ({_CONSENSUS}), d AS (SELECT c.*, CAST(g.guessed_price - v.crowd_estimate AS DOUBLE) / nullif(v.crowd_estimate, 0) * 100 AS off FROM c JOIN price_guesses g USING (id) LEFT JOIN ({VALUES_SQL}) v ON v.property_id = c.property_id) "
         "SELECT id, property_id, others, aligned, percent, CASE WHEN off IS NULL THEN NULL WHEN abs(off) <= 5 THEN 'aligned' WHEN abs(off) <= 15 THEN 'close' ELSE 'different' END AS category, CASE WHEN off IS NULL THEN NULL WHEN abs(off) <= 5 THEN 'You agree with ' || percent || '% of top predictors' "
