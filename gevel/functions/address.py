@@ -34,6 +34,35 @@ def postal_code(x: Column) -> Column:
     return F.when(bare.rlike(r"^\d{4}[A-Z]{2}$"), bare)
 
 
+def number_fault(x: Column) -> Column:
+    """What is wrong with a house number as text; null if nothing is. Null counts as empty, digits beyond 32 bits as no number."""
+    bare = F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", "")
+    named = lambda what: F.concat(F.lit('Invalid house number: "'), bare, F.lit(f'" {what}'))
+    return (
+        F.when(bare == "", "Invalid house number: received empty string")
+        .when(~bare.rlike(r"^\d"), named("does not start with a digit"))
+        .when(house_number(bare).isNull(), named("is out of range"))
+    )
+
+
+def whole_number_fault(x: Column) -> Column:
+    """What is wrong with a house number as a number: it must be whole and not negative."""
+    ok = F.coalesce((x >= 0) & (x == F.floor(x)), F.lit(False))
+    return F.when(~ok, F.concat(F.lit("Invalid house number: expected a positive integer, got "), F.coalesce(x.cast("string"), F.lit("null"))))
+
+
+def canonical(street: Column, number: Column, extra: Column, code: Column, city: Column) -> Column:
+    """An address in canonical form as a struct: status, error, street, house_number, house_number_addition, postal_code, city.
+
+    Without a valid postal code the status is null, as text, and nothing more is looked at; else a faulty house number makes it error, with what is wrong. Then, too, all parts are null. An addition of its own goes before one in the house number.
+    """
+    bare = F.regexp_replace(F.coalesce(number, F.lit("")), r"^\s+|\s+$", "")
+    fault = number_fault(number)
+    status = F.when(postal_code(code).isNull(), "null").when(fault.isNotNull(), "error").otherwise("ok")
+    parts = {"street": collapsed(street), "house_number": house_number(bare), "house_number_addition": F.coalesce(addition(extra), house_suffix(bare)), "postal_code": postal_code(code), "city": collapsed(city)}
+    return F.struct(status.alias("status"), F.when(status == "error", fault).alias("error"), *(F.when(status == "ok", x).alias(name) for name, x in parts.items()))
+
+
 def shown_addition(x: Column) -> Column:
     """A single capital as it is, anything else behind a hyphen."""
     return F.when(F.coalesce(x, F.lit("")) == "", "").when(x.rlike("^[A-Z]$"), x).otherwise(F.concat(F.lit("-"), x))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gevel.plans import batches, feed, ingest, lookups, maps, mirrors, pages, properties, requests, resolutions, social, standings, texts, valuation, writes
+from gevel.plans import batches, cards, feed, ingest, lookups, maps, mirrors, pages, properties, requests, resolutions, social, standings, texts, valuation, writes
 
-_MODULES = (feed, valuation, properties, pages, maps, social, ingest, batches, mirrors, writes, texts, requests, resolutions, lookups, standings)
+_MODULES = (feed, valuation, properties, pages, maps, social, ingest, batches, mirrors, writes, texts, requests, resolutions, lookups, standings, cards)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

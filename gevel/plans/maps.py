@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gevel.functions import address, geo
@@ -97,6 +97,21 @@ def tile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(Tables(spark, sf_dir), ZOOM, *TILE)
 
 
+def previews(t: Tables, zoom: int, x: int, y: int, most: int = 50) -> DataFrame:
+    """What opens when a tile's clusters are tapped: of each the first properties of its list, at most `most`, in its order."""
+    rows = _by_listing(t, geo.tile_box(zoom, x, y)).where(F.col("has_listing") | (F.col("activity_score") > 0))
+    size = geo.cell_size(zoom)
+    rows = rows.withColumn("cell_x", geo.snapped(F.col("lon"), size)).withColumn("cell_y", geo.snapped(F.col("lat"), size))
+    # Tasks keep the first rows of each cell before they are dealt by cell, so a full one is no one's burden.
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("cell_x", "cell_y").orderBy(F.desc("activity_score"), F.asc("id")))).where(F.col("place") <= most)
+    line = F.concat(F.col("street"), F.lit(" "), F.col("house_number").cast("string"), address.shown_addition(F.col("house_number_addition")))
+    return rows.select("cell_x", "cell_y", "place", "id", line.alias("address"), "city", "woz_value", "has_listing", "activity_score")
+
+
+def cluster_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return previews(Tables(spark, sf_dir), ZOOM, *TILE)
+
+
 def points(t: Tables, zoom: int, x: int, y: int) -> DataFrame:
     """A tile's properties one by one, also those where nothing happens (ghosts)."""
     box = geo.tile_box(zoom, x, y)
@@ -163,7 +178,7 @@ _TX, _TY = geo.on_tile_sql("lon", "lat", _BOX)
 _CX, _CY = geo.on_tile_sql("avg(lon)", "avg(lat)", _BOX)
 _TILE_SIZE = geo.cell_size(ZOOM)
 
-QUERIES = {f.__name__: f for f in (map_nearby, map_tap, tile_clusters, tile_points, tile_bytes)}
+QUERIES = {f.__name__: f for f in (map_nearby, map_tap, tile_clusters, cluster_previews, tile_points, tile_bytes)}
 ORACLE = {
     "map_nearby": with_domain(_ACTIVE_SQL + f"SELECT id, city, woz_value, has_listing, activity_score, {geo.rounded_sql(_METRES, 3)} AS distance_m, lon, lat FROM q WHERE sqrt(pow(lon - 5.0, 2) + pow(lat - 52.0, 2)) <= {geo.number(geo.tap_radius(8))} ORDER BY {_METRES}, id LIMIT 20", *_NEED),
     "map_tap": with_domain(
@@ -172,6 +187,9 @@ ORACLE = {
     "tile_clusters": with_domain(
         _BY_LISTING_SQL + f"SELECT {geo.snapped_sql('lon', _TILE_SIZE)} AS cell_x, {geo.snapped_sql('lat', _TILE_SIZE)} AS cell_y, CAST(count(*) AS INTEGER) AS point_count, bool_or(has_listing) AS has_active_children, CAST(sum(activity_score) AS INTEGER) AS total_activity, max(activity_score) AS max_activity, "
         f"string_agg(CAST(id AS VARCHAR), ',' ORDER BY activity_score DESC, id) AS property_ids, {_CX} AS tile_x, {_CY} AS tile_y FROM q WHERE has_listing OR activity_score > 0 GROUP BY 1, 2", *_NEED),
+    "cluster_previews": with_domain(
+        _BY_LISTING_SQL + f", c AS (SELECT {geo.snapped_sql('lon', _TILE_SIZE)} AS cell_x, {geo.snapped_sql('lat', _TILE_SIZE)} AS cell_y, * FROM q WHERE has_listing OR activity_score > 0) SELECT cell_x, cell_y, CAST(row_number() OVER (PARTITION BY cell_x, cell_y ORDER BY activity_score DESC, id) AS INTEGER) AS place, "
+        f"id, {address.ADDRESS_SQL.split(" || ', '")[0].replace('p.', '')} AS address, city, woz_value, has_listing, activity_score FROM c QUALIFY place <= 50", *_NEED),
     "tile_points": with_domain(
         _BY_LISTING_SQL + f"SELECT id, {address.ADDRESS_SQL.split(" || ', '")[0].replace('p.', '')} AS address, city, postal_code, woz_value, area, built, has_listing, activity_score, NOT has_listing AND activity_score = 0 AS is_ghost, {_TX} AS tile_x, {_TY} AS tile_y FROM q", *_NEED),
 }

@@ -78,6 +78,13 @@ FROM {part}
 UNION ALL
 SELECT concat('R', lpad(CAST(p_partkey * 2 + 1 AS STRING), 9, '0')), CASE WHEN p_partkey % 41 = 0 THEN '' ELSE concat('POINT(4.', CAST(100 + p_partkey % 900 AS STRING), ' 52.2)') END, '77', '1999', 'Verblijfsobject in gebruik', p_name, CAST(p_size AS STRING), 'A', '',
   concat(CAST(1000 + p_partkey * 7 % 9000 AS STRING), chr(CAST(65 + p_partkey % 26 AS INT)), chr(CAST(65 + p_partkey * 7 % 26 AS INT))), 'X'
+FROM {part}""",
+    "raw_addresses": """
+SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('  ', p_name, chr(9)) ELSE replace(p_name, ' ', concat(' ', chr(10), ' ')) END AS street,
+  CASE p_partkey % 11 WHEN 0 THEN '' WHEN 1 THEN concat('nr ', CAST(p_size AS STRING)) WHEN 2 THEN concat(' ', CAST(p_size AS STRING), ' -bis ') WHEN 3 THEN concat(CAST(p_size AS STRING), 'a') WHEN 4 THEN concat('-', CAST(p_size AS STRING)) WHEN 5 THEN concat(CAST(p_size AS STRING), ' / 2') WHEN 6 THEN NULL ELSE CAST(p_size AS STRING) END AS house_number,
+  CASE p_partkey % 4 WHEN 0 THEN 'c' WHEN 1 THEN '' WHEN 2 THEN ' d ' END AS house_number_addition,
+  CASE p_partkey % 13 WHEN 0 THEN '' WHEN 1 THEN '12 ab' WHEN 2 THEN NULL ELSE lower(concat(CAST(1000 + p_partkey * 7 % 9000 AS STRING), chr(9), ' ', chr(CAST(65 + p_partkey % 26 AS INT)), chr(CAST(65 + p_partkey * 7 % 26 AS INT)))) END AS postal_code,
+  concat(' ', p_type, '  ') AS city
 FROM {part}""",
     "incoming": """
 SELECT l_orderkey * 10 + l_linenumber AS row_id, min(l_partkey) AS near_key, concat('m', CAST(l_orderkey - l_orderkey % 4 AS STRING)) AS mirror_id,

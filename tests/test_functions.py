@@ -190,3 +190,20 @@ def test_bodies_of_listings(spark, tmp_path):
     rows = files.listings_of(files.read_bodies(spark, f"{tmp_path}/*.json"), "path", "body")
     assert sorted((r.path.rsplit("/", 1)[-1], r.place, r.house_number, r.status, r.asking_price) for r in rows.collect()) == [("good.json", 0, "12", "active", None), ("good.json", 1, "12", "sold", None)]
     assert [tuple(r) for r in files.price_history_of(rows, "mirror_id").collect()] == [("m1", 5, "2024-01-01", "sold")]
+
+
+def test_canonical_addresses(spark):
+    rows = [
+        (1, " Kerk \t straat ", " 13 -bis ", None, "1234 ab", "Den  Haag"), (2, None, "13bis", " c ", "1234\tAB", None), (3, "x", "nr 5", "a", "1234AB", "y"), (4, "x", " ", "a", "1234AB", "y"),
+        (5, "x", None, None, "1234AB", "y"), (6, "x", "nr 5", None, "12 AB", "y"), (7, "x", "5", None, None, "y"), (8, "x", "-5", None, "1234AB", "y"), (9, "x", "99999999999", None, "1234AB", "y"), (10, "x", "5 / 2", "", "1234AB", "y"),
+    ]
+    df = spark.createDataFrame(rows, "id int, street string, number string, extra string, code string, city string")
+    got = {r.id: tuple(r)[1:] for r in df.select("id", address.canonical(*(F.col(c) for c in df.columns[1:])).alias("x")).select("id", "x.*").collect()}
+    none = (None,) * 5
+    fault = lambda text: ("error", f"Invalid house number: {text}", *none)
+    assert got == {
+        1: ("ok", None, "Kerk straat", 13, "BIS", "1234AB", "Den Haag"), 2: ("ok", None, "", 13, "C", "1234AB", ""), 3: fault('"nr 5" does not start with a digit'), 4: fault("received empty string"), 5: fault("received empty string"),
+        6: ("null", None, *none), 7: ("null", None, *none), 8: fault('"-5" does not start with a digit'), 9: fault('"99999999999" is out of range'), 10: ("ok", None, "x", 5, "2", "1234AB", "y"),
+    }
+    faults = spark.createDataFrame([(5.0,), (0.0,), (-1.0,), (2.5,), (float("nan"),), (None,)], "x double").select(address.whole_number_fault(F.col("x")).isNull().alias("ok")).collect()
+    assert [r.ok for r in faults] == [True, True, False, False, False, False]
