@@ -14,7 +14,7 @@ from gevel.llm import language, toxicity
 from gevel.llm.ngram_join import jaccard_groups
 from gevel.llm.packing import pack
 from gevel.llm.pii import redact_pii
-from gevel.llm.stages import written
+from gevel.llm.stages import in_small_batches, written
 from gevel.llm.tokenizer_files import path
 
 #: By how many spreads a text's letters may be rarer than usual in the learned languages. Labelled texts that the model has not seen stay below 7 (of 51,282; all but one in 10,000 below 5.4); words of random letters and of languages that were not learned lie above 9.
@@ -34,6 +34,7 @@ def _unused(columns: list[str], *names: str) -> list[str]:
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts in the languages that docs names, also those that mix them. Null and empty texts, texts without a letter, and those whose words are like none of the languages (junk, other languages) go; if docs names no language at all, nothing can be told apart and all rows stay."""
+    in_small_batches(spark)
     model = language.train(docs)
     if not model.languages:
         return docs
@@ -44,6 +45,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts that are not toxic by a model of the labelled ones among docs. Null and empty texts stay."""
+    in_small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     parts, out = 5, 0
     model = toxicity.train(docs, labels.where(toxicity.fold(F.col("doc_id"), parts) != out), "doc_id", "text", "toxic")
@@ -53,6 +55,7 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_nearness(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near duplicates: five-word n-grams, similarity of 0.8 or more. Rows that repeat an id are documents of their own, of which one stays if their texts are near duplicates. Rows with a null id, and texts without a word, stay."""
+    in_small_batches(spark)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         groups = written(jaccard_groups(docs, width=5, percent=80).where("doc_id != component_id").select("doc_id"), "gone")
         return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
@@ -66,6 +69,7 @@ def by_nearness(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts by its kind in brackets; n_chars, if there, is that of the new text. Null texts stay null."""
+    in_small_batches(spark)
     clean = redact_pii(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -74,6 +78,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all texts in sequences of 1024 tokens, with their ids."""
+    in_small_batches(spark)
     return pack(docs, path("byte_bpe_50k.tiktoken"))
 
 

@@ -14,9 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of the batches that tasks hand to Python while a table is written; an executor holds them outside its heap, about twice for each task.
 BYTES_AT_ONCE = "16m"
 
+_BYTES, _ROWS = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+def in_small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on the session hands rows to Python in batches of `size` bytes, unless it has a setting of its own. For many stages in one session: what an executor once held outside its heap for large batches it doesn't give back. Python goes through about 4 MB at once anyway."""
+    if spark.conf.get(_BYTES, None) is None:
+        spark.conf.set(_BYTES, size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. If that is unset, a temporary folder is set there, but only where driver and tasks are one process (tests); on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,12 +41,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, rows_at_once: int | None = None) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again, which cuts the lineage and survives lost executors. rows_at_once bounds the rows that Python gets at a time, for wide rows; BYTES_AT_ONCE their bytes."""
+    """Writes df as a Parquet table in the shared folder and reads it again, which cuts the lineage and survives lost executors. rows_at_once bounds the rows that Python gets at a time, for wide rows; their bytes are bounded by the session's setting, or BYTES_AT_ONCE if it has none."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    settings = {"spark.sql.execution.arrow.maxBytesPerBatch": BYTES_AT_ONCE}
+    settings = {_BYTES: spark.conf.get(_BYTES, None) or BYTES_AT_ONCE}
     if rows_at_once:
-        settings["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(rows_at_once)
+        settings[_ROWS] = str(rows_at_once)
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
