@@ -47,3 +47,17 @@ def test_written_restores_the_session_when_work_fails(spark):
     with pytest.raises(Exception, match="raise_error|no such row"):
         written(spark.range(3).selectExpr("raise_error('no such row') as x"), "stages-test", 2)
     assert [spark.conf.get(k, None) for k in SETTINGS] == before
+
+
+def test_small_batches_leave_a_setting_alone(spark):
+    from gevel.llm.stages import in_small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.newSession()
+    own.conf.set(key, "1m")
+    in_small_batches(own)
+    assert own.conf.get(key) == "1m"
+    fresh = spark.newSession()
+    in_small_batches(fresh)
+    assert fresh.conf.get(key) == "4m"
+    assert written(fresh.range(3).toDF("x"), "small").count() == 3 and fresh.conf.get(key) == "4m"
