@@ -38,17 +38,21 @@ def _plain(x: Column) -> Column:
 def searched(searches: DataFrame, places: DataFrame) -> DataFrame:
     """(id, place_id, how) of searches (id, search) over places (id, street, house_number, postal_code, city): by postal code and number where both are named, else the first place whose text holds the search, or whose text's beginning the search holds."""
     asked = searches.select("id", _plain(F.col("search")).alias("text"))
-    asked = asked.withColumn("code", F.upper(F.nullif(F.regexp_extract("text", "postcode:([a-z0-9]+)", 1), F.lit("")))).withColumn("number", F.nullif(F.regexp_extract("text", r"huisnummer:(\d+)", 1), F.lit("")))
+    # What is found depends on the text alone, so each is looked up once.
+    each = asked.select("text").where("text is not null").distinct()
+    each = each.withColumn("code", F.upper(F.nullif(F.regexp_extract("text", "postcode:([a-z0-9]+)", 1), F.lit("")))).withColumn("number", F.nullif(F.regexp_extract("text", r"huisnummer:(\d+)", 1), F.lit("")))
     # Without white space "huisnummer" may follow the code, which then ends only at a sign that codes don't have.
     exact = places.groupBy(F.upper(F.regexp_replace("postal_code", r"\s+", "")).alias("code"), F.col("house_number").cast("string").alias("number")).agg(F.min("id").alias("exact"))
+    exact = each.where("code is not null and number is not null").join(exact.hint("merge"), ["code", "number"]).select("text", "exact")
     shown = F.concat_ws(" ", F.coalesce("street", F.lit("")), F.col("house_number").cast("string"), F.coalesce("postal_code", F.lit("")), F.coalesce("city", F.lit("")))
     docs = places.select(F.col("id").alias("place"), _plain(shown).alias("doc")).withColumn("head", F.substring("doc", 1, HEAD))
-    held = first_holding(asked, "text", docs, "doc", "place").withColumnRenamed("place", "holding")
-    holds = first_held(asked, "text", docs, "head", "place").withColumnRenamed("place", "held")
-    rows = asked.join(exact, ["code", "number"], "left").join(held, "text", "left").join(holds, "text", "left")
-    free = F.least("holding", "held")
-    how = F.when(F.col("exact").isNotNull(), "exact").when(free.isNotNull(), "text").otherwise("none")
-    return rows.select("id", F.coalesce("exact", free).alias("place_id"), how.alias("how"))
+    held = first_holding(each, "text", docs, "doc", "place").withColumnRenamed("place", "free")
+    holds = first_held(each, "text", docs, "head", "place").withColumnRenamed("place", "free")
+    found = exact.select("text", "exact", F.lit(None).cast("long").alias("free")).unionByName(held.unionByName(holds).withColumn("exact", F.lit(None).cast("long")))
+    found = found.groupBy("text").agg(F.min("exact").alias("exact"), F.min("free").alias("free"))
+    rows = asked.join(found, "text", "left")
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("free").isNotNull(), "text").otherwise("none")
+    return rows.select("id", F.coalesce("exact", "free").alias("place_id"), how.alias("how"))
 
 
 def address_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
