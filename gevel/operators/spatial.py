@@ -15,14 +15,15 @@ def _cell(x: Column, size: float) -> Column:
 def nearest_within(probes: DataFrame, probe_id: str, places: DataFrame, place_id: str, tolerance: float, square: bool = False) -> DataFrame:
     """(probe_id, place_id, distance): each probe's nearest place within tolerance degrees, by circle or by square; of equal ones the smallest id.
 
-    Both sides have lon and lat. Probes go to the nine cells around them, places to their own, and the two meet in an equi-join; the nearest is kept by an aggregation that combines before its shuffle. Rows without a position, and probes without a near place, give none.
+    Both sides have lon and lat. Of places at one position one is kept. Probes go to the nine cells around them, places to their own, and the two meet in an equi-join; the nearest is kept by an aggregation that combines before its shuffle. Rows without a position, and probes without a near place, give none.
     """
     size = max(tolerance, 1e-9)
     near = F.array(*(F.lit(k) for k in (-1, 0, 1)))
     left = probes.where("lon is not null and lat is not null").select(F.col(probe_id).alias("_probe"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
     left = left.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
     left = left.select("_probe", "_lon", "_lat", (_cell(F.col("_lon"), size) + F.col("_dx")).alias("_x"), (_cell(F.col("_lat"), size) + F.col("_dy")).alias("_y"))
-    right = places.where("lon is not null and lat is not null").select(F.col(place_id).alias("_place"), "lon", "lat", _cell(F.col("lon"), size).alias("_x"), _cell(F.col("lat"), size).alias("_y"))
+    # Of places at one position only that of the smallest id can be the answer.
+    right = places.where("lon is not null and lat is not null").groupBy("lon", "lat").agg(F.min(place_id).alias("_place")).select("_place", "lon", "lat", _cell(F.col("lon"), size).alias("_x"), _cell(F.col("lat"), size).alias("_y"))
     distance = degrees(F.col("_lon"), F.col("_lat"), F.col("lon"), F.col("lat"))
     inside = (F.abs(F.col("lon") - F.col("_lon")) <= tolerance) & (F.abs(F.col("lat") - F.col("_lat")) <= tolerance)
     pairs = left.join(right, ["_x", "_y"]).withColumn("_distance", distance).where(inside if square else F.col("_distance") <= tolerance)

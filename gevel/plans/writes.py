@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gevel.functions import address, scoring, texts
 from gevel.functions.scoring import iso
 from gevel.operators.dedup import spaced
-from gevel.operators.merge import inserted_only
 from gevel.plans.ingest import _MATCH, matched
 from gevel.sources.domain import Tables, with_domain
 
@@ -86,10 +85,15 @@ def price_event_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price events that incoming listings bring for the properties that they match and that are not yet known by property, day, price and kind; one of equal ones."""
     t = Tables(spark, sf_dir)
     day = F.date_add(F.lit("1997-06-01").cast("date"), (F.col("row_id") % 28).cast("int"))
-    events = F.array(*(F.struct(F.col("asking_price").alias("price"), F.date_add(day, k).alias("price_date"), F.lit(kind).alias("event_type")) for k, kind in ((0, "asking_price"), (7, "asking_price"), (7, "asking_price"), (30, "sold"))))
-    rows = matched(t).where("how in ('address', 'position')").select("property_id", "source_name", F.inline(events))
-    keys = ["property_id", "price_date", "price", "event_type"]
-    return inserted_only(t.price_history, rows, keys, F.asc("source_name")).select("property_id", "price", F.date_format("price_date", "yyyy-MM-dd").alias("price_date"), "event_type", "source_name")
+    new = matched(t).where("how in ('address', 'position')").select("property_id", "source_name", F.col("asking_price").alias("price"), day.alias("price_date"), F.lit(None).cast("string").alias("event_type"), F.lit(False).alias("known"))
+    old = t.price_history.select("property_id", F.lit(None).cast("string").alias("source_name"), "price", "price_date", "event_type", F.lit(True).alias("known")).dropna(subset=["property_id", "price", "price_date", "event_type"])
+    # A listing brings its events only where its property is, so they are not dealt again.
+    rows = new.unionByName(old).repartition("property_id")
+    brought = F.array(*(F.struct("price", F.date_add("price_date", k).alias("price_date"), F.lit(kind).alias("event_type")) for k, kind in ((0, "asking_price"), (7, "asking_price"), (7, "asking_price"), (30, "sold"))))
+    held = F.array(F.struct("price", "price_date", "event_type"))
+    rows = rows.select("property_id", "source_name", "known", F.inline(F.when(F.col("known"), held).otherwise(F.array_distinct(brought))))
+    events = rows.groupBy("property_id", "price_date", "price", "event_type").agg(F.min("source_name").alias("source_name"), F.max("known").alias("known")).where("not known")
+    return events.select("property_id", "price", F.date_format("price_date", "yyyy-MM-dd").alias("price_date"), "event_type", "source_name")
 
 
 _WRITES = f"""RECURSIVE r AS (SELECT s.*, p.woz_value, p.id IS NOT NULL AS found, row_number() OVER (PARTITION BY s.user_id, s.property_id ORDER BY s.submitted_at, s.id) AS k FROM guess_submissions s LEFT JOIN properties p ON p.id = s.property_id),

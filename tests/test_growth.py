@@ -8,7 +8,9 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from gevel.operators.substrings import first_holding
-from gevel.plans import lookups
+from gevel.operators.spatial import nearest_within
+from gevel.plans import ingest, lookups, writes
+from gevel.sources.domain import Tables
 
 
 def plan_of(df) -> str:
@@ -41,3 +43,31 @@ def test_no_index_of_docs_goes_to_all_tasks(spark):
 def test_searches_send_no_table_of_places(spark):
     sent = below(plan_of(lookups.address_matches(spark, SF)), "BroadcastExchange")
     assert not any("Generate explode(array_distinct" in x or "p_retailprice" in x for x in sent) and not any(re.search(r"p_name.*part\.parquet|part\.parquet.*p_name", x, re.S) and "event_id" not in x for x in sent)
+
+
+def test_rows_without_an_address_do_not_meet_in_one_task(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = ingest.matched(Tables(spark, SF)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("count"), F.max("how"), F.max("property_id")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sizes = [r["count"] for r in parts]
+    assert max(sizes) < sum(sizes) / 2
+
+
+def test_places_at_one_position_meet_a_probe_once(spark):
+    places = spark.range(1000).select("id", F.lit(5.0).alias("lon"), F.lit(52.0).alias("lat"))
+    found = nearest_within(spark.createDataFrame([(1, 5.0004, 52.0)], "probe int, lon double, lat double"), "probe", places, "id", 0.001)
+    assert [(r.probe, r.id) for r in found.collect()] == [(1, 0)]
+    assert "partial_min(id" in plan_of(found)
+
+
+def test_events_of_listings_are_not_dealt_once_made(spark):
+    plan = plan_of(writes.price_event_writes(spark, SF))
+    assert "Generate inline" in plan and not any("Generate inline" in x for x in below(plan, "Exchange"))
+
+
+def test_outcomes_need_no_window(spark):
+    assert "Window" not in plan_of(ingest.ingest_outcomes(spark, SF))
