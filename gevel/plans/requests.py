@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gevel.functions.scoring import iso
 from gevel.operators.chunks import after_chunks, chunk_fates
-from gevel.operators.kept import numbered
+from gevel.operators.kept import kept, numbered
 from gevel.plans.ingest import _MATCH, matched
 from gevel.sources.domain import Tables, with_domain
 
@@ -19,16 +21,18 @@ OVERWRITE = ["asking_price", "price_type", "area", "rooms", "energy_label", "thu
 ONCE = ["property_id", "first_seen_at"]
 
 
-def fates(t: Tables) -> DataFrame:
-    """The matched rows of the request with their chunks and outcomes."""
-    carry = [c for c in (*OVERWRITE, *ONCE) if c not in ("source_url", "asking_price", "property_id")]
-    rows = matched(t, t.requests, carry).where("how in ('address', 'position')").select("row_id", *KEYS, *OVERWRITE, *ONCE)
+def fates(t: Tables, columns: Sequence[str] = (*OVERWRITE, *ONCE), rows: DataFrame | None = None) -> DataFrame:
+    """The matched rows of the request, with these of their columns, and their chunks and outcomes."""
+    if rows is None:
+        carry = [c for c in columns if c not in ("source_url", "asking_price", "property_id")]
+        rows = matched(t, t.requests, carry)
+    rows = rows.where("how in ('address', 'position')").select("row_id", *KEYS, *columns)
     return chunk_fates(t.held_listings, numbered(rows, "place", F.asc("row_id")), KEYS, "source_url", CHUNK)
 
 
 def ingest_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each matched row of the request: its chunk, its property and what became of it."""
-    return fates(Tables(spark, sf_dir)).select("row_id", "chunk", "property_id", "source_url", "outcome")
+    return fates(Tables(spark, sf_dir), ["source_url", "property_id"]).select("row_id", "chunk", "property_id", "source_url", "outcome")
 
 
 def ingest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +46,9 @@ def ingest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the request is answered with: rows ingested, updated and skipped, and errors. A row whose address can't be read is an error and skipped; one whose chunk failed is an error only."""
     t = Tables(spark, sf_dir)
-    rest = matched(t, t.requests).where("how in ('error', 'skipped')").select(F.col("how").alias("outcome"))
-    each = fates(t).select(F.when(F.col("outcome") == "error", "chunk").otherwise(F.col("outcome")).alias("outcome")).unionByName(rest)
+    rows = kept(matched(t, t.requests).select("row_id", *KEYS, "source_url", "how"), "matched")
+    rest = rows.where("how in ('error', 'skipped')").select(F.col("how").alias("outcome"))
+    each = fates(t, ["source_url"], rows).select(F.when(F.col("outcome") == "error", "chunk").otherwise(F.col("outcome")).alias("outcome")).unionByName(rest)
     count = lambda *kinds: F.count_if(F.col("outcome").isin(*kinds))
     return each.agg(count("inserted").alias("ingested"), count("updated").alias("updated"), count("skipped", "error").alias("skipped"), count("error", "chunk").alias("errors"))
 
