@@ -38,7 +38,7 @@ def batch_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings by way of files: bodies written as lines of text, read again."""
     path = files_path(spark, "bodies")
-    bodies(Tables(spark, sf_dir)).select("body").write.text(path)
+    bodies(Tables(spark, sf_dir)).select("body").write.option("compression", "gzip").text(path)
     rows = files.listings_of(spark.read.text(path).withColumn("one", F.lit(1)), "one", "value")
     return rows.select("source_url", "mirror_id", "asking_price", "status", "house_number", "house_number_addition", F.coalesce(F.size("price_history"), F.lit(0)).cast("int").alias("events"))
 
