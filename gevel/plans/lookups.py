@@ -61,18 +61,22 @@ def address_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searched(t.address_searches, t.properties)
 
 
-_PRICES = f"""SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS address_id, CASE WHEN l_orderkey % 31 = 0 THEN NULL WHEN l_orderkey % 37 = 0 THEN 'n/a' ELSE CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) AS VARCHAR) END AS price_cents,
-CAST(l_shipdate + INTERVAL {SHIFT} DAY AS DATE) AS price_date, CASE l_returnflag WHEN 'N' THEN 'ASKING_PRICE' WHEN 'A' THEN 'Sold' ELSE 'Price_Drop' END AS status, postal_code, house_number, house_number_addition
-FROM {{lineitem}} l JOIN mirror_rows m ON m.id = l.l_partkey"""
+_EVENTS = f"""SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS address_id, CASE WHEN l_orderkey % 31 = 0 THEN NULL WHEN l_orderkey % 37 = 0 THEN 'n/a' ELSE CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) AS VARCHAR) END AS price_cents,
+CAST(l_shipdate + INTERVAL {SHIFT} DAY AS DATE) AS price_date, CASE l_returnflag WHEN 'N' THEN 'ASKING_PRICE' WHEN 'A' THEN 'Sold' ELSE 'Price_Drop' END AS status"""
+_PRICES = _EVENTS + """, postal_code, house_number, house_number_addition
+FROM {lineitem} l JOIN mirror_rows m ON m.id = l.l_partkey"""
 
 
 def mirror_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The price events that a mirror's database has more than we: read by ranges of ids, each of the property of its address as it should be written or else as it is; one of equal ones. Prices that can't be read, and addresses not known, are left out."""
     t = Tables(spark, sf_dir)
     files = {x: f"read_parquet('{sf_dir}/{x}.parquet')" for x in ("part", "lineitem")}
-    table = f"(WITH mirror_rows AS ({DOMAIN['mirror_rows'].format(**files)}) {_PRICES.format(**files)})"
-    remote = remote_table(spark, "id bigint, address_id bigint, price_cents string, price_date date, status string, postal_code string, house_number string, house_number_addition string", table, "id", ":memory:", "duckdb")
-    rows = remote.where("postal_code is not null and postal_code <> '' and price_cents is not null").withColumn("price", texts.euros(F.col("price_cents"))).where("price is not null")
+    # Each table streams through readers of one thread; they are joined here, as a join of the remote side would hold one of them in each reader.
+    far = lambda schema, sql: remote_table(spark, schema, f"({sql.format(**files)})", "id", ":memory:", "duckdb", setup="SET threads TO 1")
+    prices = far("id bigint, address_id bigint, price_cents string, price_date date, status string", _EVENTS + " FROM {lineitem} l")
+    places = far("id bigint, postal_code string, house_number string, house_number_addition string", DOMAIN["mirror_rows"])
+    prices = prices.where("price_cents is not null").withColumn("price", texts.euros(F.col("price_cents"))).where("price is not null")
+    rows = places.where("postal_code is not null and postal_code <> ''").withColumnRenamed("id", "address_id")
     number, split = address.house_number(F.col("house_number")), address.house_suffix(F.col("house_number"))
     canonical = F.when(address.postal_code(F.col("postal_code")).isNotNull() & number.isNotNull(), lookup_key(F.col("postal_code"), number, F.coalesce(address.addition(F.col("house_number_addition")), split)))
     raw = F.when(number.isNotNull(), lookup_key(F.col("postal_code"), number, F.col("house_number_addition")))
@@ -80,7 +84,8 @@ def mirror_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("canonical", canonical).withColumn("raw", raw)
     for c in ("canonical", "raw"):
         rows = rows.join(known.select(F.col("key").alias(c), F.col("found").alias(f"by_{c}")), c, "left")
-    events = rows.select(F.coalesce("by_canonical", "by_raw").alias("property_id"), "price", "price_date", F.lower("status").alias("event_type"), "id").where("property_id is not null")
+    rows = rows.select("address_id", F.coalesce("by_canonical", "by_raw").alias("property_id")).where("property_id is not null")
+    events = prices.join(rows, "address_id").select("property_id", "price", "price_date", F.lower("status").alias("event_type"), "id")
     keys = ["property_id", "price_date", "price", "event_type"]
     return inserted_only(t.price_history, events, keys, F.asc("id")).select("property_id", "price", F.date_format("price_date", "yyyy-MM-dd").alias("price_date"), "event_type", F.lit("funda").alias("source"))
 

@@ -67,6 +67,8 @@ class RemoteReader(ds.DataSourceReader):
         connection = importlib.import_module(o["module"]).connect(o["database"])
         try:
             cursor = connection.cursor()
+            if o.get("setup"):
+                cursor.execute(o["setup"])
             cursor.execute(f"SELECT {columns} FROM {o['table']} AS t{' WHERE ' if conditions else ''}{' AND '.join(conditions)}", values)
             while some := cursor.fetchmany(FETCH):
                 yield some
@@ -96,7 +98,7 @@ class RemoteReader(ds.DataSourceReader):
 
 
 class RemoteTable(ds.DataSource):
-    """Options: module (of a DB-API driver with marks of the form ?), database (what its connect takes), table (a name, or a query in brackets), key (a whole-number column), partitions."""
+    """Options: module (of a DB-API driver with marks of the form ?), database (what its connect takes), table (a name, or a query in brackets), key (a whole-number column), partitions, setup (a statement that is run on each connection first)."""
 
     @classmethod
     def name(cls) -> str:
@@ -106,12 +108,12 @@ class RemoteTable(ds.DataSource):
         return RemoteReader(schema, dict(self.options))
 
 
-def remote_table(spark: SparkSession, schema: str, table: str, key: str, database: str, module: str, partitions: int = 8) -> DataFrame:
+def remote_table(spark: SparkSession, schema: str, table: str, key: str, database: str, module: str, partitions: int = 8, setup: str = "") -> DataFrame:
     """A remote table as a DataFrame of several partitions, without rows that have no key. Comparisons of its columns with constants, IN and tests for null are left to the database."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     # The source is made in a process of its own, which may not find this package.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(RemoteTable)
-    rows = spark.read.format("remote_table").schema(schema).options(module=module, database=database, table=table, key=key, partitions=str(partitions)).load()
+    rows = spark.read.format("remote_table").schema(schema).options(module=module, database=database, table=table, key=key, partitions=str(partitions), setup=setup).load()
     # Spark keeps the filters of a relation's last scan where the next one sends none, so each scan sends one.
     return rows.where(F.col(key).isNotNull())
