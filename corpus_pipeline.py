@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gevel.llm import language, toxicity
-from gevel.llm.ngram_join import jaccard_groups
+from gevel.llm.ngram_join import jaccard_groups, without
 from gevel.llm.packing import pack
 from gevel.llm.pii import redact_pii
 from gevel.llm.stages import in_small_batches, written
@@ -58,13 +58,13 @@ def by_nearness(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     in_small_batches(spark)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         groups = written(jaccard_groups(docs, width=5, percent=80).where("doc_id != component_id").select("doc_id"), "gone")
-        return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+        return without(docs, "doc_id", groups)
     (row,) = _unused(docs.columns, "row")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     groups = jaccard_groups(rows.where("doc_id is not null"), id_col=row, width=5, percent=80).where("n_shingles > 0").select(row, "component_id")
     groups = written(groups.join(rows.select(row, "doc_id"), row), "groups")
     stays = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("best")).select(F.col(f"best.{row}").alias(row))
-    return rows.join(groups.join(stays, row, "left_anti").select(row), row, "left_anti").select(docs.columns)
+    return without(rows, row, written(groups.join(stays, row, "left_anti").select(row), "gone")).select(docs.columns)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
