@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from gevel.operators.rollups import first_of
 
 
-def upserted(table: DataFrame, rows: DataFrame, keys: Sequence[str], overwrite: Sequence[str]) -> DataFrame:
-    """The table after rows are merged by key, with outcome: inserted, updated or kept. Of the columns, `overwrite` come from the row, all others stay; new rows bring what they have. Keys compare null to null as equal. Rows must have distinct keys."""
+def upserted(table: DataFrame, rows: DataFrame, keys: Sequence[str], overwrite: Sequence[str], null_keys: bool = True) -> DataFrame:
+    """The table after rows are merged by key, with outcome: inserted, updated or kept. Of the columns, `overwrite` come from the row, all others stay; new rows bring what they have. Keys compare null to null as equal; without null_keys the rows' keys must not be null, and rows that are dealt by key already are not dealt again. Rows must have distinct keys."""
     old = table.withColumn("_old", F.lit(True))
     new = rows.withColumn("_new", F.lit(True))
     same = F.lit(True)
     for k in keys:
-        same = same & old[k].eqNullSafe(new[k])
+        same = same & (old[k].eqNullSafe(new[k]) if null_keys else old[k] == new[k])
     both = old.join(new, same, "full_outer")
     out = []
     for c in table.columns:

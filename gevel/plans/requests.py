@@ -38,7 +38,9 @@ def ingest_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listings after the request, all columns; which of them it has inserted or updated."""
     t = Tables(spark, sf_dir)
-    out = after_chunks(t.held_listings, fates(t), KEYS, OVERWRITE)
+    requests = kept(t.requests, "requests")
+    slim = ["source_url", *ONCE]
+    out = after_chunks(t.held_listings, fates(t, slim, matched(t, requests, ["first_seen_at"])), KEYS, OVERWRITE, wide=requests)
     times = ("first_seen_at", "last_changed_at", "last_seen_at")
     return out.select(*KEYS, *(iso(F.col(c)).alias(c) if c in times else c for c in (*OVERWRITE, *ONCE)), "outcome")
 
